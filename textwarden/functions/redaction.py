@@ -62,7 +62,7 @@ def _either(columns: Sequence[Column]) -> Column:
     return result
 
 
-def _trigger(lowered: Column, words: Sequence[str]) -> Column:
+def trigger(lowered: Column, words: Sequence[str]) -> Column:
     return _either([F.contains(lowered, F.lit(w)) for w in (*words, LONG_S)])
 
 
@@ -128,7 +128,7 @@ def has_plain_secret(text: Column) -> Column:
     return _either(
         [
             F.when(
-                _trigger(lowered, TRIGGERS[group][0]),
+                trigger(lowered, TRIGGERS[group][0]),
                 text.rlike(R.spark_pattern(R.rule_named(R.DETECT_RULES, name))),
             ).otherwise(F.when(text.isNotNull(), F.lit(False)))
             for group, name in DETECTED_BY.items()
@@ -144,7 +144,7 @@ def redact(text: Column, prefixes: Sequence[str] = ()) -> Column:
     lowered = F.lower(text)
     words = [w for group, _ in TRIGGERS.values() for w in group]
     every_rule = [rule.name for rule in R.REPLACE_RULES]
-    chained = F.when(_trigger(lowered, words), apply_rules(text, every_rule)).otherwise(text)
+    chained = F.when(trigger(lowered, words), apply_rules(text, every_rule)).otherwise(text)
     return let(redact_prefixes(chained, prefixes), redact_encoded)
 
 
@@ -185,7 +185,7 @@ def with_redaction(
     staged = staged.select(
         *kept,
         *[
-            _trigger(F.col("_low"), words).alias(f"_t_{group}")
+            trigger(F.col("_low"), words).alias(f"_t_{group}")
             for group, (words, _) in TRIGGERS.items()
         ],
     )
