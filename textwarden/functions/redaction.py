@@ -167,6 +167,15 @@ def count_redactions(before: Column, after: Column) -> Column:
 # ------------------------------------------------------------------ tables
 
 
+def fenced(df: DataFrame, kept: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    """Project ``columns`` so that later filters on them stay above the projection.
+
+    Catalyst moves a filter below a plain projection by repeating the projected
+    expression, which would redact twice.  It does not do so for a generator.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
 def with_redaction(
     df: DataFrame,
     text: str,
@@ -216,14 +225,12 @@ def with_redaction(
         columns.append(
             F.when(source.isNotNull(), F.col("_encoded") | plain).alias(secret)
         )
-    return staged.select(*kept, *columns)
+    return fenced(staged, kept, columns)
 
 
 def with_secret_flag(df: DataFrame, text: str, flag: str = "has_secret") -> DataFrame:
     """Add only the secret flag; the Base64 pass is skipped on plain hits."""
     kept = list(df.columns)
     staged = df.withColumn("_plain", has_plain_secret(F.col(text)))
-    return staged.select(
-        *kept,
-        F.when(F.col("_plain"), F.lit(True)).otherwise(has_encoded_secret(F.col(text))).alias(flag),
-    )
+    found = F.when(F.col("_plain"), F.lit(True)).otherwise(has_encoded_secret(F.col(text)))
+    return fenced(staged, kept, [found.alias(flag)])

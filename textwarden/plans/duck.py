@@ -264,9 +264,9 @@ def sql(body: str, *needs: str) -> str:
         add(name)
     head = "WITH " + ", ".join(CTES[n][1] for n in order) + " " if order else ""
     # A body that brings CTEs of its own starts with a comma.
-    if body.startswith(","):
-        return head.rstrip() + body
-    return head + body
+    text = head.rstrip() + body if body.startswith(",") else head + body
+    # Computed once, however often they are read.
+    return text.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
 def status(now: str = str(T.NOW)) -> str:

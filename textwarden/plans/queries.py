@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden import rules as R
 from textwarden.functions import paths, redaction, shaping
@@ -220,7 +220,7 @@ _STATS_REDUCTION = D.reduction("raw_bytes", "returned_bytes")
 @job(
     "snk_stats",
     D.sql(
-        f", {_STATS_SQL} SELECT run_id, {D.redact('command')} AS command, exit_code, raw_bytes, returned_bytes, "
+        f", {_STATS_SQL} SELECT run_id, CASE WHEN command IS NOT NULL THEN {D.redact('command')} END AS command, exit_code, raw_bytes, returned_bytes, "
         f"{_STATS_REDUCTION} AS reduction, redactions, prompt_injection_warnings, truncated FROM stats",
         "sgate", "caps",
     ),
@@ -1342,3 +1342,91 @@ def set_purge(spark, sf_dir):
         .unionByName(part("removed", removed, none, none, col("removed")))
         .unionByName(part("removed_all", removed_all, none, none, col("removed")))
     )
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    """The planted documents as a stream, with the times of their captures."""
+    rows = streams.read_stream(spark, sf_dir, "documents.parquet", streams.DOCUMENTS)
+    created = F.expr(f"CAST({T.CREATED} AS BIGINT)")
+    return rows.select(
+        "doc_id", "source", "lang", F.expr(T.PATH).alias("path"), F.expr(T.TEXT).alias("text"),
+        created.alias("created_at"), F.timestamp_seconds(created).alias("ts"),
+    )
+
+
+@job("st_redact", D.sql(f"SELECT {', '.join(_GATE_COLUMNS)}, content FROM gate", "gate"))
+def st_redact(spark, sf_dir):
+    out = streams.fresh_dir(spark, "gated")
+    streams.gate_stream(_stream(spark, sf_dir), out)
+    return spark.read.parquet(f"{out}/data").select(*_GATE_COLUMNS, "content")
+
+
+@job(
+    "st_stats",
+    D.sql(
+        f", g AS (SELECT *, CAST({T.CREATED} AS BIGINT) // 3600 * 3600 AS hour_start FROM gate) "
+        "SELECT hour_start, source, count(*) AS docs, count(*) FILTER (WHERE blocked) AS blocked, "
+        "CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(strlen(content)) AS BIGINT) AS returned_bytes, "
+        "CAST(sum(redactions) AS BIGINT) AS redactions, "
+        f"{D.reduction('sum(raw_bytes)', 'sum(strlen(content))')} AS reduction FROM g GROUP BY hour_start, source",
+        "gate",
+    ),
+)
+def st_stats(spark, sf_dir):
+    out = streams.fresh_dir(spark, "stats")
+    streams.stats_stream(_stream(spark, sf_dir), out)
+    return streams.latest_stats(spark, out)
+
+
+@job(
+    "st_commit_once",
+    D.sql(
+        "SELECT run_id, created_at, expires_at, out_bytes, out_lines, out_checksum, err_bytes, err_lines, err_checksum, "
+        "coalesce(n, 0) AS stored_lines FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id) USING (run_id)",
+        "runs", "lines",
+    ),
+)
+def st_commit_once(spark, sf_dir):
+    """Every tenth run arrives twice."""
+    rows = _stream(spark, sf_dir)
+    copies = F.when(col("doc_id") % 10 == 3, 2).otherwise(1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    fields = ("run_id", "command_kind", "stdout", "stderr")
+    rows = rows.select(
+        "ts", "created_at", *[F.expr(T.spark_sql(T.CAPTURE[n])).alias(n) for n in fields]
+    )
+    out = streams.fresh_dir(spark, "committed")
+    streams.commit_stream(rows, out, LIMITS)
+    counted = spark.read.parquet(f"{out}/lines").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{out}/runs").join(counted, "run_id", "left").select(
+        "run_id", "created_at", "expires_at",
+        col("stdout.byte_len").alias("out_bytes"), col("stdout.line_count").alias("out_lines"),
+        col("stdout.checksum").alias("out_checksum"),
+        col("stderr.byte_len").alias("err_bytes"), col("stderr.line_count").alias("err_lines"),
+        col("stderr.checksum").alias("err_checksum"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("stored_lines"),
+    )
+
+
+@job(
+    "st_expire",
+    D.sql(
+        f"SELECT run_id, 'expired' AS status, created_at + 20000 AS recorded_at, created_at + 20000 + {T.TTL} AS expires_at "
+        "FROM headers WHERE created_at + 20000 <= (SELECT max(created_at) FROM headers)",
+        "headers",
+    ),
+)
+def st_expire(spark, sf_dir):
+    """Runs kept for 20,000 seconds, seen at the end of the stream."""
+    rows = streams.read_stream(spark, sf_dir, "documents.parquet", streams.DOCUMENTS)
+    created = F.expr(f"CAST({T.CREATED} AS BIGINT)")
+    rows = rows.select(
+        F.expr(T.RUN_ID).alias("run_id"), (created + 20_000).alias("expires_at"),
+        F.timestamp_seconds(created).alias("ts"),
+    )
+    out = streams.fresh_dir(spark, "expired")
+    streams.expire_stream(rows, out, StoragePolicy(ttl_seconds=20_000, tombstone_ttl_seconds=T.TTL))
+    return spark.read.parquet(f"{out}/data").select("run_id", "status", "recorded_at", "expires_at")

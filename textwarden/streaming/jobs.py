@@ -1 +1,185 @@
-"""placeholder"""
+"""The same decisions over streams of text."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from textwarden.functions.shaping import reduction
+from textwarden.operators import gate, lines, store
+from textwarden.policy import Policy, StoragePolicy
+from textwarden.sources.captures import streams
+from textwarden.sources.checkpoints import shared_dir
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def read_stream(spark: SparkSession, folder: str, files: str, schema: str) -> DataFrame:
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", files)
+        .option("maxFilesPerTrigger", 64)
+        .parquet(folder)
+    )
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def run_to_end(writer) -> None:
+    """Process what is there, in as many batches as it takes, then stop."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+# ------------------------------------------------------------------ redact and gate
+
+
+def gate_stream(docs: DataFrame, out: str, policy: Policy = Policy()) -> None:
+    """Gate every document once; stateless, so any batch can be run again."""
+    decided = gate.gate_documents(docs, policy).select(
+        "doc_id", "blocked", "reason", "path_rule", "redactions", "warnings", "exit_code", "content"
+    )
+    run_to_end(
+        decided.writeStream.format("parquet")
+        .option("path", f"{out}/data")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .outputMode("append")
+    )
+
+
+# ------------------------------------------------------------------ live totals
+
+
+def stats_stream(docs: DataFrame, out: str, policy: Policy = Policy()) -> None:
+    """Hourly totals per source.  Each batch writes only the totals it changed, into
+    a folder of its own that a repeated batch overwrites."""
+    decided = gate.gate_documents(docs, policy)
+    totals = (
+        decided.withWatermark("ts", "3 days")
+        .groupBy(F.window("ts", "1 hour"), "source")
+        .agg(
+            F.count(F.lit(1)).alias("docs"),
+            F.count_if("blocked").alias("blocked"),
+            F.sum("raw_bytes").alias("raw_bytes"),
+            F.sum("returned_bytes").alias("returned_bytes"),
+            F.sum("redactions").alias("redactions"),
+        )
+        .select(F.unix_timestamp("window.start").alias("hour_start"), "*")
+        .drop("window")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    run_to_end(
+        totals.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .foreachBatch(write)
+    )
+
+
+def latest_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The current totals: per hour and source, the row of the last batch."""
+    rows = spark.read.parquet(f"{out}/data")
+    names = ["docs", "blocked", "raw_bytes", "returned_bytes", "redactions"]
+    last = F.max_by(F.struct(*names), "batch").alias("_l")
+    rows = rows.groupBy("hour_start", "source").agg(last).select("hour_start", "source", "_l.*")
+    return rows.withColumn("reduction", reduction(F.col("raw_bytes"), F.col("returned_bytes")))
+
+
+# ------------------------------------------------------------------ commit once
+
+
+def commit_stream(
+    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy(), policy: Policy = Policy()
+) -> None:
+    """Retain each run once, however often it arrives within the retention time."""
+    once = runs.withWatermark("ts", f"{limits.ttl_seconds} seconds")
+    once = once.dropDuplicatesWithinWatermark(["run_id"])
+    for name in ("stdout", "stderr"):
+        once = gate.with_stored_text(once, name, f"_{name}", policy).drop(name)
+    once = once.withColumnsRenamed({"_stdout": "stdout", "_stderr": "stderr"})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Two outputs from one batch: write the sanitised runs first, read them twice.
+        batch.write.mode("overwrite").parquet(f"{out}/sanitized/batch={batch_id}")
+        saved = batch.sparkSession.read.parquet(f"{out}/sanitized/batch={batch_id}")
+        headers = store.run_headers(saved, "created_at", limits)
+        headers.write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
+        index = lines.line_index(streams(saved), limits)
+        index.sortWithinPartitions("run_id", "stream", "line_no").write.mode(
+            "overwrite"
+        ).parquet(f"{out}/lines/batch={batch_id}")
+
+    run_to_end(
+        once.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .foreachBatch(write)
+    )
+
+
+# ------------------------------------------------------------------ expiry
+
+TOMBSTONES = "run_id string, status string, recorded_at bigint, expires_at bigint"
+_STATE = "expires_at bigint, buried boolean"
+
+
+def expire_stream(
+    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy()
+) -> None:
+    """Emit a tombstone when a run's time is over; forget it when the tombstone's is.
+
+    Time is the stream's own (its watermark), so a replay gives the same rows.
+    State is two numbers per run.
+    """
+    keep = limits.tombstone_ttl_seconds
+
+    def step(
+        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        if state.exists:
+            expires_at, buried = state.get
+        else:
+            expires_at, buried = None, False
+        if state.hasTimedOut and buried:
+            state.remove()
+            return
+        for batch in batches:
+            first = int(batch["expires_at"].min())
+            expires_at = first if expires_at is None else min(expires_at, first)
+        if not buried and expires_at * 1000 <= mark:
+            buried = True
+            yield pd.DataFrame(
+                {
+                    "run_id": [key[0]],
+                    "status": ["expired"],
+                    "recorded_at": [expires_at],
+                    "expires_at": [expires_at + keep],
+                }
+            )
+        state.update((expires_at, buried))
+        due = (expires_at + keep if buried else expires_at) * 1000
+        # A timer fires once the watermark is past it.
+        state.setTimeoutTimestamp(max(due - 1, mark + 1))
+
+    expired = (
+        runs.select("run_id", "expires_at", "ts")
+        .withWatermark("ts", "0 seconds")
+        .groupBy("run_id")
+        .applyInPandasWithState(
+            step, TOMBSTONES, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+    run_to_end(
+        expired.writeStream.format("parquet")
+        .option("path", f"{out}/data")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .outputMode("append")
+    )
