@@ -151,7 +151,8 @@ def expire_stream(
         if state.hasTimedOut and buried:
             state.remove()
             return
-        for batch in batches:
+        # On a timeout there is one batch, of nulls.
+        for batch in () if state.hasTimedOut else batches:
             first = int(batch["expires_at"].min())
             expires_at = first if expires_at is None else min(expires_at, first)
         if not buried and expires_at * 1000 <= mark:
