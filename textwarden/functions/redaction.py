@@ -26,18 +26,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Runs always match whole, so a run can only start where the last one ended.
 BASE64 = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{12,}+={0,2}+"
 
-# Trigger words per group of rules, lower case, and the rules they guard.
-TRIGGERS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "key": (
-        ("password", "secret", "token", "apikey", "api-key", "api_key"),
-        ("yaml_block", "escaped_yaml_block", "quoted_value", "bare_value"),
-    ),
-    "bearer": (("authorization",), ("bearer_header",)),
-    "url": (("://",), ("url_password",)),
-    "aws": (("akia",), ("aws_key_id",)),
-    "pem": (("private key-----",), ("pem_block", "pem_header")),
-    "home": (("/users/", "/home/"), ("unix_home",)),
-    "winhome": ((":\\users\\",), ("windows_home",)),
+# What must stand in a text, in lower case, before a group of rules is tried: one
+# word of each set.
+KEY_WORDS = ("password", "secret", "token", "apikey", "api-key", "api_key")
+BLOCK_SIGNS = ("|", ">")
+TRIGGERS: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]] = {
+    "block": ((KEY_WORDS, BLOCK_SIGNS, ("\n",)), ("yaml_block",)),
+    "escaped": ((KEY_WORDS, BLOCK_SIGNS, ("\\",)), ("escaped_yaml_block",)),
+    "quoted": ((KEY_WORDS, ('"', "'")), ("quoted_value",)),
+    "key": ((KEY_WORDS,), ("bare_value",)),
+    "bearer": ((("authorization",),), ("bearer_header",)),
+    "url": ((("://",),), ("url_password",)),
+    "aws": ((("akia",),), ("aws_key_id",)),
+    "pem": ((("private key-----",),), ("pem_block", "pem_header")),
+    "home": ((("/users/", "/home/"),), ("unix_home",)),
+    "winhome": (((":\\users\\",),), ("windows_home",)),
 }
 DETECTED_BY = {
     "key": "key_value",
@@ -62,8 +65,19 @@ def _either(columns: Sequence[Column]) -> Column:
     return result
 
 
-def trigger(lowered: Column, words: Sequence[str]) -> Column:
-    return _either([F.contains(lowered, F.lit(w)) for w in (*words, LONG_S)])
+def _all(columns: Sequence[Column]) -> Column:
+    result = columns[0]
+    for column in columns[1:]:
+        result = result & column
+    return result
+
+
+def trigger(lowered: Column, group: str) -> Column:
+    """Whether the rules of ``group`` can match at all."""
+    sets = [
+        _either([F.contains(lowered, F.lit(w)) for w in words]) for words in TRIGGERS[group][0]
+    ]
+    return _all(sets) | F.contains(lowered, F.lit(LONG_S))
 
 
 def apply_rules(text: Column, names: Sequence[str]) -> Column:
@@ -128,7 +142,7 @@ def has_plain_secret(text: Column) -> Column:
     return _either(
         [
             F.when(
-                trigger(lowered, TRIGGERS[group][0]),
+                trigger(lowered, group),
                 text.rlike(R.spark_pattern(R.rule_named(R.DETECT_RULES, name))),
             ).otherwise(F.when(text.isNotNull(), F.lit(False)))
             for group, name in DETECTED_BY.items()
@@ -142,9 +156,9 @@ def has_secret(text: Column) -> Column:
 
 def redact(text: Column, prefixes: Sequence[str] = ()) -> Column:
     lowered = F.lower(text)
-    words = [w for group, _ in TRIGGERS.values() for w in group]
+    possible = _either([trigger(lowered, group) for group in TRIGGERS])
     every_rule = [rule.name for rule in R.REPLACE_RULES]
-    chained = F.when(trigger(lowered, words), apply_rules(text, every_rule)).otherwise(text)
+    chained = F.when(possible, apply_rules(text, every_rule)).otherwise(text)
     return let(redact_prefixes(chained, prefixes), redact_encoded)
 
 
@@ -193,10 +207,7 @@ def with_redaction(
     staged = df.withColumn("_low", F.lower(source))
     staged = staged.select(
         *kept,
-        *[
-            trigger(F.col("_low"), words).alias(f"_t_{group}")
-            for group, (words, _) in TRIGGERS.items()
-        ],
+        *[trigger(F.col("_low"), group).alias(f"_t_{group}") for group in TRIGGERS],
     )
     flags = [f"_t_{group}" for group in TRIGGERS]
     current = source

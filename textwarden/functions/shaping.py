@@ -66,7 +66,8 @@ def reduction(raw_bytes: Column, returned_bytes: Column) -> Column:
 
 
 def normalize_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return F.replace(unix, F.lit("\r"), F.lit("\n"))
 
 
 def block_record(reason: Column, path_rule: Column, redactions: Column) -> Column:

@@ -23,7 +23,7 @@ def secret_findings(df: DataFrame, text: str = "text") -> DataFrame:
     staged = df.withColumn("_low", F.lower(source))
     staged = staged.select(
         *kept, source,
-        *[trigger(F.col("_low"), words).alias(f"_t_{g}") for g, (words, _) in TRIGGERS.items()],
+        *[trigger(F.col("_low"), group).alias(f"_t_{group}") for group in TRIGGERS],
     )
     counted = []
     for group, (_, names) in TRIGGERS.items():

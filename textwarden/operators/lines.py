@@ -15,12 +15,26 @@ from textwarden.sources.checkpoints import cut_lineage
 def document_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Numbered lines, from 1; a line ends at ``\\n`` or ``\\r\\n``."""
     kept = [c for c in df.columns if c != text]
-    pieces = F.split(F.col(text), "\r?\n", -1)
-    rows = df.select(
-        *kept, F.size(pieces).alias("_n"), F.posexplode(pieces).alias("_pos", "line")
+    rows = _split_lines(df.select(*kept, F.col(text).alias("line")), kept)
+    ended = F.endswith(F.col("line"), F.lit("\r")) & ~F.col("_last")
+    line = F.when(ended, F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(
+        F.col("line")
     )
-    rows = rows.where(~((F.col("_pos") == F.col("_n") - 1) & (F.col("line") == "")))
-    return rows.select(*kept, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line")
+    return rows.select(*kept, (F.col("_pos") + 1).cast("bigint").alias("line_no"), line.alias("line"))
+
+
+def _split_lines(df: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Split ``line`` at newlines; what follows a final newline is no line.
+
+    A one-character separator is split without a regex.  The outer form of explode
+    keeps Catalyst from adding a filter that would split a second time.
+    """
+    pieces = df.select(*kept, F.split(F.col("line"), "\n", -1).alias("_p"))
+    rows = pieces.select(
+        *kept, F.size("_p").alias("_n"), F.posexplode_outer("_p").alias("_pos", "line")
+    )
+    rows = rows.withColumn("_last", F.col("_pos") == F.col("_n") - 1)
+    return rows.where(F.col("_pos").isNotNull() & ~(F.col("_last") & (F.col("line") == "")))
 
 
 def byte_lines(df: DataFrame, content: str = "content") -> DataFrame:
@@ -167,15 +181,9 @@ def line_index(rows: DataFrame, limits: StoragePolicy = StoragePolicy()) -> Data
     """
     rows = rows.select("run_id", "stream", "text").where(indexable(F.col("text"), limits))
     rows = rows.repartition("run_id", "stream")
-    pieces = F.split(F.col("text"), "\n", -1)
-    lines = rows.select(
-        "run_id", "stream",
-        F.size(pieces).alias("_n"),
-        F.posexplode(pieces).alias("_pos", "text"),
-    )
-    last = F.col("_pos") == F.col("_n") - 1
-    lines = lines.where(~(last & (F.col("text") == "")))
-    ending = F.when(last, F.lit("")).otherwise(F.lit("\n"))
+    rows = rows.withColumnRenamed("text", "line")
+    lines = _split_lines(rows, ["run_id", "stream"]).withColumnRenamed("line", "text")
+    ending = F.when(F.col("_last"), F.lit("")).otherwise(F.lit("\n"))
     lines = lines.select(
         "run_id", "stream",
         F.col("_pos").cast("bigint").alias("line_no"),

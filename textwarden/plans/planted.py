@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textwarden.sources.documents import read_table
+from textwarden.sources.documents import read_table, read_texts
 
 ID = "CAST(doc_id AS STRING)"
 LF, CR, BACKSLASH = "chr(10)", "chr(13)", "chr(92)"
@@ -120,6 +120,9 @@ REQUEST = {
 }
 
 
+COLUMNS = ("doc_id", "source", "lang", "text")
+
+
 def select(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
@@ -131,13 +134,13 @@ def spark_sql(expr: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as given, with a harmless path."""
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents", *COLUMNS).select(
         "doc_id", "source", "lang", F.expr(PLAIN_PATH).alias("path"), "text"
     )
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents", *COLUMNS).select(
         "doc_id", "source", "lang", F.expr(PATH).alias("path"), F.expr(TEXT).alias("text")
     )
 

@@ -486,7 +486,7 @@ def block_records(spark, sf_dir):
     ).replace(", x_c", "WITH x_c", 1),
 )
 def redact_corpus(spark, sf_dir):
-    rows = doc.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = doc.read_texts(spark, sf_dir, "documents", "doc_id", "text")
     rows = redaction.with_redaction(rows, "text")
     return rows.select(
         "doc_id", "redacted",
@@ -508,7 +508,7 @@ def redact_corpus_planted(spark, sf_dir):
     ).replace(", x_c", "WITH x_c", 1),
 )
 def redact_conversations(spark, sf_dir):
-    rows = doc.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = doc.read_texts(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     rows = redaction.with_redaction(rows, "text")
     return rows.select(
         "conv_id", "turn", "redacted", injection_score(col("redacted")).alias("warnings")
@@ -528,7 +528,7 @@ _UNESCAPED = "replace(replace(replace(replace(replace(html, '&quot;', '\"'), '&#
     ),
 )
 def redact_pages(spark, sf_dir):
-    rows = doc.read_table(spark, sf_dir, "pages").select("page_id", "html")
+    rows = doc.read_texts(spark, sf_dir, "pages", "page_id", "html")
     rows = redaction.with_redaction(findings.redact_pages(rows), "html", "redacted_raw")
     return rows.select("page_id", "redacted", "redacted_raw")
 

@@ -17,6 +17,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer pieces than that.
+
+    Text rules are bound by CPU, and a file of one row group is read by one task.
+    Inputs with at least one scan task per core, so all large ones, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, name).select(*columns))
+
+
 def read_folder(spark: SparkSession, root: str, policy: Policy | None = None) -> DataFrame:
     """Every file below ``root`` as one row: path, text and raw size.
 
