@@ -149,8 +149,23 @@ def sanitized_runs(spark, sf_dir) -> DataFrame:
     return rows.withColumnsRenamed({"_stdout": "stdout", "_stderr": "stderr"})
 
 
-def run_table(spark, sf_dir) -> DataFrame:
-    return store.run_headers(sanitized_runs(spark, sf_dir), "created_at", LIMITS)
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Headers and lines of all captures, committed once per session and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
+        fresh = cut_lineage(sanitized_runs(spark, sf_dir))
+        store.write_store(
+            store.run_headers(fresh, "created_at", LIMITS),
+            lines.line_index(cap.streams(fresh)),
+            root,
+        )
+        _STORES[key] = root
+    root = _STORES[key]
+    return spark.read.parquet(f"{root}/runs"), spark.read.parquet(f"{root}/lines")
 
 
 def line_table(spark, sf_dir) -> DataFrame:
@@ -798,17 +813,17 @@ def _retrieve_sql(policy: str) -> str:
 
 @job("join_retrieve", D.sql(_retrieve_sql("Warn"), "reqs", "tombs", "headers", "lines"))
 def join_retrieve(spark, sf_dir):
+    runs, kept = stored(spark, sf_dir)
     return store.retrieve(
-        T.requests(spark, sf_dir), header_table(spark, sf_dir), T.tombstones(spark, sf_dir),
-        line_table(spark, sf_dir), F.lit(T.NOW), Policy(prompt_injection_action="Warn"),
+        T.requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), Policy(prompt_injection_action="Warn"),
     )
 
 
 @job("join_context", D.sql(_retrieve_sql("Block"), "reqs", "tombs", "headers", "lines"))
 def join_context(spark, sf_dir):
+    runs, kept = stored(spark, sf_dir)
     return store.retrieve(
-        T.requests(spark, sf_dir), header_table(spark, sf_dir), T.tombstones(spark, sf_dir),
-        line_table(spark, sf_dir), F.lit(T.NOW), Policy(),
+        T.requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), Policy(),
     )
 
 
@@ -858,9 +873,9 @@ def _search_sql(matches: int, scan: int, columns: str) -> str:
     ),
 )
 def join_search(spark, sf_dir):
+    runs, kept = stored(spark, sf_dir)
     found = store.search(
-        _search_requests(spark, sf_dir), run_table(spark, sf_dir), T.tombstones(spark, sf_dir),
-        line_table(spark, sf_dir), F.lit(T.NOW),
+        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW),
     )
     return found.select("request_id", "status", "line", "content", "scan_truncated", "next_line")
 
@@ -874,9 +889,9 @@ def join_search(spark, sf_dir):
 )
 def win_search_caps(spark, sf_dir):
     """Small limits, so that both of them cut."""
+    runs, kept = stored(spark, sf_dir)
     found = store.search(
-        _search_requests(spark, sf_dir), run_table(spark, sf_dir), T.tombstones(spark, sf_dir),
-        line_table(spark, sf_dir), F.lit(T.NOW), max_matches=3, max_scan_bytes=600, check=True,
+        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=3, max_scan_bytes=600, check=True,
     )
     return found.select("request_id", "status", "line", "scan_truncated", "next_line", "next_cursor")
 
@@ -900,9 +915,9 @@ def _render_sql() -> str:
 
 @job("search_pages", D.sql(_render_sql(), "tombs", "headers", "lines"))
 def search_pages(spark, sf_dir):
+    runs, kept = stored(spark, sf_dir)
     found = store.search(
-        _search_requests(spark, sf_dir), run_table(spark, sf_dir), T.tombstones(spark, sf_dir),
-        line_table(spark, sf_dir), F.lit(T.NOW), max_matches=5, max_scan_bytes=4000,
+        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=5, max_scan_bytes=4000,
     )
     return store.render_search(found, Policy(max_chars=600))
 
