@@ -257,7 +257,7 @@ def test_repeated_runs_are_committed_once(spark, tmp_path):
     known = spark.createDataFrame([(RUN(3),)], "run_id string")
     fresh = store.new_runs(df, known)
     assert {(r.run_id, r.arrival) for r in fresh.collect()} == {(RUN(1), 1), (RUN(2), 3)}
-    store.write_store(store.run_headers(fresh, "created_at"), lines.line_index(streams(fresh)), str(tmp_path))
+    store.write_store(store.run_headers(fresh, "created_at"), lines.line_index(streams(fresh, "created_at"), keep=["created_at"]), str(tmp_path))
     kept = spark.read.parquet(f"{tmp_path}/lines").orderBy("run_id").collect()
     assert [(r.run_id, r.text, r.byte_len) for r in kept] == [(RUN(1), "a", 2), (RUN(2), "c", 2)]
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textwarden.sources.checkpoints import cut_lineage
+
 
 def snapshot_diff(
     previous: DataFrame, current: DataFrame, columns: Sequence[str]
@@ -46,29 +48,42 @@ def contract_audit(observed: DataFrame, matrix: DataFrame) -> DataFrame:
         F.col("_m.status").alias("_status"),
         F.lit(True).alias("_listed"),
     )
-    seen = observed.select("case", F.col("exit_code").alias("_seen"), F.lit(True).alias("_observed"))
-    rows = seen.join(entries, "case", "full_outer")
-    listed = F.coalesce("_listed", F.lit(False))
-    was_seen = F.coalesce("_observed", F.lit(False))
     verified = F.coalesce(F.col("_status") == "verified", F.lit(False))
+    # Equal observations are counted before anything is joined, and written once as
+    # two branches read them.
+    seen = cut_lineage(
+        observed.groupBy("case", F.col("exit_code").alias("_seen")).agg(
+            F.count(F.lit(1)).alias("_copies")
+        )
+    )
 
     def failure(kind: str, test: Column) -> Column:
         return F.when(test, F.lit(kind))
 
+    listed = F.coalesce("_listed", F.lit(False))
     kinds = F.array_compact(
         F.array(
-            failure("missing_from_matrix", was_seen & ~listed),
-            failure("not_verified", was_seen & listed & ~verified),
-            failure("wrong_exit_code", was_seen & listed & (F.col("_exit") != F.col("_seen"))),
-            failure("verified_unobserved", ~was_seen & verified),
-            failure(
-                "required_uncovered",
-                listed & ~verified & F.coalesce(F.col("_priority") == "required", F.lit(False)),
-            ),
+            failure("missing_from_matrix", ~listed),
+            failure("not_verified", listed & ~verified),
+            failure("wrong_exit_code", listed & (F.col("_exit") != F.col("_seen"))),
         )
     )
-    found = rows.select("case", F.explode(kinds).alias("failure_kind"))
-    return found.unionByName(repeats).unionByName(unnamed)
+    rows = seen.join(entries, "case", "left").select(
+        "case", "_copies", F.explode(kinds).alias("failure_kind")
+    )
+    rows = rows.select(
+        "case", "failure_kind", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")).alias("_c")
+    ).drop("_c")
+    unseen = entries.where(verified).join(seen.select("case").distinct(), "case", "left_anti")
+    open_cases = entries.where(
+        ~verified & F.coalesce(F.col("_priority") == "required", F.lit(False))
+    )
+    return (
+        rows.unionByName(unseen.select("case", F.lit("verified_unobserved").alias("failure_kind")))
+        .unionByName(open_cases.select("case", F.lit("required_uncovered").alias("failure_kind")))
+        .unionByName(repeats)
+        .unionByName(unnamed)
+    )
 
 
 def block_contract(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -172,20 +172,22 @@ def indexable(text: Column, limits: StoragePolicy = StoragePolicy()) -> Column:
     )
 
 
-def line_index(rows: DataFrame, limits: StoragePolicy = StoragePolicy()) -> DataFrame:
+def line_index(
+    rows: DataFrame, limits: StoragePolicy = StoragePolicy(), keep: Sequence[str] = ()
+) -> DataFrame:
     """``(run_id, stream, text)`` as indexed lines with byte offsets.
 
     The shuffle moves whole streams, before they are split; the split rows are then
     already where the window wants them.  A window group is one stream, which the
     limits keep to a bounded size.
     """
-    rows = rows.select("run_id", "stream", "text").where(indexable(F.col("text"), limits))
+    rows = rows.select("run_id", "stream", *keep, "text").where(indexable(F.col("text"), limits))
     rows = rows.repartition("run_id", "stream")
     rows = rows.withColumnRenamed("text", "line")
-    lines = _split_lines(rows, ["run_id", "stream"]).withColumnRenamed("line", "text")
+    lines = _split_lines(rows, ["run_id", "stream", *keep]).withColumnRenamed("line", "text")
     ending = F.when(F.col("_last"), F.lit("")).otherwise(F.lit("\n"))
     lines = lines.select(
-        "run_id", "stream",
+        "run_id", "stream", *keep,
         F.col("_pos").cast("bigint").alias("line_no"),
         (F.octet_length("text") + F.octet_length(ending)).cast("bigint").alias("byte_len"),
         "text",
@@ -198,7 +200,8 @@ def line_index(rows: DataFrame, limits: StoragePolicy = StoragePolicy()) -> Data
     )
     offset = F.coalesce(F.sum("byte_len").over(before), F.lit(0).cast("bigint"))
     return lines.select(
-        "run_id", "stream", "line_no", offset.alias("byte_offset"), "byte_len", "text", "checksum"
+        "run_id", "stream", *keep, "line_no", offset.alias("byte_offset"), "byte_len", "text",
+        "checksum",
     )
 
 

@@ -72,13 +72,13 @@ def new_runs(runs: DataFrame, existing: DataFrame, arrival: str = "arrival") ->
 
 
 def write_store(runs: DataFrame, lines: DataFrame, root: str) -> None:
-    """Append headers and lines.  Lines are sorted inside their files, so that
+    """Append headers and lines, the latter with ``created_at``.  Lines are sorted inside their files, so that
     row-group statistics on run and line number let readers skip."""
-    dated = F.to_date(F.timestamp_seconds("created_at")).alias("created_date")
-    headers = runs.select("*", dated)
+    date = F.to_date(F.timestamp_seconds("created_at")).alias("created_date")
+    headers = runs.select("*", date)
     headers.write.mode("append").partitionBy("created_date").parquet(f"{root}/runs")
-    days = headers.select("run_id", "created_date")
-    placed = lines.join(days, "run_id").sortWithinPartitions("run_id", "stream", "line_no")
+    placed = lines.select("*", date).drop("created_at")
+    placed = placed.sortWithinPartitions("created_date", "run_id", "stream", "line_no")
     placed.write.mode("append").partitionBy("created_date").parquet(f"{root}/lines")
 
 

@@ -160,7 +160,7 @@ def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         fresh = cut_lineage(sanitized_runs(spark, sf_dir))
         store.write_store(
             store.run_headers(fresh, "created_at", LIMITS),
-            lines.line_index(cap.streams(fresh)),
+            lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]),
             root,
         )
         _STORES[key] = root
@@ -203,7 +203,7 @@ def snk_commit(spark, sf_dir):
     fresh = cut_lineage(store.new_runs(rows.unionByName(again), known))
     root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
     store.write_store(
-        store.run_headers(fresh, "created_at", LIMITS), lines.line_index(cap.streams(fresh)), root
+        store.run_headers(fresh, "created_at", LIMITS), lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]), root
     )
     stored = spark.read.parquet(f"{root}/lines").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n")
