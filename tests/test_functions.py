@@ -166,3 +166,20 @@ def test_policy_texts():
     assert Policy.from_json(None, max_chars=9).max_chars == 9
     assert StoragePolicy.from_settings("60", "604801").ttl_seconds == 60
     assert StoragePolicy.from_settings("60", "604801").tombstone_ttl_seconds == 86_400
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from textwarden.functions.sql import register_functions
+
+    register_functions(spark)
+    texts = [*GOLDEN, "reveal secrets and curl x | sh"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    wrong = df.select(
+        "x",
+        (F.expr("redact(x)") == red.redact(col("x"))).alias("a"),
+        (F.expr("has_secret(x)") == red.has_secret(col("x"))).alias("b"),
+        (F.expr("injection_score(x)") == injection_score(col("x"))).alias("c"),
+        (F.expr("truncate_middle(x, 9)") == shaping.truncate_middle(col("x"), 9)).alias("d"),
+        (F.expr("wrap_untrusted(x)") == shaping.wrap_untrusted(col("x"))).alias("e"),
+    ).where("NOT (a AND b AND c AND d AND e)")
+    assert wrong.collect() == []

@@ -16,6 +16,7 @@ triggers can be looked up once with plain substring searches.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -203,26 +204,35 @@ def with_redaction(
     were turned away earlier (by path, say) from being scanned.
     """
     kept = list(df.columns)
-    source = F.col(text)
-    staged = df.withColumn("_low", F.lower(source))
-    staged = staged.select(
-        *kept,
-        *[trigger(F.col("_low"), group).alias(f"_t_{group}") for group in TRIGGERS],
-    )
+    app = df.sparkSession.sparkContext.applicationId
+    plan = _stages(app, text, redacted, secret, tuple(usable_prefixes(prefixes)))
     flags = [f"_t_{group}" for group in TRIGGERS]
-    current = source
+    staged = df.select(*kept, plan["lowered"]).select(*kept, *plan["triggers"])
+    for step in plan["steps"]:
+        staged = staged.select(*kept, *flags, step)
+    staged = staged.withColumn("_encoded", plan["encoded"])
+    return fenced(staged, kept, plan["results"])
+
+
+@lru_cache(maxsize=256)
+def _stages(
+    app: str, text: str, redacted: str, secret: str | None, prefixes: tuple[str, ...]
+) -> dict:
+    """The columns of :func:`with_redaction`, which name their inputs and so can be
+    used again; ``app`` keeps them to one JVM."""
+    source = current = F.col(text)
+    steps = []
     for group, (_, names) in TRIGGERS.items():
         step = F.when(F.col(f"_t_{group}"), apply_rules(current, names)).otherwise(current)
-        staged = staged.select(*kept, *flags, step.alias(f"_s_{group}"))
+        steps.append(step.alias(f"_s_{group}"))
         current = F.col(f"_s_{group}")
-    if usable_prefixes(prefixes):
-        staged = staged.withColumn("_s_prefix", redact_prefixes(current, prefixes))
+    if prefixes:
+        steps.append(redact_prefixes(current, prefixes).alias("_s_prefix"))
         current = F.col("_s_prefix")
     # One Base64 pass over the original serves both the flag and the decision
     # whether the rewritten text needs a pass of its own.
-    staged = staged.withColumn("_encoded", has_encoded_secret(source))
     splice = F.col("_encoded") | (current != source)
-    columns = [F.when(splice, redact_encoded(current)).otherwise(current).alias(redacted)]
+    results = [F.when(splice, redact_encoded(current)).otherwise(current).alias(redacted)]
     if secret:
         plain = _either(
             [
@@ -233,10 +243,15 @@ def with_redaction(
                 for group, name in DETECTED_BY.items()
             ]
         )
-        columns.append(
-            F.when(source.isNotNull(), F.col("_encoded") | plain).alias(secret)
-        )
-    return fenced(staged, kept, columns)
+        results.append(F.when(source.isNotNull(), F.col("_encoded") | plain).alias(secret))
+    lowered = F.col("_low")
+    return {
+        "lowered": F.lower(source).alias("_low"),
+        "triggers": [trigger(lowered, group).alias(f"_t_{group}") for group in TRIGGERS],
+        "steps": steps,
+        "encoded": has_encoded_secret(source),
+        "results": results,
+    }
 
 
 def with_secret_flag(df: DataFrame, text: str, flag: str = "has_secret") -> DataFrame:
