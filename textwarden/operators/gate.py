@@ -116,16 +116,21 @@ def gate_streams(captures: DataFrame, policy: Policy = Policy()) -> DataFrame:
     rows = streams(rows, *kept, "_rule")
     rows = rows.withColumn("_open", F.when(F.col("_rule").isNull(), F.col("text")))
     rows = with_redaction(rows, "_open", "redacted", prefixes=policy.path_prefixes)
-    rows = rows.withColumn("_cut", truncate_middle(F.col("redacted"), policy.max_chars))
-    rows = with_redaction(rows, "_cut", "shown", prefixes=policy.path_prefixes)
+    # What is shown is filtered once more after the cut.  A text that was neither
+    # changed nor cut would come out as it is, so it is left alone.
+    again = (F.col("redacted") != F.col("_open")) | (F.length("redacted") > policy.max_chars)
+    cut = truncate_middle(F.col("redacted"), policy.max_chars)
+    rows = rows.withColumn("_cut", F.when(again, cut))
+    rows = with_redaction(rows, "_cut", "_cut_red", prefixes=policy.path_prefixes)
+    rows = rows.withColumn("shown", F.coalesce("_cut_red", "redacted"))
     output = F.when(F.col("stream") == "stdout", wrap_untrusted(F.col("shown"))).otherwise(
         F.col("shown")
     )
     rows = rows.withColumn("output", output)
-    redactions = count_redactions(F.col("_open"), F.col("redacted")) + count_redactions(
-        F.col("_cut"), F.col("shown")
-    )
     zero = F.lit(0).cast("bigint")
+    redactions = count_redactions(F.col("_open"), F.col("redacted")) + F.coalesce(
+        count_redactions(F.col("_cut"), F.col("_cut_red")), zero
+    )
     return rows.select(
         "run_id", *kept, "stream",
         F.col("_rule").isNotNull().alias("blocked"),

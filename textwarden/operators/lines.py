@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -55,30 +56,38 @@ def grep(
     path: str = "path",
     text: str = "text",
 ) -> DataFrame:
-    """Lines holding ``literal``, redacted after the match on the raw line.
+    """Lines holding ``literal``, redacted after the match on the raw line."""
+    return grep_many(df, [literal], policy, path, text).drop("query")
 
-    Documents without the literal are dropped before they are split, and paths the
-    policy blocks before their text is looked at.
+
+def grep_many(
+    df: DataFrame,
+    literals: Sequence[str],
+    policy: Policy = Policy(),
+    path: str = "path",
+    text: str = "text",
+) -> DataFrame:
+    """Several literals in one pass over a corpus; ``query`` names the literal.
+
+    Documents without any literal are dropped before they are split, and paths the
+    policy blocks before their text is looked at.  A line is redacted once, however
+    many literals it holds.
     """
-    rows = df.where(block_rule(F.col(path), policy).isNull())
-    rows = rows.where(F.contains(F.col(text), F.lit(literal)))
-    rows = document_lines(rows, text).where(F.contains(F.col("line"), F.lit(literal)))
+
+    def holds_any(column: str) -> Column:
+        tests = [F.contains(F.col(column), F.lit(literal)) for literal in literals]
+        return reduce(lambda a, b: a | b, tests)
+
+    rows = df.where(block_rule(F.col(path), policy).isNull()).where(holds_any(text))
+    rows = document_lines(rows, text).where(holds_any("line"))
     rows = rows.withColumnRenamed("line", "_raw")
     rows = with_redaction(rows, "_raw", "line", prefixes=policy.path_prefixes)
     rows = rows.withColumn("redactions", count_redactions(F.col("_raw"), F.col("line")))
     hit = F.concat_ws(":", F.col(path), F.col("line_no").cast("string"), F.col("line"))
-    return rows.drop("_raw").withColumn("hit", hit)
-
-
-def grep_many(df: DataFrame, literals: Sequence[str], **options) -> DataFrame:
-    """Several literals over one corpus; ``query`` names the literal."""
-    parts = [
-        grep(df, literal, **options).withColumn("query", F.lit(literal)) for literal in literals
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    listed = F.array(*[F.lit(literal) for literal in literals])
+    found = F.filter(listed, lambda q: F.contains(F.col("_raw"), q))
+    rows = rows.withColumn("hit", hit).withColumn("query", F.explode(found))
+    return rows.drop("_raw")
 
 
 def head_tail(

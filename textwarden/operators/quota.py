@@ -43,10 +43,11 @@ def admit(
             flags.append(fits)
         return group.assign(admitted=flags)[["tenant", "arrival", "bytes", "admitted"]]
 
+    # Sizes are costly to compute and read in every round, and once more at the end.
+    runs = cut_lineage(runs)
     todo = runs.where(F.col("stream_bytes") <= limits.max_stream_bytes).select(
         "tenant", "arrival", "bytes"
     )
-    todo = cut_lineage(todo)
     state = todo.select("tenant").distinct()
     zero = F.lit(0).cast("bigint")
     if used is None:
