@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN_DIRS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is set."""
+    """The folder the cluster names; one temporary folder only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if named is None:
-        named = context.getCheckpointDir()
+        named = spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = tempfile.mkdtemp(prefix="textwarden-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="textwarden-")
+        named = _OWN_DIRS[app]
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise once; later branches read the files instead of the sources."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table and go on from there.
+
+    Compared with a checkpoint of the same rows, a table also tells the optimizer how
+    large it is, so a join may broadcast it when, and only when, it is small.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
