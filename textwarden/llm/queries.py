@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from textwarden.llm import line_dedup, mixing, quality, url_filter
+from textwarden.llm import line_dedup, mixing, quality, token_files, tokenize_pieces, url_filter, vector_search, warc
 
 QUERIES = {
+    "op1_top_k_search": vector_search.op1,
     "op2_url_filters": url_filter.op2,
     "op4_quality_rules": quality.op4,
+    "op5_warc": warc.op5,
+    "op7_sentencepiece": tokenize_pieces.op7,
+    "op8_token_files": token_files.op8,
     "op9_mixing": mixing.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
 ORACLES = {
+    "op1_top_k_search": vector_search.SQL,
     "op2_url_filters": url_filter.SQL,
     "op4_quality_rules": quality.SQL,
+    "op5_warc": warc.SQL,
     "op9_mixing": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
