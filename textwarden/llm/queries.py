@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textwarden.llm import line_dedup, mixing, quality, token_files, tokenize_pieces, url_filter, vector_search, warc
+from textwarden.llm import jaccard_join, line_dedup, mixing, quality, token_files, tokenize_pieces, url_filter, vector_search, warc
 
 QUERIES = {
     "op1_top_k_search": vector_search.op1,
     "op2_url_filters": url_filter.op2,
+    "op3_jaccard_join": jaccard_join.op3,
     "op4_quality_rules": quality.op4,
     "op5_warc": warc.op5,
     "op7_sentencepiece": tokenize_pieces.op7,
