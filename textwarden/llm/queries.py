@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textwarden.llm import jaccard_join, line_dedup, mixing, quality, token_files, tokenize_pieces, url_filter, vector_search, warc
+from textwarden.llm import jaccard_join, line_dedup, mixing, quality, token_files, tokenize_pieces, toxicity, url_filter, vector_search, warc
 
 QUERIES = {
     "op1_top_k_search": vector_search.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard_join.op3,
     "op4_quality_rules": quality.op4,
     "op5_warc": warc.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_sentencepiece": tokenize_pieces.op7,
     "op8_token_files": token_files.op8,
     "op9_mixing": mixing.op9,
