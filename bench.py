@@ -51,6 +51,8 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cpus)
+        # The tables are single files of one row group.
+        .config("spark.textwarden.texts.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textwarden-bench-"))
         .getOrCreate()

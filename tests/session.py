@@ -16,6 +16,7 @@ def make_session(cores: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.textwarden.texts.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textwarden-ckpt-"))
         .getOrCreate()

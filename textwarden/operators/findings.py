@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,8 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from textwarden import rules as R
 from textwarden.functions.redaction import TRIGGERS, trigger, with_redaction
 
-LITERALS_PER_PASS = 4096
-
 
 def secret_findings(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per document and rule that hits, counted on the raw text.
@@ -51,19 +50,15 @@ def redact_pages(df: DataFrame, html: str = "html", redacted: str = "redacted")
 def leaks(df: DataFrame, text: str, values: Sequence[str]) -> DataFrame:
     """Pairs of row and known value still present, as ``leaked``.
 
-    The list is a plan-time parameter and is searched inside each row, without a
-    join.  Longer lists take several passes over the table.
+    The list is a plan-time parameter and is searched inside each row, in one pass over
+    the table and without a join.
     """
     kept = [c for c in df.columns if c != text]
     distinct = list(dict.fromkeys(values))
-    result = None
-    for start in range(0, max(len(distinct), 1), LITERALS_PER_PASS):
-        part = distinct[start : start + LITERALS_PER_PASS]
-        listed = F.array(*[F.lit(v) for v in part]).cast("array<string>")
-        found = F.filter(listed, lambda v: F.contains(F.col(text), v))
-        rows = df.select(*kept, F.explode(found).alias("leaked"))
-        result = rows if result is None else result.unionByName(rows)
-    return result
+    # One literal, split when the plan is made, whatever the length of the list.
+    listed = F.from_json(F.lit(json.dumps(distinct)), "array<string>")
+    found = F.filter(listed, lambda v: F.contains(F.col(text), v))
+    return df.select(*kept, F.explode(found).alias("leaked"))
 
 
 def leak_counts(df: DataFrame, text: str, values: Sequence[str]) -> DataFrame:

@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from textwarden.policy import StoragePolicy
 from textwarden.sources.checkpoints import cut_lineage
 
-# Per-tenant state is three numbers; beyond this many tenants it is shuffled.
-BROADCAST_TENANTS = 500_000
 _ADMITTED = "tenant string, arrival bigint, bytes bigint, admitted boolean"
 
 
@@ -61,9 +59,8 @@ def admit(
     order = Window.partitionBy("tenant").orderBy("arrival")
     settled = None
     while True:
-        # Checked size: a broadcast leaves a tenant with very many runs spread out.
-        side = F.broadcast(state) if state.count() <= BROADCAST_TENANTS else state
-        undecided = todo.join(side, "tenant").where(
+        # A written table: Spark knows its size and broadcasts it if it is small.
+        undecided = todo.join(state, "tenant").where(
             (F.col("_after").isNull() | (F.col("arrival") > F.col("_after")))
             & (F.col("_records") < max_records)
             & (F.col("_used") + F.col("bytes") <= max_bytes)

@@ -13,15 +13,18 @@ STATS = (
 )
 
 
-def run_stats(streams: DataFrame, *keep: str) -> DataFrame:
-    """Totals over the two gated streams of each run.
+def run_stats(streams: DataFrame, *keep: str, env: str | None = None) -> DataFrame:
+    """Totals over the two gated streams of each run; blocked runs have none.
 
-    ``keep`` names columns that are equal on both rows of a run.
+    ``keep`` names columns that are equal on both rows of a run; ``env`` a map whose
+    redacted values count once a run.
     """
-    totals = streams.groupBy("run_id", *keep).agg(
+    cleaned = F.lit(0).cast("bigint") if env is None else map_redactions(F.col(env))
+    rows = streams.where(~F.col("blocked")).withColumn("_env", cleaned)
+    totals = rows.groupBy("run_id", *keep).agg(
         F.sum("raw_bytes").alias("raw_bytes"),
         F.sum("returned_bytes").alias("returned_bytes"),
-        F.sum("redactions").alias("redactions"),
+        (F.sum("redactions") + F.max("_env")).alias("redactions"),
         F.sum("warnings").cast("int").alias("prompt_injection_warnings"),
         F.bool_or("truncated").alias("truncated"),
     )

@@ -319,13 +319,12 @@ def search(
     now: str | Column,
     max_matches: int = P.MAX_MATCHES,
     max_scan_bytes: int = P.MAX_SCAN_BYTES,
-    check: bool = False,
 ) -> DataFrame:
     """Literal search in stored lines: one row per hit, or one per request without.
 
     Byte offsets in the index tell where the scan budget ends, so no running sum is
     needed.  The line that would exceed the budget is where the next page starts.
-    ``check`` re-hashes every scanned line and reports damaged streams as corrupt.
+    Every scanned line is hashed again; damaged streams are reported as corrupt.
     """
     requests = valid_search(requests)
     counts = runs.select(
@@ -360,7 +359,7 @@ def search(
         "_block",
         F.explode(_blocks(F.col("start_line"), F.col("_lines") - 1, SEARCH_BLOCK)),
     )
-    stored = check_lines(lines) if check else lines.withColumn("corrupt", F.lit(False))
+    stored = check_lines(lines)
     stored = stored.withColumn("_block", F.floor(F.col("line_no") / SEARCH_BLOCK).cast("bigint"))
     scanned = wanted.join(stored, ["run_id", "stream", "_block"]).where(
         F.col("line_no") >= F.col("start_line")

@@ -220,14 +220,18 @@ def snk_commit(spark, sf_dir):
 
 def stats_table(spark, sf_dir) -> DataFrame:
     gated = gate.gate_streams(T.captures(spark, sf_dir))
-    return report.run_stats(gated, "tenant", "command", "exit_code", "timed_out", "created_at")
+    return report.run_stats(gated, "tenant", "command", "exit_code", "timed_out", "created_at", env="env")
 
 
+_ENV_PAIRS = ("'LANG=C'", "'API_TOKEN=not matched'", "'token=value' || c.doc_id", "'DATABASE=redis://u:p' || c.doc_id || '@h/0'")
+_ENV_SQL = "(" + " + ".join(
+    f"CASE WHEN {D.has_secret(p)} THEN {D.new_markers(p, D.redact(p))} ELSE 0 END" for p in _ENV_PAIRS
+) + ")"
 _STATS_SQL = (
     "stats AS (SELECT g.run_id, c.tenant, c.command, c.exit_code, c.timed_out, c.created_at, "
     "CAST(sum(g.raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(coalesce(strlen(g.output), 0)) AS BIGINT) AS returned_bytes, "
-    "CAST(sum(g.redactions) AS BIGINT) AS redactions, CAST(sum(g.warnings) AS BIGINT) AS prompt_injection_warnings, "
-    "bool_or(g.truncated) AS truncated FROM sgate g JOIN caps c USING (run_id) GROUP BY ALL)"
+    f"CAST(sum(g.redactions) + any_value({_ENV_SQL}) AS BIGINT) AS redactions, CAST(sum(g.warnings) AS BIGINT) AS prompt_injection_warnings, "
+    "bool_or(g.truncated) AS truncated FROM sgate g JOIN caps c USING (run_id) WHERE NOT g.blocked GROUP BY ALL)"
 )
 _STATS_REDUCTION = D.reduction("raw_bytes", "returned_bytes")
 
@@ -708,10 +712,11 @@ def reduction(spark, sf_dir):
     )
 
 
+# DuckDB prints a double's exact decimal value, rounded half to even.
 _REPORT_SQL = (
     "'command: ' || coalesce(command, '-') || chr(10) || 'exit_code: ' || exit_code || chr(10) || 'raw_bytes: ' || raw_bytes "
-    "|| chr(10) || 'returned_bytes: ' || returned_bytes || chr(10) || 'reduction: ' || CASE WHEN returned_bytes < raw_bytes "
-    "THEN 'some' ELSE '0.0' END || '%' || chr(10) || 'redactions: ' || redactions || chr(10) || 'prompt_injection_warnings: ' "
+    f"|| chr(10) || 'returned_bytes: ' || returned_bytes || chr(10) || 'reduction: ' || printf('%.1f', {_STATS_REDUCTION}) "
+    "|| '%' || chr(10) || 'redactions: ' || redactions || chr(10) || 'prompt_injection_warnings: ' "
     "|| prompt_injection_warnings || chr(10) || 'truncated: ' || truncated || chr(10) || 'timeout: ' || timed_out || chr(10)"
 )
 
@@ -724,14 +729,8 @@ _REPORT_SQL = (
     ),
 )
 def report_text(spark, sf_dir):
-    """Engines print one decimal differently, so a non-zero saving reads ``some``."""
     stats = stats_table(spark, sf_dir).withColumnRenamed("timed_out", "timeout")
-    text = report.sanitized_report(stats)
-    saved = F.regexp_replace(text, r"reduction: (?!0\.0%)[0-9.]+%", "reduction: some%")
-    shown = F.when(col("returned_bytes") < col("raw_bytes"), F.regexp_replace(
-        saved, "reduction: 0[.]0%", "reduction: some%"
-    )).otherwise(saved)
-    return stats.select("run_id", shown.alias("report"))
+    return stats.select("run_id", report.sanitized_report(stats).alias("report"))
 
 
 @job(
@@ -891,7 +890,7 @@ def win_search_caps(spark, sf_dir):
     """Small limits, so that both of them cut."""
     runs, kept = stored(spark, sf_dir)
     found = store.search(
-        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=3, max_scan_bytes=600, check=True,
+        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=3, max_scan_bytes=600,
     )
     return found.select("request_id", "status", "line", "scan_truncated", "next_line", "next_cursor")
 
@@ -1364,7 +1363,7 @@ def set_purge(spark, sf_dir):
 
 def _stream(spark, sf_dir) -> DataFrame:
     """The planted documents as a stream, with the times of their captures."""
-    rows = streams.read_stream(spark, sf_dir, "documents.parquet", streams.DOCUMENTS)
+    rows = streams.read_stream(spark, f"{sf_dir}/documents.parquet", streams.DOCUMENTS)
     created = F.expr(f"CAST({T.CREATED} AS BIGINT)")
     return rows.select(
         "doc_id", "source", "lang", F.expr(T.PATH).alias("path"), F.expr(T.TEXT).alias("text"),
@@ -1436,7 +1435,7 @@ def st_commit_once(spark, sf_dir):
 )
 def st_expire(spark, sf_dir):
     """Runs kept for 20,000 seconds, seen at the end of the stream."""
-    rows = streams.read_stream(spark, sf_dir, "documents.parquet", streams.DOCUMENTS)
+    rows = streams.read_stream(spark, f"{sf_dir}/documents.parquet", streams.DOCUMENTS)
     created = F.expr(f"CAST({T.CREATED} AS BIGINT)")
     rows = rows.select(
         F.expr(T.RUN_ID).alias("run_id"), (created + 20_000).alias("expires_at"),

@@ -11,11 +11,17 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; one temporary folder only where none is set."""
+    """The folder that the session names.
+
+    Where it names none, one temporary folder serves a local session; on a cluster,
+    whose machines would each write to a disk of their own, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="textwarden-")

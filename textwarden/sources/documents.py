@@ -17,18 +17,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that comes in fewer pieces than that.
-
-    Text rules are bound by CPU, and a file of one row group is read by one task.
-    Inputs with at least one scan task per core, so all large ones, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Session setting: partitions to deal texts into after the scan; unset, rows stay as scanned.
+PARTITIONS = "spark.textwarden.texts.partitions"
 
 
 def read_texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, name).select(*columns))
+    """Columns of a table of texts.
+
+    Text rules are bound by CPU. A caller who knows that the input is one small file of a
+    single row group, which only one task can read, asks for a number of partitions.
+    """
+    rows = read_table(spark, sf_dir, name).select(*columns)
+    asked = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(asked)) if asked else rows
 
 
 def read_folder(spark: SparkSession, root: str, policy: Policy | None = None) -> DataFrame:

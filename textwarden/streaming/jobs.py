@@ -18,23 +18,36 @@ from textwarden.sources.checkpoints import shared_dir
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def read_stream(spark: SparkSession, folder: str, files: str, schema: str) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
-    )
+def read_stream(
+    spark: SparkSession, table: str, schema: str, files_per_batch: int = 64
+) -> DataFrame:
+    """A table, one file or a folder of part files, as a stream of its files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    # As a pattern, a path may also be that of a single file.
+    return reader.parquet(f"{table[:-1]}[{table[-1]}]")
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder of batches is there yet, on whatever file system it lies."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
-def run_to_end(writer) -> None:
-    """Process what is there, in as many batches as it takes, then stop."""
+def run_to_end(writer) -> int:
+    """Process what is there, in as many batches as it takes, then stop.
+
+    Returns how many rows came later than the watermark allows.
+    """
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(
+        op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators
+    )
 
 
 # ------------------------------------------------------------------ redact and gate
@@ -56,12 +69,18 @@ def gate_stream(docs: DataFrame, out: str, policy: Policy = Policy()) -> None:
 # ------------------------------------------------------------------ live totals
 
 
-def stats_stream(docs: DataFrame, out: str, policy: Policy = Policy()) -> None:
+def stats_stream(
+    docs: DataFrame, out: str, policy: Policy = Policy(), lateness: str = "3 days"
+) -> int:
     """Hourly totals per source.  Each batch writes only the totals it changed, into
-    a folder of its own that a repeated batch overwrites."""
+    a folder of its own that a repeated batch overwrites.
+
+    Rows more than ``lateness`` behind the newest one are not counted in any hour, as
+    its totals are closed; their number is returned.
+    """
     decided = gate.gate_documents(docs, policy)
     totals = (
-        decided.withWatermark("ts", "3 days")
+        decided.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 hour"), "source")
         .agg(
             F.count(F.lit(1)).alias("docs"),
@@ -77,7 +96,7 @@ def stats_stream(docs: DataFrame, out: str, policy: Policy = Policy()) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
-    run_to_end(
+    return run_to_end(
         totals.writeStream.outputMode("update")
         .option("checkpointLocation", f"{out}/checkpoint")
         .foreachBatch(write)
@@ -99,26 +118,36 @@ def latest_stats(spark: SparkSession, out: str) -> DataFrame:
 def commit_stream(
     runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy(), policy: Policy = Policy()
 ) -> None:
-    """Retain each run once, however often it arrives within the retention time."""
-    once = runs.withWatermark("ts", f"{limits.ttl_seconds} seconds")
-    once = once.dropDuplicatesWithinWatermark(["run_id"])
-    for name in ("stdout", "stderr"):
-        once = gate.with_stored_text(once, name, f"_{name}", policy).drop(name)
-    once = once.withColumnsRenamed({"_stdout": "stdout", "_stderr": "stderr"})
+    """Retain each run once, however often and however late it arrives.
+
+    Every batch is compared with the ids stored by earlier ones, so no time limit decides
+    what is a repeat and no run is lost for being late. A batch that runs again replaces
+    its own folders. Lines are written before headers: a run with a header has its lines.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        once = batch.dropDuplicates(["run_id"])
+        earlier = f"{out}/runs"
+        if batch_id > 0 and has_files(session, earlier):
+            known = session.read.parquet(earlier).where(F.col("batch") < batch_id)
+            once = once.join(known.select("run_id"), "run_id", "left_anti")
+        for name in ("stdout", "stderr"):
+            once = gate.with_stored_text(once, name, f"_{name}", policy).drop(name)
+        once = once.withColumnsRenamed({"_stdout": "stdout", "_stderr": "stderr"})
         # Two outputs from one batch: write the sanitised runs first, read them twice.
-        batch.write.mode("overwrite").parquet(f"{out}/sanitized/batch={batch_id}")
-        saved = batch.sparkSession.read.parquet(f"{out}/sanitized/batch={batch_id}")
-        headers = store.run_headers(saved, "created_at", limits)
-        headers.write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
+        once.write.mode("overwrite").parquet(f"{out}/sanitized/batch={batch_id}")
+        saved = session.read.schema(once.schema).parquet(f"{out}/sanitized/batch={batch_id}")
+        saved = saved.where(lines.indexable(F.col("stdout"), limits) & lines.indexable(F.col("stderr"), limits))
         index = lines.line_index(streams(saved), limits)
         index.sortWithinPartitions("run_id", "stream", "line_no").write.mode(
             "overwrite"
         ).parquet(f"{out}/lines/batch={batch_id}")
+        headers = store.run_headers(saved, "created_at", limits)
+        headers.write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
 
     run_to_end(
-        once.writeStream.outputMode("append")
+        runs.writeStream.outputMode("append")
         .option("checkpointLocation", f"{out}/checkpoint")
         .foreachBatch(write)
     )
@@ -131,12 +160,13 @@ _STATE = "expires_at bigint, buried boolean"
 
 
 def expire_stream(
-    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy()
-) -> None:
+    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy(), lateness: str = "0 seconds"
+) -> int:
     """Emit a tombstone when a run's time is over; forget it when the tombstone's is.
 
-    Time is the stream's own (its watermark), so a replay gives the same rows.
-    State is two numbers per run.
+    Time is the stream's own: its newest row less ``lateness``, so a replay gives the same
+    rows. State is two numbers per run. Rows that come later than that are returned as
+    a number; :func:`sweep_late` finds what they leave undone in the tables.
     """
     keep = limits.tombstone_ttl_seconds
 
@@ -172,15 +202,30 @@ def expire_stream(
 
     expired = (
         runs.select("run_id", "expires_at", "ts")
-        .withWatermark("ts", "0 seconds")
+        .withWatermark("ts", lateness)
         .groupBy("run_id")
         .applyInPandasWithState(
             step, TOMBSTONES, _STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
-    run_to_end(
+    return run_to_end(
         expired.writeStream.format("parquet")
         .option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint")
         .outputMode("append")
     )
+
+
+def sweep_late(
+    runs: DataFrame, tombstones: DataFrame, now: int, limits: StoragePolicy = StoragePolicy()
+) -> DataFrame:
+    """Tombstones for runs past due that the stream has buried none for, ``(run_id, expires_at)`` given.
+
+    The batch twin of :func:`expire_stream`: it sees all runs, however late they came.
+    """
+    due = runs.groupBy("run_id").agg(F.min("expires_at").alias("recorded_at"))
+    due = due.where(F.col("recorded_at") <= now)
+    return due.join(tombstones.select("run_id"), "run_id", "left_anti").select(
+        "run_id", F.lit("expired").alias("status"), "recorded_at",
+        (F.col("recorded_at") + limits.tombstone_ttl_seconds).alias("expires_at"),
+    )
