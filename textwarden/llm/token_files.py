@@ -221,9 +221,9 @@ def write_token_files(
         def flush() -> pd.DataFrame:
             path = f"{folder}/{uuid.uuid4()}.s8b"
             write_file(path, file_parts(lengths, np.frombuffer(b"".join(held), dtype="<u4")))
-            ids = pd.array(keys, dtype="Int64")
+            low = pd.array([None if keys[0] is None else int(keys[0])], dtype="Int64")
             return pd.DataFrame(
-                {"path": [path], "low": ids[:1], "part": [order], "n_docs": [len(keys)], "n_ids": [size], "ids": [ids.to_numpy(dtype=object, na_value=None)]}
+                {"path": [path], "low": low, "part": [order], "n_docs": [len(keys)], "n_ids": [size], "ids": [keys]}
             )
 
         for batch in batches:
@@ -231,7 +231,7 @@ def write_token_files(
                 part = batch.iloc[at : at + 256]
                 for key, raw in zip(part["doc_id"], code.encode(part["text"].tolist())):
                     raw += end
-                    keys.append(None if pd.isna(key) else int(key))
+                    keys.append(key)
                     lengths.append(len(raw) // 4)
                     held.append(raw)
                     size += len(raw) // 4
@@ -242,7 +242,7 @@ def write_token_files(
             yield flush()
 
     files = cut_lineage(
-        dealt.mapInPandas(run, "path string, low long, part int, n_docs long, n_ids long, ids array<long>")
+        dealt.mapInPandas(run, "path string, low long, part int, n_docs long, n_ids long, ids array<string>")
     )
     before = Window.orderBy(F.col("low").asc_nulls_first(), "part", "path").rowsBetween(Window.unboundedPreceding, -1)
     order = files.select("path", "low", "part", "n_docs", "n_ids").withColumn(
@@ -268,10 +268,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     sums.append(zlib.crc32(ids.tobytes()))
                     at += len(ids)
                 yield pd.DataFrame(
-                    {"doc_id": pd.array(list(keys), dtype="Int64"), "start": starts, "n_tokens": lengths, "ids_crc32": sums}
+                    {"doc_id": list(keys), "start": starts, "n_tokens": lengths, "ids_crc32": sums}
                 )
 
-    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = spread.mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return read.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_files(docs: DataFrame, tokenizer_file: str, **columns: str) -> DataFrame:
