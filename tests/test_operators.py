@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs, and the shape of their plans."""
 
 import random
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,13 +276,14 @@ def test_full_purge_counts_runs_and_tombstones(spark):
     assert removed.first().removed == 2 + 3 and left.count() == 0 and kept.count() == 0
 
 
-def test_leaks_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(findings, "LITERALS_PER_PASS", 2)
+def test_leaks_in_one_pass(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "cde"), (3, "")], "id int, text string")
     rows = findings.leaks(df, "text", ["a", "b", "c", "c", "e"]).collect()
     assert sorted((r.id, r.leaked) for r in rows) == [(1, "a"), (1, "b"), (1, "c"), (2, "c"), (2, "e")]
     counts = {r.value: r.leaked_rows for r in findings.leak_counts(df, "text", ["a", "z"]).collect()}
     assert counts == {"a": 1, "z": 0}
+    many = findings.leaks(df, "text", ["a", *[f'{i}"x' for i in range(10_000)]])
+    assert many.count() == 1 and plan_of(many).count("Generate") <= 2
 
 
 def test_redact_map_drops_values_the_rules_reach_into(spark):
@@ -317,3 +319,70 @@ def test_redaction_is_idempotent_on_the_tables(spark, tiny):
         df = documents.read_table(spark, tiny, table).select(text)
         twice = with_redaction(with_redaction(df, text, "a"), "a", "b")
         assert twice.where("a <> b").count() == 0
+
+
+def test_one_decimal_rounds_the_exact_value(spark):
+    from textwarden.functions.shaping import one_decimal
+
+    draw = random.Random(1)
+    values = [0.0, 100.0, 0.05, 0.15, 0.25, 0.35, 0.75, 2.25, 99.95, 99.85, 12.749999999999998]
+    values += [k / 20 for k in range(200)] + [100 * draw.randrange(1000) / draw.randrange(1000, 2000) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", one_decimal(col("v")).alias("t")).collect()
+    wanted = lambda v: str(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_EVEN))
+    assert [(r.v, r.t) for r in rows] == [(r.v, wanted(r.v)) for r in rows]
+
+
+def test_blocked_runs_have_no_statistics(spark):
+    columns = "run_id string, blocked boolean, raw_bytes bigint, returned_bytes bigint, redactions bigint, warnings int, truncated boolean, env map<string,string>"
+    env = {"token": "abc", "LANG": "C"}
+    rows = [("a", False, 5, 4, 1, 0, False, env), ("a", False, 1, 1, 0, 0, False, env), ("b", True, 0, 0, 0, 0, False, env)]
+    got = report.run_stats(spark.createDataFrame(rows, columns), env="env").collect()
+    assert [(r.run_id, r.raw_bytes, r.redactions) for r in got] == [("a", 6, 2)]
+
+
+def test_streams_over_part_files_keep_late_and_repeated_runs(spark, tmp_path):
+    from textwarden.streaming import jobs
+
+    schema = "run_id string, command_kind string, stdout string, stderr string, created_at bigint, ts timestamp, expires_at bigint"
+    table = f"{tmp_path}/runs.parquet"
+    times = [1_000, 400_000, 800_000, 1_200_000, 10]  # the last file comes very late
+    for k, at in enumerate(times):
+        rows = [(RUN(10 * k + i), "cat", f"line {i}\n", "", at, at + 500) for i in range(4)] + [(RUN(0), "cat", "again", "", at, at + 500)]
+        df = spark.createDataFrame(rows, "run_id string, command_kind string, stdout string, stderr string, created_at bigint, expires_at bigint")
+        df = df.withColumn("ts", F.timestamp_seconds("created_at")).select(*[c.split()[0] for c in schema.split(", ")])
+        df.coalesce(1).write.mode("append").parquet(table)
+    given = jobs.read_stream(spark, table, schema, files_per_batch=1)
+    jobs.commit_stream(given, f"{tmp_path}/store")
+    headers = spark.read.parquet(f"{tmp_path}/store/runs")
+    assert headers.count() == headers.select("run_id").distinct().count() == 20
+    assert headers.select("batch").distinct().count() == 5
+    kept = spark.read.parquet(f"{tmp_path}/store/lines").select("run_id").distinct()
+    assert kept.join(headers, "run_id").count() == 20
+
+    limits = StoragePolicy(ttl_seconds=500, tombstone_ttl_seconds=100)
+    late = jobs.expire_stream(jobs.read_stream(spark, table, schema, 1), f"{tmp_path}/expired", limits)
+    buried = spark.read.parquet(f"{tmp_path}/expired/data")
+    assert late > 0 and buried.count() == buried.select("run_id").distinct().count() < 20
+    missed = jobs.sweep_late(spark.read.parquet(table), buried, 1_200_000, limits)
+    due = spark.read.parquet(table).groupBy("run_id").agg(F.min("expires_at").alias("e")).where("e <= 1200000").count()
+    assert missed.count() > 0 and buried.select("run_id").union(missed.select("run_id")).distinct().count() == due
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from textwarden.sources.checkpoints import shared_dir
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
