@@ -386,3 +386,12 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_lost_lines_and_oversize_runs(spark):
+    headers, index = store_of(spark, {1: "a\nb\nc\nd\ne\n", 2: "x\ny\n"})
+    lost = index.where(~((col("run_id") == RUN(1)) & (col("line_no") == 2)))
+    rows = retrieve(spark, headers, lost, [(1, 1, 2), (1, 4, 1), (2, 0, 2), (2, 1, 50)])
+    assert [r.status for r in rows] == ["corrupt", "active", "active", "active"]
+    runs = spark.createDataFrame([(RUN(1), "short", ""), (RUN(2), "", "x" * 99)], "run_id string, stdout string, stderr string")
+    assert [r.run_id for r in store.storable(runs, StoragePolicy(max_stream_bytes=50)).collect()] == [RUN(1)]

@@ -14,7 +14,7 @@ from textwarden import policy as P
 from textwarden.functions.injection import injection_score
 from textwarden.functions.redaction import count_redactions, redact, with_redaction
 from textwarden.functions.shaping import fit_budget, match_excerpt, wrap_bounded
-from textwarden.operators.lines import check_lines, line_count, newline_count, stored_line
+from textwarden.operators.lines import check_lines, indexable, line_count, newline_count, stored_line
 from textwarden.policy import Policy, StoragePolicy
 from textwarden.sources.captures import is_run_id
 
@@ -71,15 +71,23 @@ def new_runs(runs: DataFrame, existing: DataFrame, arrival: str = "arrival") ->
     return rows.drop("_first").join(existing.select("run_id"), "run_id", "left_anti")
 
 
+def storable(runs: DataFrame, limits: StoragePolicy = StoragePolicy()) -> DataFrame:
+    """Runs of which both streams keep within the limits; others are not kept at all."""
+    return runs.where(indexable(F.col("stdout"), limits) & indexable(F.col("stderr"), limits))
+
+
 def write_store(runs: DataFrame, lines: DataFrame, root: str) -> None:
-    """Append headers and lines, the latter with ``created_at``.  Lines are sorted inside their files, so that
-    row-group statistics on run and line number let readers skip."""
+    """Append lines, which come with ``created_at``, then headers: a run with a header has its lines.
+
+    Lines are sorted inside their files, so that row-group statistics on run and line
+    number let readers skip.
+    """
     date = F.to_date(F.timestamp_seconds("created_at")).alias("created_date")
-    headers = runs.select("*", date)
-    headers.write.mode("append").partitionBy("created_date").parquet(f"{root}/runs")
     placed = lines.select("*", date).drop("created_at")
     placed = placed.sortWithinPartitions("created_date", "run_id", "stream", "line_no")
     placed.write.mode("append").partitionBy("created_date").parquet(f"{root}/lines")
+    headers = runs.select("*", date)
+    headers.write.mode("append").partitionBy("created_date").parquet(f"{root}/runs")
 
 
 def receipts(decided: DataFrame) -> DataFrame:
@@ -195,7 +203,10 @@ def retrieve(
     now: str | Column,
     policy: Policy = Policy(),
 ) -> DataFrame:
-    """Line ranges, blocked when an injection phrase lies in or next to them."""
+    """Line ranges, blocked when an injection phrase lies in or next to them.
+
+    A range of which a line is damaged, or missing though the header counts it, is corrupt.
+    """
     requests = valid_range(requests)
     bad = requests.where(F.col("error").isNotNull()).select(
         "request_id", F.col("error").alias("status"),
@@ -203,8 +214,14 @@ def retrieve(
     )
     good = requests.where(F.col("error").isNull()).drop("error")
     found = resolve_status(good, runs.select(
-        "run_id", "schema_version", "created_at", "expires_at"
+        "run_id", "schema_version", "created_at", "expires_at",
+        F.col("stdout.line_count").alias("_out_lines"),
+        F.col("stderr.line_count").alias("_err_lines"),
     ), tombstones, now)
+    stream_lines = F.when(F.col("stream") == "stdout", F.col("_out_lines")).otherwise(
+        F.col("_err_lines")
+    )
+    found = found.withColumn("_lines", stream_lines).drop("_out_lines", "_err_lines")
 
     # The context starts one line early and is two lines longer; at line 0 that
     # means two lines after the range.
@@ -228,22 +245,25 @@ def retrieve(
     ordered = F.array_sort(F.collect_list(F.struct("line_no", raw.alias("raw"), chosen.alias("sel"))))
     # At most 2,002 lines per request.
     gathered = pieces.groupBy("request_id").agg(
-        ordered.alias("_l"), F.bool_or("corrupt").alias("_corrupt")
+        ordered.alias("_l"), F.bool_or("corrupt").alias("_corrupt"), F.count(F.lit(1)).alias("_got")
     )
 
     def joined(part: Column) -> Column:
         return F.array_join(F.transform(part, lambda e: e["raw"]), "")
 
     gathered = gathered.select(
-        "request_id", "_corrupt",
+        "request_id", "_corrupt", "_got",
         joined(F.col("_l")).alias("_context"),
         joined(F.filter("_l", lambda e: e["sel"])).alias("_selected"),
     )
     rows = found.join(gathered, "request_id", "left")
     active = F.col("status") == "active"
+    from_line = F.greatest(F.col("start_line") - 1, F.lit(0).cast("bigint"))
+    expected = F.least(F.col("_lines"), from_line + F.col("lines") + 2) - from_line
+    lost = F.coalesce(F.coalesce("_got", F.lit(0)) < expected, F.lit(False))
     rows = rows.withColumns(
         {
-            "status": F.when(active & F.coalesce("_corrupt", F.lit(False)), F.lit("corrupt"))
+            "status": F.when(active & (lost | F.coalesce("_corrupt", F.lit(False))), F.lit("corrupt"))
             .otherwise(F.col("status")),
             "_context": F.coalesce("_context", F.lit("")),
             "_selected": F.coalesce("_selected", F.lit("")),

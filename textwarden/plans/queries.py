@@ -157,7 +157,7 @@ def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
-        fresh = cut_lineage(sanitized_runs(spark, sf_dir))
+        fresh = cut_lineage(store.storable(sanitized_runs(spark, sf_dir)))
         store.write_store(
             store.run_headers(fresh, "created_at", LIMITS),
             lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]),
@@ -200,7 +200,7 @@ def snk_commit(spark, sf_dir):
     rows = sanitized_runs(spark, sf_dir).withColumn("arrival", col("doc_id"))
     again = rows.where(col("doc_id") % 50 == 3).withColumn("arrival", col("arrival") + 10**12)
     known = header_table(spark, sf_dir).where(col("doc_id") % 10 == 7)
-    fresh = cut_lineage(store.new_runs(rows.unionByName(again), known))
+    fresh = cut_lineage(store.storable(store.new_runs(rows.unionByName(again), known)))
     root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
     store.write_store(
         store.run_headers(fresh, "created_at", LIMITS), lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]), root

@@ -138,7 +138,7 @@ def commit_stream(
         # Two outputs from one batch: write the sanitised runs first, read them twice.
         once.write.mode("overwrite").parquet(f"{out}/sanitized/batch={batch_id}")
         saved = session.read.schema(once.schema).parquet(f"{out}/sanitized/batch={batch_id}")
-        saved = saved.where(lines.indexable(F.col("stdout"), limits) & lines.indexable(F.col("stderr"), limits))
+        saved = store.storable(saved, limits)
         index = lines.line_index(streams(saved), limits)
         index.sortWithinPartitions("run_id", "stream", "line_no").write.mode(
             "overwrite"
