@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm.components import components
@@ -17,9 +18,14 @@ from textwarden.sources.checkpoints import cut_lineage
 #: Two documents link when PERCENT of the union of their shingles are in both.
 SHINGLE, PERCENT = 3, 90
 #: Shingles, over all members, of a region that one task joins; larger ones are divided.
-LEAF = 2_000_000
-#: Pivots that divide a region, and divisions after which what is still large is joined in blocks.
-PIVOTS, DEPTH = 16, 3
+LEAF = 4_000_000
+#: Divisions after which what is still large is joined in blocks.
+DEPTH = 4
+#: Pivots keep this distance from each other; members this near to one are at home in its cell.
+APART, NEAR = 0.3, 0.5
+#: Windows of all documents, and the wider ones of those that remain: shingles that partners share in them,
+#: as a share of those that may be missing.
+FIRST, SECOND = 1 / 3, 1.0
 #: Rounds in which documents without enough shared shingles leave before regions are formed.
 PEELS = 2
 _SLACK = 1e-9
@@ -46,27 +52,29 @@ def at_least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shared_in_window(n: int, percent: int) -> int:
+def shared_in_window(n: int, percent: int, width: float = FIRST) -> int:
     """How many of its first shingles, at least, a set of n shares with the window of one that it links to."""
-    return max(1, (n - at_least(n, percent)) // 3 + 1)
+    least = at_least(n, percent)
+    return max(1, min(least, int((n - least) * width) + 1))
 
 
-def window(n: int, percent: int) -> int:
+def window(n: int, percent: int, width: float = FIRST) -> int:
     """How many of the smallest shingles of a set stand for it.
 
     Of n shingles at most n - at_least(n) are missing in a partner, so among the first of
     that number plus l are the first l common ones.
     """
-    return n - at_least(n, percent) + shared_in_window(n, percent)
+    return n - at_least(n, percent) + shared_in_window(n, percent, width)
 
 
-def _fewest(n: Column, percent: int) -> Column:
+def _fewest(n: Column, percent: int, width: float) -> Column:
     """shared_in_window() of the smallest set that a set of n can link to: it holds for every partner."""
     least = F.ceil(percent * n / 100)
-    return F.greatest(F.lit(1), F.floor((least - F.ceil(percent * least / 100)) / 3) + 1)
+    inner = F.ceil(percent * least / 100)
+    return F.greatest(F.lit(1), F.least(inner, F.floor((least - inner) * F.lit(width)) + 1))
 
 
-def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _profiles(docs: DataFrame, size: int, percent: int, width: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -77,11 +85,11 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         "doc_id": part["doc_id"].to_numpy(),
                         "n": [len(s) for s in sets],
                         "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                        "first": [s[: window(len(s), percent)] for s in sets],
+                        "first": [s[: window(len(s), percent, width)] for s in sets],
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, first array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, first array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -96,68 +104,76 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     }
                 )
 
-    return docs.mapInPandas(run, "region long, doc_id long, shingles binary")
+    return docs.select("region", "doc_id", "text").mapInPandas(run, "region long, doc_id long, shingles binary")
 
 
 class Space:
-    """Documents as sets; distances from one of them to many at once."""
+    """Sets with an index from each shingle to the sets that hold it; costs follow what is shared."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.all = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        whole = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+        self.values, self.code, self.df = np.unique(whole, return_inverse=True, return_counts=True)
+        self.code = self.code.astype(np.int32)
+        del whole
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        self.owners = owners[np.argsort(self.code, kind="stable")]
+        self.first = np.cumsum(self.df) - self.df
         self.ends = np.cumsum(self.sizes)
 
-    def common(self, pivot: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How many shingles the sets at the given places share with the pivot."""
-        if len(pivot) == 0 or len(at) == 0:
-            return np.zeros(len(at), dtype=np.int64)
-        starts = self.ends[at] - self.sizes[at]
-        bounds = np.concatenate([[0], np.cumsum(self.sizes[at])])
-        places = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], self.sizes[at])
-        values = self.all[places]
-        found = np.minimum(np.searchsorted(pivot, values), len(pivot) - 1)
-        hits = np.concatenate([[0], np.cumsum(pivot[found] == values)])
-        return hits[bounds[1:]] - hits[bounds[:-1]]
+    def codes(self, i: int) -> np.ndarray:
+        return self.code[self.ends[i] - self.sizes[i] : self.ends[i]]
 
-    def get(self, i: int) -> np.ndarray:
-        return self.all[self.ends[i] - self.sizes[i] : self.ends[i]]
+    def lookup(self, other: np.ndarray) -> np.ndarray:
+        """Codes of those shingles of a foreign set that are known here."""
+        at = np.minimum(np.searchsorted(self.values, other), max(0, len(self.values) - 1))
+        return at[self.values[at] == other] if len(self.values) else at[:0]
+
+    def holders(self, codes: np.ndarray) -> np.ndarray:
+        """For each of the given shingles all sets that hold it, one after the other."""
+        counts = self.df[codes]
+        before = np.cumsum(counts) - counts
+        return self.owners[np.arange(counts.sum()) + np.repeat(self.first[codes] - before, counts)]
+
+    def common(self, codes: np.ndarray) -> np.ndarray:
+        """How many of the given shingles each set holds."""
+        return np.bincount(self.holders(codes), minlength=len(self.sizes))
+
+    def some(self, codes: np.ndarray, number: int) -> np.ndarray:
+        """The sets that hold at least one of so many of the shingles, the rarest of them."""
+        if number < len(codes):
+            codes = codes[np.argpartition(self.df[codes], number - 1)[:number]]
+        return np.unique(self.holders(codes))
 
 
 def join_region(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the place of another of its group of linked sets, or its own; exact.
 
-    Pivots come from the smallest group first. The distances to a pivot link its ball
-    and, by the triangle inequality, tell for later pivots which sets are too far off.
-    Sets of one group need not be compared, so the work is over once all that have not
-    been pivots are one group.
+    Every set is a pivot in turn. Its ball can only hold sets of like size with at least
+    one of any missing + 1 of its shingles, of which the rarest are taken. A set at
+    distance d from an earlier pivot is farther than r from all that lie more than r nearer
+    or farther; one such pivot is known of each set. Sets of one group are not compared.
     """
     space, n, radius = Space(sets), len(sets), 1 - percent / 100
     group = np.arange(n)
-    waiting = np.ones(n, dtype=bool)
-    known: list[np.ndarray] = []
-    while waiting.any():
-        groups, members = np.unique(group[waiting], return_counts=True)
-        if len(groups) == 1:
-            break
-        smallest = groups[np.argmin(members)]
-        pivot = int(np.flatnonzero(waiting & (group == smallest))[0])
-        waiting[pivot] = False
-        size = space.sizes[pivot]
-        fits = waiting & (group != group[pivot])
-        fits &= 100 * np.minimum(space.sizes, size) >= percent * np.maximum(space.sizes, size)
-        for distances in known:
-            fits &= ~(np.abs(distances - distances[pivot]) > radius + _SLACK)
-        at = np.flatnonzero(fits)
+    done = np.zeros(n, dtype=bool)
+    anchor, reach = np.full(n, -1), np.zeros(n)
+    for pivot in np.argsort(-space.sizes, kind="stable"):
+        done[pivot] = True
+        size = int(space.sizes[pivot])
+        codes = space.codes(pivot)
+        at = space.some(codes, size - at_least(size, percent) + 1)
+        at = at[~done[at] & (group[at] != group[pivot])]
+        at = at[100 * np.minimum(space.sizes[at], size) >= percent * np.maximum(space.sizes[at], size)]
+        same = (anchor[at] >= 0) & (anchor[at] == anchor[pivot])
+        at = at[~(same & (np.abs(reach[at] - reach[pivot]) > radius + _SLACK))]
         if len(at) == 0:
             continue
-        common = space.common(space.get(pivot), at)
+        common = space.common(codes)[at]
         union = space.sizes[at] + size - common
-        linked = at[100 * common >= percent * union]
-        if len(known) < PIVOTS:
-            distances = np.full(n, np.nan)
-            distances[at], distances[pivot] = 1 - common / union, 0.0
-            known.append(distances)
-        for g in np.unique(group[linked]):
+        new = anchor[at] < 0
+        anchor[at[new]], reach[at[new]] = pivot, 1 - common[new] / union[new]
+        for g in np.unique(group[at[100 * common >= percent * union]]):
             group[group == g] = group[pivot]
     return group.tolist()
 
@@ -173,54 +189,66 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(run, "u long, v long").where("u <> v")
 
 
-def _divide(rows: DataFrame, sizes: DataFrame, leaf: int, percent: int, level: int) -> DataFrame:
-    """parent, region, doc_id, shingles: rows of the Voronoi cells of large regions; and, with region null and pivot, the links to pivots.
-
-    Each region's pivots are some of its members, chosen by a hash. A member is at home
-    with its nearest pivot and a guest with every other whose distance is at most 2r
-    larger: whoever is within r of a member at home there is then a guest or at home too.
-    Members are dealt into slices that each get the pivots, so a region takes many tasks.
+def _net(space: Space) -> list[int]:
+    """Places of sets, in order, that keep their distance from the earlier ones."""
+    kept: list[int] = []
+    covered = np.zeros(len(space.sizes), dtype=bool)
+    for i in range(len(space.sizes)):
+        if not covered[i]:
+            kept.append(i)
+            common = space.common(space.codes(i))
+            covered |= 1 - common / (space.sizes + space.sizes[i] - common) <= APART
+    return kept
+
+
+def _divide(rows: DataFrame, large: DataFrame, leaf: int, percent: int, level: int) -> DataFrame:
+    """parent, region, doc_id: members of the Voronoi cells of large regions; with region null and pivot, links to pivots.
+
+    Each region's pivots are drawn from its members by a hash, as many as half a leaf
+    holds, and thinned to a net. A member is at home in the cell of its nearest pivot if
+    that is NEAR. If x is at home with p, whoever is within r of x is no farther from p
+    than NEAR + r, and than 2r more than from its own nearest pivot: members are guests of
+    all such cells. Members that are near no pivot can otherwise link only to each other
+    and form one more cell. Distances come from an index of the pivots' shingles, so
+    pivots that share nothing with a member cost nothing. Members are dealt into slices
+    that each get the pivots, so a region takes many tasks.
     """
     radius = 1 - percent / 100
     slices = F.ceil(F.col("weight") / leaf).cast("int")
-    members = rows.join(sizes, "region").withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int"))
-    order = F.xxhash64("doc_id", F.lit(level))
-    # About twice as many rows as pivots, whatever the size of the region.
-    drawn = (F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 2 * PIVOTS
-    pivots = (
-        rows.join(sizes, "region").withColumn("h", order).where(drawn).groupBy("region", slices.alias("slices"))
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "doc_id", "shingles"))), 1, PIVOTS).alias("pivots"))
-        .select("region", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "pivots")
-    )
-    ready = members.join(pivots, ["region", "slice"], "left").select(
-        "region", "doc_id", "shingles", F.col("pivots.doc_id").alias("pivot_ids"), F.col("pivots.shingles").alias("pivot_sets")
+    known = rows.join(large, "region").withColumn("h", F.xxhash64("doc_id", F.lit(level)))
+    members = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int")).select("region", "slice", "doc_id", "shingles")
+    drawn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < leaf / 2 / F.col("weight")
+    pivots = cut_lineage(
+        known.where(drawn).select(
+            "region", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "h", F.col("doc_id").alias("pivot"), F.col("shingles").alias("set")
+        )
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for region, doc_id, raw, ids, sets in batch.itertuples(index=False):
-                if ids is None:  # no member was drawn: the region stays as it is
-                    out.append((region, region, doc_id, raw, None))
-                    continue
-                own = np.frombuffer(raw, dtype=np.int64)
-                distances = []
-                for pivot_id, pivot in zip(ids, sets):
-                    pivot = np.frombuffer(pivot, dtype=np.int64)
-                    common = len(np.intersect1d(own, pivot, assume_unique=True))
-                    union = len(own) + len(pivot) - common
-                    distances.append(1 - common / union)
-                    if 100 * common >= percent * union:
-                        out.append((region, None, doc_id, None, pivot_id))
-                near = min(distances)
-                for k, distance in enumerate(distances):
-                    if distance <= near + 2 * radius + _SLACK:
-                        cell = int.from_bytes(hashlib.blake2b(f"{region} {level} {k}".encode(), digest_size=8).digest(), "little", signed=True)
-                        out.append((region, cell, doc_id, raw, None))
-            frame = pd.DataFrame(out, columns=["parent", "region", "doc_id", "shingles", "pivot"]).astype({"region": "Int64", "doc_id": "Int64", "pivot": "Int64"})
-            yield frame
-
-    return ready.mapInPandas(run, "parent long, region long, doc_id long, shingles binary, pivot long")
+    def run(key, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        region = int(key[0])
+        pivots = pivots.sort_values(["h", "pivot"])
+        space = Space([np.frombuffer(s, dtype=np.int64) for s in pivots["set"]])
+        net = np.array(_net(space), dtype=np.int64)
+        ids = pivots["pivot"].to_numpy()[net]
+        name = lambda k: int.from_bytes(hashlib.blake2b(f"{region} {level} {k}".encode(), digest_size=8).digest(), "little", signed=True)
+        cells, rest = [name(k) for k in ids.tolist()], name("far")
+        out = []
+        for doc_id, raw in zip(members["doc_id"].tolist(), members["shingles"]):
+            own = np.frombuffer(raw, dtype=np.int64)
+            common = space.common(space.lookup(own))[net]
+            union = space.sizes[net] + len(own) - common
+            distance = 1 - common / union
+            least = distance.min(initial=1.0)
+            out += [(region, None, doc_id, ids[k]) for k in np.flatnonzero(100 * common >= percent * union)]
+            if least > NEAR:
+                out.append((region, rest, doc_id, None))
+            out += [(region, cells[k], doc_id, None) for k in np.flatnonzero(distance <= min(least + 2 * radius, NEAR + radius) + _SLACK)]
+        # Column by column: next to None, pandas would make the ids floating-point numbers.
+        columns = zip(*out) if out else ([], [], [], [])
+        return pd.DataFrame({k: pd.array(list(v), dtype="Int64") for k, v in zip(("parent", "region", "doc_id", "pivot"), columns)})
+
+    key = ["region", "slice"]
+    return members.groupBy(key).cogroup(pivots.groupBy(key)).applyInPandas(run, "parent long, region long, doc_id long, pivot long")
 
 
 def _join_blocks(rows: DataFrame, labels: DataFrame, leaf: int, percent: int) -> DataFrame:
@@ -251,71 +279,104 @@ def _join_blocks(rows: DataFrame, labels: DataFrame, leaf: int, percent: int) ->
     return _join_groups(inner.unionByName(across).unionByName(among), ["region", "kind", "i", "j"], percent)
 
 
-def join_regions(rows: DataFrame, percent: int = PERCENT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """u, v: links that connect all documents of each region that are linked; exact.
 
-    rows: region, doc_id, shingles. Regions of up to `leaf` shingles are joined each in
-    one task. Larger ones are divided by pivots into Voronoi cells, which are regions of
-    the next level; cells whose members the links to pivots have made one group are
-    done. Where windows are so wide that cells hold more than twice the region's members,
-    as among near copies of one text, and after `depth` levels, the region is joined in
-    blocks instead.
+    members: region, doc_id, n; sets: region, doc_id, shingles of the same rows. Regions of
+    up to `leaf` shingles are joined each in one task. Larger ones are divided by pivots
+    into Voronoi cells, which are regions of the next level; cells whose members the
+    links to pivots have made one group are done. Where cells hold more than twice the
+    region's members, or one of them nearly all, as among near copies of one text, and
+    after `depth` levels, the region is joined in blocks instead. What is small or large
+    is told from members alone, so that whole sets are moved only to be joined.
     """
-    links = None
+    totals = members.groupBy("region").agg(F.sum("n").alias("weight"), F.count("*").alias("count")).where("count > 1")
+    sizes = cut_lineage(totals)
+    large = sizes.where(F.col("weight") > leaf)
+    fits = sizes.where(F.col("weight") <= leaf).select("region")
+    links = cut_lineage(_join_groups(sets.join(fits, "region"), ["region"], percent))
+    if large.isEmpty():
+        return links
+    rows = cut_lineage(sets.join(large.select("region"), "region"))
     for level in range(depth):
-        rows = cut_lineage(rows)
-        sizes = cut_lineage(
-            rows.groupBy("region").agg(F.sum(F.octet_length("shingles") / 8).alias("weight"), F.count("*").alias("count")).where("count > 1")
-        )
-        found = _join_groups(rows.join(sizes.where(F.col("weight") <= leaf).select("region"), "region"), ["region"], percent)
-        links = found if links is None else links.unionByName(found)
-        large = sizes.where(F.col("weight") > leaf)
-        if large.isEmpty():
-            return links
-        rows = rows.join(large.select("region"), "region")
         divided = cut_lineage(_divide(rows, large, leaf, percent, level))
         to_pivots = divided.where("region IS NULL").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
         links = links.unionByName(to_pivots)
         groups = cut_lineage(components(to_pivots).select(F.col("node").alias("doc_id"), "component"))
         label = F.coalesce("component", "doc_id")
-        cells = divided.where("region IS NOT NULL")
-        widths = cells.groupBy("parent").agg(F.count("*").alias("held")).join(large.withColumnRenamed("region", "parent"), "parent")
-        wide = F.lit(True) if level == depth - 1 else F.col("held") > 2 * F.col("count")
-        widths = cut_lineage(widths.select("parent", wide.alias("wide")))
+        cells = divided.where("region IS NOT NULL").select("parent", "region", "doc_id")
+        held = cells.groupBy("parent", "region").agg(F.count("*").alias("held"))
+        widths = held.groupBy("parent").agg(F.sum("held").alias("held"), F.max("held").alias("most"))
+        widths = widths.join(large.withColumnRenamed("region", "parent"), "parent")
+        too_wide = (F.col("held") > 2 * F.col("count")) | (F.col("most") > 0.7 * F.col("count"))
+        widths = cut_lineage(widths.select("parent", (F.lit(True) if level == depth - 1 else too_wide).alias("wide")))
         whole = rows.join(widths.where("wide").select(F.col("parent").alias("region")), "region")
         labels = whole.select("region", "doc_id").join(groups, "doc_id", "left").select("region", "doc_id", label.alias("label")).distinct()
         links = links.unionByName(_join_blocks(whole, labels, leaf, percent))
-        narrow = cells.join(widths.where("NOT wide").select("parent"), "parent").select("region", "doc_id", "shingles")
+        narrow = cells.join(widths.where("NOT wide").select("parent"), "parent")
         open_cells = (
             narrow.select("region", "doc_id").join(groups, "doc_id", "left")
             .groupBy("region").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select("region")
         )
-        rows = narrow.join(open_cells, "region")
+        old = rows.select(F.col("region").alias("parent"), "doc_id", "shingles")
+        rows = cut_lineage(narrow.join(open_cells, "region").join(old, ["parent", "doc_id"]).select("region", "doc_id", "shingles"))
+        totals = rows.groupBy("region").agg(F.sum(F.octet_length("shingles") / 8).alias("weight"), F.count("*").alias("count")).where("count > 1")
+        sizes = cut_lineage(totals)
+        links = links.unionByName(_join_groups(rows.join(sizes.where(F.col("weight") <= leaf).select("region"), "region"), ["region"], percent))
+        large = sizes.where(F.col("weight") > leaf)
+        if large.isEmpty():
+            break
+        rows = rows.join(large.select("region"), "region")
     return links
 
 
-def _regions(classes: DataFrame, percent: int) -> DataFrame:
-    """region, doc_id of the documents that may link: those whose windows share enough shingles.
+def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataFrame:
+    """doc_id, n, own (df and shingle, rarest first), needed; windows: doc_id, n, first.
 
     Windows are joined shingle by shingle, as counts first: a shingle of one window only
-    cannot link anything. A document of whose window fewer than _fewest() shingles are
-    shared is farther than r from all others and leaves; counts then fall, so this is
-    done again. Of the rest, each document needs only so many of its rarest shared
-    shingles that one of them is in every partner's. Documents that share one are in
-    one region.
+    cannot link anything. A document of whose window fewer than `needed` shingles are
+    shared is farther than r from all others; where it leaves, counts fall, so this is
+    done again. Those with own at least `needed` long may link.
     """
-    shared = classes.select("doc_id", "n", F.explode("first").alias("s"))
-    for k in range(PEELS + 1):
+    needed = _fewest(F.col("n"), percent, width)
+    shared = windows.select("doc_id", "n", F.explode("first").alias("s"))
+    for k in range(peels + 1):
         counts = shared.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         grouped = shared.join(counts, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
-        kept = cut_lineage(grouped.where(F.size("own") >= _fewest(F.col("n"), percent)))
-        if k < PEELS:
+        kept = cut_lineage(grouped.where(F.size("own") >= needed).withColumn("needed", needed.cast("int")))
+        if k < peels:
             shared = kept.select("doc_id", "n", F.explode("own.s").alias("s"))
-    rare = F.slice("own.s", F.lit(1), (F.size("own") - _fewest(F.col("n"), percent) + 1).cast("int"))
-    members = kept.select("doc_id", F.explode(rare).alias("s"))
+    return kept
+
+
+@contextmanager
+def _runtime_filter(spark: SparkSession):
+    """Let joins filter their larger side by a Bloom filter of the smaller one before it is shuffled.
+
+    Spark does so by itself for scans above 10 GB; its filters have a bounded size.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """region, doc_id, n of the documents that may link; texts: doc_id, text.
+
+    Of its shared shingles each document needs only so many, the rarest, that one of
+    them is in every partner's. Documents that share one are in one region.
+    """
+    shared = _shared(_profiles(texts, size, percent, SECOND), percent, SECOND, PEELS)
+    rare = F.slice("own.s", F.lit(1), F.size("own") - F.col("needed") + 1)
+    members = shared.select("doc_id", F.explode(rare).alias("s"))
     centre = members.groupBy("s").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1")
     edges = members.join(centre, "s").select(F.col("doc_id").alias("u"), "v").distinct()
-    return components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id"))
+    found = components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id"))
+    return cut_lineage(found.join(shared.select("doc_id", "n"), "doc_id"))
 
 
 def near_duplicates(
@@ -329,16 +390,24 @@ def near_duplicates(
     take no part and are not returned; rows that repeat an id are one node of the
     components and each keep their own n_shingles. Other columns do not come along.
     Shingles are compared by 64-bit hashes, classes by 128-bit ones.
+
+    Whole sets are only made for members of regions. What the narrow windows of all
+    documents leave over has its texts set aside and is seen again with wider ones.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profiles = cut_lineage(_profiles(rows, size, percent))
+    profiles = cut_lineage(_profiles(rows, size, percent, FIRST))
     classes = cut_lineage(
-        profiles.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "first")).alias("c")).select("digest", "c.*")
+        profiles.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("c")).select("digest", "c.*")
     )
-    regions = cut_lineage(_regions(classes, percent))
-    # Only regions' members go on with whole sets.
-    sets = _sets(rows.join(regions, "doc_id").select("region", "doc_id", "text"), size)
-    links = join_regions(sets, percent, leaf)
+    windows = profiles.where("n > 0").join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    left = _shared(windows, percent, FIRST, 0).where(F.size("own") >= F.col("needed")).select("doc_id")
+    with _runtime_filter(spark):
+        texts = cut_lineage(rows.join(left, "doc_id").select("doc_id", "text"))
+    regions = _regions(texts, size, percent)
+    with _runtime_filter(spark):
+        sets = _sets(texts.join(regions, "doc_id"), size)
+        links = join_regions(sets, regions, percent, leaf)
     found = cut_lineage(components(links)).withColumnRenamed("node", "least")
     lonely = profiles.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = (
