@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,17 +27,18 @@ MAGIC = b"SIMPLE8B"
 BLOCK = 1 << 16
 #: Texts a file, by words of the encoded ids.
 FILE_WORDS = 1 << 21
-#: Distinct words and parts of words that a worker remembers; beyond that its tables start anew.
-TABLE_SIZE = 400_000
+#: Distinct words, and half as many parts of words, that a worker remembers, some 200 bytes each;
+#: beyond that its tables start anew.
+TABLE_SIZE = 1_000_000
 END_ID = 1
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """64-bit words of non-negative ids.
 
-    For each place, the longest run that fits each selector is known from the place of
-    the next id that is too wide; a word takes the selector with the most ids. A last
-    word may be filled up with zeros, which the block's count cuts off.
+    For each selector, runs of ids that are narrow enough tell at which places it fits; a
+    word takes the selector with the most ids. A last word may be filled up with zeros,
+    which the block's count cuts off.
     """
     n = len(ids)
     ids = ids.astype(np.uint64)
@@ -46,17 +48,20 @@ def pack(ids: np.ndarray) -> np.ndarray:
     choice = np.full(n, ESCAPE, dtype=np.int64)
     for selector in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[selector]
-        wide = ids >> np.uint64(bits) != 0
-        # The next wide id at or after each place; n + count where there is none.
-        nxt = np.where(wide, np.arange(n), n + count)
-        nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-        choice[nxt - np.arange(n) >= count] = selector
+        narrow = np.flatnonzero(ids < np.uint64(1 << bits))
+        if len(narrow):
+            # Where each run of neighbours ends; the last one may be filled up.
+            breaks = np.flatnonzero(np.diff(narrow) != 1)
+            ends = np.append(narrow[breaks] + 1, n + count if narrow[-1] == n - 1 else narrow[-1] + 1)
+            lengths = np.diff(np.concatenate([[-1], breaks, [len(narrow) - 1]]))
+            choice[narrow[np.repeat(ends, lengths) - narrow >= count]] = selector
     step = np.array([c for c, _ in LAYOUT] + [0, 1])
-    places, at, taken = [], 0, choice.tolist()
-    width = step.tolist()
+    after = (np.arange(n) + step[choice]).tolist()
+    places: list[int] = []
+    add, at = places.append, 0
     while at < n:
-        places.append(at)
-        at += width[taken[at]]
+        add(at)
+        at = after[at]
     starts = np.array(places)
     kinds = choice[starts]
     padded = np.concatenate([ids, np.zeros(60, dtype=np.uint64)])
@@ -131,6 +136,7 @@ def read_documents(raw: bytes) -> Iterator[np.ndarray]:
 #: Texts in these characters, and words of them without apostrophe or "<|", split into
 #: letters, digits and other marks as the tokenizer's own pattern would.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_WORD = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -150,7 +156,7 @@ class WordCoder:
         self.full = Tokenizer.from_file(tokenizer_file)
         self.parts_only = Tokenizer(self.full.model)
         self.parts_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size, self.words, self.parts = table_size, {}, {}
+        self.size, self.words, self.parts = table_size, {"": b""}, {}
 
     @staticmethod
     def _fill(table: dict, tokenizer, keys: list[str]) -> None:
@@ -162,7 +168,7 @@ class WordCoder:
             table[key] = ids[ends[k] : ends[k + 1]].tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        odd = [w for w in missing if "'" in w or "<|" in w or not _PLAIN.fullmatch(w)]
+        odd = [w for w in missing if not _WORD.fullmatch(w) or "<|" in w]
         for at in range(0, len(odd), 10_000):
             self._fill(self.words, self.full, odd[at : at + 10_000])
         odd = set(odd)
@@ -178,16 +184,17 @@ class WordCoder:
         split = []
         for text in texts:
             split.append(text.lower().split() if _PLAIN.fullmatch(text) else re.split("[\t-\r ]+", text))
-        need = dict.fromkeys(w for ws in split for w in ws if w)
-        missing = [w for w in need if w not in self.words]
+        need = set(chain.from_iterable(split))
+        missing = list(need.difference(self.words))
         if len(self.words) + len(missing) > self.size:
-            self.words.clear()
-            missing = list(need)
-        if len(self.parts) > self.size:
+            self.words = {"": b""}
+            missing = list(need.difference(self.words))
+        if len(self.parts) > self.size // 2:
             self.parts.clear()
         if missing:
             self._learn(missing)
-        return [b"".join([self.words[w] for w in ws if w]) for ws in split]
+        found = self.words.__getitem__
+        return [b"".join(map(found, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
