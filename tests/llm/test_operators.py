@@ -30,6 +30,16 @@ def test_top_products_against_all_pairs(spark, monkeypatch):
     assert _top(spark, rows + bad + rows[:3]) == best_products(whole, lambda i: i % 5 == 0, 3)
 
 
+def test_top_products_of_repeated_queries(spark, monkeypatch):
+    """The k-th best of most queries lies outside the seed block, and every query row is there six times."""
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 100)
+    draw = np.random.default_rng(6)
+    # Of one length, so in one bucket.
+    rows = [(i, (v / np.linalg.norm(v)).astype(np.float32).tolist()) for i, v in enumerate(draw.normal(size=(300, 6)))]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    assert _top(spark, rows + 5 * rows[::5], 5) == best_products(whole, lambda i: i % 5 == 0, 5)
+
+
 def test_top_products_prunes_without_loss():
     draw = np.random.default_rng(4)
     vectors = draw.integers(-200, 200, size=(500, 16))

@@ -183,7 +183,8 @@ def top_products(
     first = asked.join(seed, "dim").select("*", F.lit(0).alias("block"), F.lit(None).cast("double").alias("threshold"))
     seeded = cut_lineage(visit(first, blocks.where(is_seed).join(seed, ["dim", "bucket"])))
     limits = (
-        _ranked(seeded, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("threshold"))
+        # A query whose row repeats finds the same pairs once for each of its rows.
+        _ranked(seeded.distinct(), k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("threshold"))
         .groupBy("query_id").agg(F.max("threshold").alias("threshold"))
     )
     visits = (
