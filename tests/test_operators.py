@@ -368,6 +368,27 @@ def test_streams_over_part_files_keep_late_and_repeated_runs(spark, tmp_path):
     assert missed.count() > 0 and buried.select("run_id").union(missed.select("run_id")).distinct().count() == due
 
 
+def test_registered_expiry_over_several_batches(spark, tmp_path, monkeypatch):
+    """The newest rows come first, so that the watermark is past those of later files."""
+    from functools import partial
+
+    from textwarden.plans import planted
+    from textwarden.plans.queries import QUERIES
+    from textwarden.streaming import jobs
+
+    parts = [range(900, 1000), range(0, 100), range(400, 500), range(1000, 1100)]
+    for ids in parts:
+        df = spark.createDataFrame([(i, "text", "en", "src0", 4) for i in ids], jobs.DOCUMENTS)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(jobs, "read_stream", partial(jobs.read_stream, files_per_batch=1))
+    got = QUERIES["st_expire"](spark, str(tmp_path)).collect()
+    created = {i: planted.BASE_TIME + (i % 1000) * 200 for ids in parts for i in ids}
+    due = sorted(at + 20_000 for at in created.values() if at + 20_000 <= max(created.values()))
+    assert len({r.run_id for r in got}) == len(got)
+    assert sorted(r.recorded_at for r in got) == due
+    assert all(r.expires_at == r.recorded_at + planted.TTL and r.status == "expired" for r in got)
+
+
 def test_a_cluster_must_name_a_shared_folder():
     from textwarden.sources.checkpoints import shared_dir
 

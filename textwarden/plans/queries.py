@@ -1434,13 +1434,20 @@ def st_commit_once(spark, sf_dir):
     ),
 )
 def st_expire(spark, sf_dir):
-    """Runs kept for 20,000 seconds, seen at the end of the stream."""
-    rows = streams.read_stream(spark, f"{sf_dir}/documents.parquet", streams.DOCUMENTS)
+    """Runs kept for 20,000 seconds, seen at the end of the stream; a sweep buries those that came too late for it."""
+    table, names = f"{sf_dir}/documents.parquet", ("run_id", "status", "recorded_at", "expires_at")
     created = F.expr(f"CAST({T.CREATED} AS BIGINT)")
-    rows = rows.select(
-        F.expr(T.RUN_ID).alias("run_id"), (created + 20_000).alias("expires_at"),
-        F.timestamp_seconds(created).alias("ts"),
-    )
+
+    def timed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.expr(T.RUN_ID).alias("run_id"), (created + 20_000).alias("expires_at"),
+            F.timestamp_seconds(created).alias("ts"), created.alias("created_at"),
+        )
+
+    limits = StoragePolicy(ttl_seconds=20_000, tombstone_ttl_seconds=T.TTL)
     out = streams.fresh_dir(spark, "expired")
-    streams.expire_stream(rows, out, StoragePolicy(ttl_seconds=20_000, tombstone_ttl_seconds=T.TTL))
-    return spark.read.parquet(f"{out}/data").select("run_id", "status", "recorded_at", "expires_at")
+    streams.expire_stream(timed(streams.read_stream(spark, table, streams.DOCUMENTS)), out, limits)
+    buried = spark.read.schema(streams.TOMBSTONES).parquet(f"{out}/data").select(*names)
+    runs = timed(spark.read.parquet(table))
+    end = runs.agg(F.max("created_at")).first()[0]
+    return buried.unionByName(streams.sweep_late(runs, buried, end or 0, limits).select(*names))
