@@ -151,6 +151,30 @@ def test_mix_edges(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_draws_unnamed_languages(spark):
+    """They keep their share of the tokens, however small; with HELD or without, named ones are drawn alike where they are alone."""
+    langs = ["en", "de", "fr", "es"] * 24 + [None, None, "xx", ""]
+    rows = [(i, "a b c", "src0" if i % 3 else "x", lang) for i, lang in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df, mixing.ALL_LANGUAGES).collect()
+    weight = {lang: sum(r["probability"] for r in out if r["lang"] == lang) for lang in {*langs}}
+    assert all(r["probability"] > 0 for r in out)
+    other = weight[None] + weight["xx"] + weight[""]
+    assert math.isclose(other / sum(weight.values()), 0.04, rel_tol=1e-3)
+    assert math.isclose(weight["en"] / weight["es"], 0.58 / 0.12, rel_tol=1e-3)
+    named = df.where("doc_id < 96")
+    assert mixing.mix(named, mixing.ALL_LANGUAGES).collect() == mixing.mix(named).collect()
+    only = df.where("doc_id >= 96")
+    assert all(r["probability"] > 0 for r in mixing.mix(only, mixing.ALL_LANGUAGES).collect())
+
+
+def test_pipeline_mixes_documents_without_language(spark, tiny):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "a b c", "src0" if i % 3 else "x", None if i % 3 == 1 else "en") for i in range(300)], "doc_id long, text string, source string, lang string")
+    assert corpus_pipeline.mixture(spark, docs, tiny).where("lang IS NULL").count() > 0
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
     long_text = "é\r\n\r\n" + "x y z " * 40_000

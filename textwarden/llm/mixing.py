@@ -18,6 +18,11 @@ TARGETS = {
     "lang": {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12},
     "topic": {"note": 0.004, "table": 0.036, "prose": 0.96},
 }
+#: Instead of a share: a category keeps the one that it has, and the others divide what is left.
+HELD = None
+#: The targets of a corpus whose languages need not be named: no language is left out, and none
+#: that is rare is blown up.
+ALL_LANGUAGES = TARGETS | {"lang": TARGETS["lang"] | {OTHER: HELD}}
 #: Rounds over all marginals; a round is three scalings of at most a few dozen cells.
 ROUNDS = 25
 
@@ -60,7 +65,7 @@ def chance(doc_id: Column) -> Column:
 
 def mix(
     docs: DataFrame,
-    targets: Mapping[str, Mapping[str, float]] = TARGETS,
+    targets: Mapping[str, Mapping[str, float | None]] = TARGETS,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -72,7 +77,8 @@ def mix(
 
     Cells are combinations of source, language and topic as far as the marginals name
     them; what they do not name, nulls included, falls to OTHER, and to probability 0
-    where a marginal has no OTHER. Cell tokens are raked to the marginals; a document's
+    where a marginal has no OTHER. A category whose target is HELD keeps its share of the
+    tokens. Cell tokens are raked to the marginals; a document's
     probability is its cell's raked weight over its cell's tokens, scaled so that the
     largest is 1. The draw depends on the id alone, so rows that repeat an id are drawn
     alike. Documents without words weigh nothing and have their cell's probability.
@@ -99,7 +105,15 @@ def mix(
         place = tuple(shape[axis].index(row[f"__{axis}"]) for axis in axes)
         if all(row[f"__{axis}"] in names[axis] for axis in axes):
             cells[place] = row["n"]
-    shares = [np.array([targets[axis].get(v, 0.0) for v in shape[axis]]) for axis in axes]
+    shares = []
+    for at, axis in enumerate(axes):
+        held = cells.sum(axis=tuple(i for i in range(cells.ndim) if i != at)) / max(1.0, cells.sum())
+        fixed = np.array([targets[axis].get(v, 0.0) is HELD for v in shape[axis]])
+        given = np.array([targets[axis].get(v) or 0.0 for v in shape[axis]])
+        # What is named and has tokens divides what is left.
+        reached = given[held > 0].sum()
+        left = (1 - held[fixed].sum()) / reached if fixed.any() and held[fixed].sum() and reached else 1.0
+        shares.append(np.where(fixed, held, given * left))
     raked = rake(cells, shares, rounds)
     rates = np.divide(raked, cells, out=np.zeros_like(cells), where=cells > 0)
     if rates.max(initial=0) > 0:
