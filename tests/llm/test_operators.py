@@ -124,6 +124,14 @@ def test_quality_removes_frequent_lines(spark):
     assert got == [False] * 4 + [True, True]
 
 
+def test_quality_returns_texts_without_frequent_lines(spark):
+    rows = [(f"own {'abcdef'[k]}\n MENU  {k}\n\nend {'abcdef'[k]}", "a") for k in range(5)] + [("menu 7", "a"), ("menu 7\nx", "b"), (None, "a"), ("", "a")]
+    out = quality.quality_rules(_texts(spark, rows), max_docs=3, max_share=0.5).orderBy("doc_id")
+    assert out.columns[:3] == ["doc_id", "text", "source"]
+    got = [(r["text"], r["n_words"], r["words_left"]) for r in out.collect()]
+    assert got == [(f"own {'abcdef'[k]}\n\nend {'abcdef'[k]}", 6, 4) for k in range(5)] + [("", 2, 0), ("menu 7\nx", 3, 3), (None, 0, 0), ("", 0, 0)]
+
+
 def test_line_dedup_edges(spark):
     rows = [(f"menu\nown {k}\n  menu", "a") for k in range(12)] + [(None, "a"), ("", None), ("menu", "b"), ("menu\n\n", "a")]
     got = [tuple(r)[1:2] + tuple(r)[3:] for r in line_dedup.drop_boilerplate(_texts(spark, rows)).orderBy("doc_id").collect()]

@@ -103,7 +103,10 @@ def quality_rules(
     max_share: float = MAX_SHARE,
     min_left: int = MIN_LEFT,
 ) -> DataFrame:
-    """The rows with the base measures, words_left (outside frequent lines) and kept.
+    """The rows, their texts without frequent lines, with the base measures, words_left and kept.
+
+    Base measures are those of the whole text; words_left counts what remains in the text
+    that is returned. Texts without a frequent line, null ones included, stay as they are.
 
     A document is depleted when less than min_left percent of its words remain once the
     frequent lines of its host are out. Kept are documents that neither fail by
@@ -117,18 +120,15 @@ def quality_rules(
     keyed = docs.withColumn("__key", F.coalesce(F.col(host).cast("string"), F.lit("")))
     joined = keyed.join(hot, F.col("__key") == F.col("__host"), "left")
     out = base_measures(joined, text)
-    gone = F.aggregate(
-        F.split(F.col(text), "\n"),
-        F.lit(0),
-        lambda n, line: n
-        + F.when(
-            (without_space(line) != "") & F.array_contains("__hot", F.xxhash64(_normal(line))), F.size(words(line))
-        ).otherwise(0),
-    )
-    left = F.col("n_words") - F.when(F.col("__hot").isNotNull(), F.coalesce(gone, F.lit(0))).otherwise(0)
-    out = out.withColumn("words_left", left.cast("long"))
+    frequent = lambda line: (without_space(line) != "") & F.array_contains("__hot", F.xxhash64(_normal(line)))
+    rest = F.filter(F.split(F.col(text), "\n"), lambda line: ~frequent(line))
+    out = staged(out, "__rest", F.when(F.col("__hot").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text)))
+    # Only texts that lost a line are split into words again.
+    whole = F.col("__hot").isNull() | F.col(text).isNull() | (F.length("__rest") == F.length(text))
+    out = out.withColumn("words_left", F.when(whole, F.col("n_words")).otherwise(F.size(words(F.col("__rest")))).cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("words_left") >= min_left * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("__key", "__host", "__hot")
+    out = out.withColumns({"kept": kept, text: F.col("__rest")})
+    return out.drop("__key", "__host", "__hot", "__rest")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
