@@ -274,6 +274,20 @@ def test_restoring(decoder, seen):
     assert meant.get(seen, "stupid") in decoder.restore(f"the {seen} of it").split()
 
 
+def test_restoring_parts_spaced_letters_and_chains(decoder):
+    words = {"you": 90, "are": 80, "a": 99, "and": 99, "the": 99, "house": 50, "stupid": 5, "idiot": 5, "worthless": 3}
+    parting = toxicity.Decoder(np.exp(np.array(decoder.log)), words)
+    spaced = lambda text: " ".join(text.replace(" ", ""))
+    assert parting.restore("so y o u s t u p i d it is").split() == ["so", "you", "stupid", "it", "is"]
+    text = "you are a worthless idiot and the house and the house and you are a stupid idiot and you are the house"
+    assert len(text.replace(" ", "")) > 64 and parting.restore(spaced(text)) == text
+    assert {"stupid", "idiot"} <= set(parting.restore(spaced("you are stup1d and a 1d10t")).split())
+    assert "idiot" in parting.restore("and.the.house." * 8 + "1d10t").split()
+    assert "stupid" in decoder.both("s t u p i d " * 20 + "x").split("\n")[1]
+    # Long words are decoded as short ones are.
+    assert decoder.decode("th3h0us3" * 40) == "thehouse" * 40
+
+
 def test_restoring_leaves_plain_text(decoder):
     for text in ("", "The house of the and.", "und die Straße, für dich", "ww w", "a b c"):
         assert decoder.restore(text) == text
