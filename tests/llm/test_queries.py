@@ -92,6 +92,26 @@ def test_pipeline_stage_by_stage(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).count() == five.count()
 
 
+def test_pipeline_groups_near_copies_between_80_and_90(spark, tiny):
+    """Edited words and appended passages, against all pairs at five words and 80 %."""
+    import random
+
+    draw = random.Random(9)
+    fresh = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        text = fresh(200)
+        edited = list(text)
+        for at in (20, 60, 100, 140):
+            edited[at] = "other"
+        texts = [text, edited, text + fresh(40), text + fresh(70), text[:170]]
+        rows += [(5 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    wanted, strict = linked_groups(rows, 5, 80), linked_groups(rows)
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), tiny).collect()
+    assert {r["doc_id"] for r in got} == {i for i, (_, _, c) in wanted.items() if i == c}
+    assert len(got) < sum(i == c for i, (_, _, c) in strict.items())
+
+
 def test_pipeline_takes_odd_documents(spark, tiny):
     """Nulls in every column, empty texts, repeated rows and further columns."""
     docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(30).withColumn("score", F.lit("x")).withColumn("n_tokens", F.lit(None).cast("long"))
