@@ -83,7 +83,7 @@ def test_pipeline_stage_by_stage(spark, tiny):
     assert two.columns == columns and ids(two) == ids(one)
     assert two.where(F.col("n_chars") != F.length("text")).count() == 0
     three = groups(spark, two, tiny)
-    wanted = linked_groups([tuple(r) for r in two.select("doc_id", "text").collect()])
+    wanted = linked_groups([tuple(r) for r in two.select("doc_id", "text").collect()], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
     assert three.columns == columns and ids(three) == {i for i, (_, _, c) in wanted.items() if i == c}
     four = mixed(spark, three, tiny)
     assert four.columns == columns and ids(four) <= ids(three)

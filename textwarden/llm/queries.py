@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textwarden.llm import jaccard_join, line_dedup, mixing, quality, token_files, tokenize_pieces, toxicity, url_filter, vector_search, warc
+from textwarden.llm import byte_bpe, centroids, jaccard_join, line_dedup, mixing, quality, token_files, tokenize_pieces, toxicity, url_filter, vector_codes, vector_search, warc
 
 QUERIES = {
     "op1_top_k_search": vector_search.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.op8,
     "op9_mixing": mixing.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_vector_codes": vector_codes.op11,
+    "op12_byte_bpe": byte_bpe.op12,
+    "op13_centroids": centroids.op13,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op5_warc": warc.SQL,
     "op9_mixing": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op13_centroids": centroids.SQL,
 }
