@@ -182,16 +182,20 @@ def indexable(text: Column, limits: StoragePolicy = StoragePolicy()) -> Column:
 
 
 def line_index(
-    rows: DataFrame, limits: StoragePolicy = StoragePolicy(), keep: Sequence[str] = ()
+    rows: DataFrame,
+    limits: StoragePolicy = StoragePolicy(),
+    keep: Sequence[str] = (),
+    cluster: Sequence[str] = (),
 ) -> DataFrame:
     """``(run_id, stream, text)`` as indexed lines with byte offsets.
 
     The shuffle moves whole streams, before they are split; the split rows are then
     already where the window wants them.  A window group is one stream, which the
-    limits keep to a bounded size.
+    limits keep to a bounded size.  ``cluster`` names kept columns, each the same for all
+    of a run, that decide where its lines go instead of the run itself.
     """
     rows = rows.select("run_id", "stream", *keep, "text").where(indexable(F.col("text"), limits))
-    rows = rows.repartition("run_id", "stream")
+    rows = rows.repartition(*(cluster or ("run_id", "stream")))
     rows = rows.withColumnRenamed("text", "line")
     lines = _split_lines(rows, ["run_id", "stream", *keep]).withColumnRenamed("line", "text")
     ending = F.when(F.col("_last"), F.lit("")).otherwise(F.lit("\n"))
@@ -203,7 +207,7 @@ def line_index(
         line_checksum(F.concat(F.col("text"), ending)).alias("checksum"),
     )
     before = (
-        Window.partitionBy("run_id", "stream")
+        Window.partitionBy(*cluster, "run_id", "stream")
         .orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -1,23 +1,78 @@
 """Admission of runs under record and byte limits, exactly as if one by one.
 
-A rejected run uses up nothing, so admission is not a prefix sum.  It is still
-bounded: no tenant admits more than ``max_records`` runs, and the room left only
-shrinks.  Each round takes, per tenant, the first ``max_records`` undecided runs
-that fit the room left (a rank filter, applied inside every task before the
-shuffle), settles them one by one, and drops everything that no longer fits.
-Groups handed to a task therefore never exceed ``max_records`` narrow rows, no
-matter how many runs a tenant sends.
+A rejected run uses up nothing, so admission is not a prefix sum: each tenant's runs are
+walked in the order of their arrival, with two numbers carried along.  The walk is a sorted
+pass, so no group is held in memory.  Most rows of a tenant with very many runs never come to it.
+If a run is admitted, then so were all earlier ones that are not larger, for room only shrinks;
+so a run with ``max_records`` earlier ones of its size or less can never be.  This is told within
+any part of a tenant's rows, by a heap of the smallest sizes so far: first where the rows lie, before any
+shuffle, then in salted parts of each tenant, and what is left is walked.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+from heapq import heappush, heapreplace
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from textwarden.policy import StoragePolicy
 from textwarden.sources.checkpoints import cut_lineage
 
-_ADMITTED = "tenant string, arrival bigint, bytes bigint, admitted boolean"
+#: Parts that a tenant's rows are dealt into for the second thinning.
+SALTS = 64
+_ROW = "tenant string, arrival bigint, bytes bigint"
+_NAMES = ["tenant", "arrival", "bytes"]
+
+
+def _thinned(rows: DataFrame, max_records: int) -> DataFrame:
+    """Rows of each partition but those that cannot be admitted whatever other partitions hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant, smallest = None, []
+        for batch in batches:
+            keep = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != tenant:
+                    tenant, smallest = name, []
+                if len(smallest) < max_records:
+                    heappush(smallest, -size)
+                    keep.append(True)
+                elif smallest and size < -smallest[0]:
+                    heapreplace(smallest, -size)
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.select(*_NAMES).sortWithinPartitions("tenant", "arrival").mapInArrow(run, _ROW)
+
+
+def _walked(rows: DataFrame, limits: StoragePolicy) -> DataFrame:
+    """The rows that are admitted; rows without an arrival come first and say what a tenant has stored."""
+    max_records, max_bytes = limits.max_records, limits.max_total_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant, records, total = None, 0, 0
+        for batch in batches:
+            admitted = []
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for name, arrival, size, held in zip(*columns):
+                if name != tenant:
+                    tenant, records, total = name, 0, 0
+                if arrival is None:
+                    records, total = records + held, total + size
+                    admitted.append(False)
+                    continue
+                fits = records < max_records and total + size <= max_bytes
+                if fits:
+                    records, total = records + 1, total + size
+                admitted.append(fits)
+            part = batch.filter(pa.array(admitted, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:3], names=_NAMES)
+
+    return rows.repartition("tenant").sortWithinPartitions("tenant", "arrival").mapInArrow(run, _ROW)
 
 
 def admit(
@@ -25,72 +80,21 @@ def admit(
 ) -> DataFrame:
     """``(tenant, arrival, run_id, stream_bytes, bytes)`` to ``within_quota``.
 
-    ``arrival`` orders a tenant's runs and is unique per tenant; ``stream_bytes`` is
+    ``arrival`` orders a tenant's runs, is unique per tenant and never null; ``stream_bytes`` is
     the larger stream; ``used`` holds ``(tenant, records, bytes)`` already stored.
     """
-    max_records, max_bytes = limits.max_records, limits.max_total_bytes
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrival", kind="stable")
-        records, total = int(group["_records"].iloc[0]), int(group["_used"].iloc[0])
-        flags = []
-        for size in group["bytes"].tolist():
-            fits = records < max_records and total + size <= max_bytes
-            if fits:
-                records, total = records + 1, total + size
-            flags.append(fits)
-        return group.assign(admitted=flags)[["tenant", "arrival", "bytes", "admitted"]]
-
-    # Sizes are costly to compute and read in every round, and once more at the end.
+    # Sizes are costly to compute, and read twice.
     runs = cut_lineage(runs)
-    todo = runs.where(F.col("stream_bytes") <= limits.max_stream_bytes).select(
-        "tenant", "arrival", "bytes"
+    todo = runs.where(
+        (F.col("stream_bytes") <= limits.max_stream_bytes) & (F.col("bytes") <= limits.max_total_bytes)
     )
-    state = todo.select("tenant").distinct()
-    zero = F.lit(0).cast("bigint")
-    if used is None:
-        state = state.withColumns({"_records": zero, "_used": zero})
-    else:
-        state = state.join(
-            used.select("tenant", F.col("records").alias("_records"), F.col("bytes").alias("_used")),
-            "tenant", "left",
-        ).withColumns({"_records": F.coalesce("_records", zero), "_used": F.coalesce("_used", zero)})
-    state = cut_lineage(state.withColumn("_after", F.lit(None).cast("bigint")))
-    order = Window.partitionBy("tenant").orderBy("arrival")
-    settled = None
-    while True:
-        # A written table: Spark knows its size and broadcasts it if it is small.
-        undecided = todo.join(state, "tenant").where(
-            (F.col("_after").isNull() | (F.col("arrival") > F.col("_after")))
-            & (F.col("_records") < max_records)
-            & (F.col("_used") + F.col("bytes") <= max_bytes)
-        )
-        batch = undecided.withColumn("_rank", F.row_number().over(order)).where(
-            F.col("_rank") <= max_records
-        )
-        decided = cut_lineage(
-            batch.drop("_rank", "_after").groupBy("tenant").applyInPandas(settle, _ADMITTED)
-        )
-        if decided.isEmpty():
-            break
-        settled = decided if settled is None else settled.unionByName(decided)
-        gained = decided.groupBy("tenant").agg(
-            F.max("arrival").alias("_seen"),
-            F.count_if("admitted").alias("_more"),
-            F.coalesce(F.sum(F.when(F.col("admitted"), F.col("bytes"))), zero).alias("_added"),
-        )
-        # Tenants without a candidate are finished.
-        state = cut_lineage(
-            state.join(gained, "tenant").select(
-                "tenant",
-                F.col("_seen").alias("_after"),
-                (F.col("_records") + F.col("_more")).alias("_records"),
-                (F.col("_used") + F.col("_added")).alias("_used"),
-            )
-        )
-    if settled is None:
-        return runs.withColumn("within_quota", F.lit(False))
-    admitted = settled.where("admitted").select("tenant", "arrival", F.lit(True).alias("_in"))
+    salt = F.pmod(F.hash("arrival"), F.lit(SALTS))
+    thin = _thinned(_thinned(todo, limits.max_records).repartition("tenant", salt), limits.max_records)
+    rows = thin.withColumn("records", F.lit(0).cast("bigint"))
+    if used is not None:
+        none = F.lit(None).cast("bigint").alias("arrival")
+        rows = rows.unionByName(used.select("tenant", none, "bytes", "records"))
+    admitted = _walked(rows, limits).select("tenant", "arrival", F.lit(True).alias("_in"))
     return (
         runs.join(admitted, ["tenant", "arrival"], "left")
         .withColumn("within_quota", F.coalesce("_in", F.lit(False)))

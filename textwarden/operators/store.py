@@ -8,6 +8,8 @@ one run still land in many tasks and no pair outside a block is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textwarden import policy as P
@@ -17,6 +19,7 @@ from textwarden.functions.shaping import fit_budget, match_excerpt, wrap_bounded
 from textwarden.operators.lines import check_lines, indexable, line_count, newline_count, stored_line
 from textwarden.policy import Policy, StoragePolicy
 from textwarden.sources.captures import is_run_id
+from textwarden.sources.checkpoints import cut_lineage
 
 RETRIEVE_BLOCK = 64
 SEARCH_BLOCK = 4096
@@ -143,6 +146,10 @@ def resolve_status(
     A tombstone in force wins; one past its own time is as good as none.  ``runs``
     brings ``run_id``, ``schema_version``, ``created_at``, ``expires_at`` and may
     bring further header columns, which are kept.
+
+    The store is asked about each id once, and the answers are then brought to the requests:
+    a join with one row an id, which is broadcast or, for an id that very many requests
+    name, split by Spark's skew join.
     """
     now = F.col(now) if isinstance(now, str) else now
     dead = tombstones.select(
@@ -153,7 +160,8 @@ def resolve_status(
     known = runs.withColumnsRenamed(
         {"schema_version": "_schema", "created_at": "_created", "expires_at": "_expires"}
     )
-    rows = requests.join(dead, "run_id", "left").join(known, "run_id", "left")
+    facts = requests.select("run_id").distinct().join(dead, "run_id", "left").join(known, "run_id", "left")
+    rows = requests.join(facts, "run_id", "left")
     tomb = F.col("_tomb").isNotNull() & (F.col("_tomb_until") > now)
     status = (
         F.when(tomb & (F.col("_tomb") == "expired"), F.lit("expired"))
@@ -202,10 +210,13 @@ def retrieve(
     lines: DataFrame,
     now: str | Column,
     policy: Policy = Policy(),
+    folders: Sequence[str] = (),
 ) -> DataFrame:
     """Line ranges, blocked when an injection phrase lies in or next to them.
 
     A range of which a line is damaged, or missing though the header counts it, is corrupt.
+    ``folders`` names columns of ``runs`` and ``lines`` by which lines lie in folders: few requests
+    then read only the folders of their runs. Only lines that are asked for are hashed.
     """
     requests = valid_range(requests)
     bad = requests.where(F.col("error").isNotNull()).select(
@@ -214,7 +225,7 @@ def retrieve(
     )
     good = requests.where(F.col("error").isNull()).drop("error")
     found = resolve_status(good, runs.select(
-        "run_id", "schema_version", "created_at", "expires_at",
+        "run_id", "schema_version", "created_at", "expires_at", *folders,
         F.col("stdout.line_count").alias("_out_lines"),
         F.col("stderr.line_count").alias("_err_lines"),
     ), tombstones, now)
@@ -228,18 +239,17 @@ def retrieve(
     start, count = F.col("start_line"), F.col("lines")
     first = F.greatest(start - 1, F.lit(0).cast("bigint"))
     wanted = found.where(F.col("status") == "active").select(
-        "request_id", "run_id", "stream", start.alias("_from"),
+        "request_id", "run_id", "stream", *folders, start.alias("_from"),
         (start + count).alias("_to"),
         first.alias("_ctx_from"), (first + count + 2).alias("_ctx_to"),
     )
-    wanted = wanted.withColumn(
+    # A written table of known size: if it is small it is broadcast, and with it folders are pruned.
+    wanted = cut_lineage(wanted).where(F.col("_to") > 0).withColumn(
         "_block", F.explode(_blocks(F.col("_ctx_from"), F.col("_ctx_to") - 1, RETRIEVE_BLOCK))
     )
-    blocked = check_lines(lines).withColumn(
-        "_block", F.floor(F.col("line_no") / RETRIEVE_BLOCK).cast("bigint")
-    )
+    blocked = lines.withColumn("_block", F.floor(F.col("line_no") / RETRIEVE_BLOCK).cast("bigint"))
     inside = (F.col("line_no") >= F.col("_ctx_from")) & (F.col("line_no") < F.col("_ctx_to"))
-    pieces = wanted.join(blocked, ["run_id", "stream", "_block"]).where(inside)
+    pieces = check_lines(wanted.join(blocked, [*folders, "run_id", "stream", "_block"]).where(inside))
     chosen = (F.col("line_no") >= F.col("_from")) & (F.col("line_no") < F.col("_to"))
     raw = stored_line(F.col("text"), F.col("byte_len"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", raw.alias("raw"), chosen.alias("sel"))))
@@ -406,20 +416,25 @@ def search(
         F.count_if("_hit").alias("_hits"),
         F.max(F.when(F.col("_hit"), F.col("line_no"))).alias("_last"),
     )
-    state = found.join(ends, "request_id", "left")
+    return finish_search(found.join(ends, "request_id", "left"), hits, "request_id", max_matches)
+
+
+def finish_search(state: DataFrame, hits: DataFrame, key: str, max_matches: int) -> DataFrame:
+    """Pages from what a scan has found out about each search, with its hits, both by ``key``."""
     full = F.coalesce(F.col("_hits") >= max_matches, F.lit(False))
     more = full & (F.col("_last") + 1 < F.col("_lines"))
     truncated = F.col("_stop").isNotNull() | more
     corrupt = F.coalesce("_corrupt", F.lit(False))
     next_line = F.when(F.col("_stop").isNotNull(), F.col("_stop")).when(more, F.col("_last") + 1)
+    names = dict.fromkeys(("request_id", key, "run_id", "stream", "literal"))
     state = state.select(
-        "request_id", "run_id", "stream", "literal",
+        *names,
         F.when(corrupt, F.lit("corrupt")).otherwise(F.col("status")).alias("status"),
         F.when(corrupt, F.lit(False)).otherwise(F.coalesce(truncated, F.lit(False)))
         .alias("scan_truncated"),
         F.when(~corrupt, next_line).alias("next_line"),
     )
-    result = state.join(hits, "request_id", "left")
+    result = state.join(hits, key, "left")
     sound = F.col("status") == "active"
     return result.select(
         "request_id", "status", "run_id", "stream", "literal",
@@ -458,7 +473,9 @@ def render_search(found: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.coalesce(F.concat(F.lit("next_cursor: "), F.col("next_cursor"), F.lit("\n")), F.lit("")),
         F.col("_entries"),
     )
-    pages = with_redaction(pages.withColumn("_body", body), "_body", "_red")
+    pages = with_redaction(
+        pages.withColumn("_body", body), "_body", "_red", prefixes=policy.path_prefixes
+    )
     pages = pages.withColumn("warnings", injection_score(F.col("_red")))
     refused = F.concat(
         F.lit("status: blocked\nrun_id: "), F.col("run_id"),
@@ -536,8 +553,8 @@ def delete_runs(
 ) -> tuple[DataFrame, DataFrame]:
     """Remaining runs and the tombstones after the deletions.
 
-    Serving reads tombstones first, so appending them is what deletes; lines and
-    headers are dropped with the next purge.
+    Frames in, frames out; :mod:`textwarden.operators.removal` does the same to the files of a
+    published store.
     """
     gone = runs.join(requests.select("run_id"), "run_id", "left_semi").select("run_id")
     left = runs.join(requests.select("run_id"), "run_id", "left_anti")

@@ -197,6 +197,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"headers AS (SELECT {T.RUN_ID} AS run_id, doc_id, source AS tenant, CAST({T.CREATED} AS BIGINT) AS created_at, "
         f"CAST({T.CREATED} + {T.TTL} AS BIGINT) AS expires_at FROM documents)",
     ),
+    # Runs that the argument check lets through, and what a store knows of them.
+    "held": (
+        ("docs", "headers"),
+        f"open_ids AS (SELECT doc_id FROM docs WHERE {path_rule('path')} IS NULL), "
+        "held AS (SELECT h.* FROM headers h JOIN open_ids USING (doc_id))",
+    ),
     "tombs": ((), f"tombs AS (SELECT {T.select(T.TOMBSTONE)} FROM documents WHERE {T.TOMBSTONE_ROWS})"),
     "reqs": ((), f"reqs AS (SELECT {T.select(T.REQUEST)} FROM documents)"),
     "gate": (("docs",), ""),

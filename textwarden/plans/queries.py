@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden import rules as R
 from textwarden.functions import paths, redaction, shaping
 from textwarden.functions.injection import injection_score
-from textwarden.operators import audit, findings, gate, lines, quota, report, store
+from textwarden.operators import audit, commit, findings, gate, lines, quota, removal, report, store
+from textwarden.operators.block_search import search_store
+from textwarden.operators.serving import retrieve_store
 from textwarden.plans import duck as D, planted as T
 from textwarden.policy import Policy, StoragePolicy
-from textwarden.sources import captures as cap, documents as doc, policies
+from textwarden.sources import captures as cap, documents as doc, manifests, policies
 from textwarden.sources.checkpoints import cut_lineage, shared_dir
 from textwarden.streaming import jobs as streams
 
@@ -149,23 +152,39 @@ def sanitized_runs(spark, sf_dir) -> DataFrame:
     return rows.withColumnsRenamed({"_stdout": "stdout", "_stderr": "stderr"})
 
 
+#: Room for everything: what is kept is then decided by the argument check alone.
+ROOMY = StoragePolicy(
+    ttl_seconds=T.TTL, tombstone_ttl_seconds=T.TTL, max_records=10**12, max_total_bytes=10**15
+)
 _STORES: dict[tuple[str, str], str] = {}
 
 
-def stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Headers and lines of all captures, committed once per session and read back."""
+def runs_to_store(spark, sf_dir) -> DataFrame:
+    """Captures as the commit takes them, in the order of their ids."""
+    return T.captures(spark, sf_dir).withColumns(
+        {"arrival": col("doc_id"), "no_store": F.lit(False)}
+    )
+
+
+def new_store(spark) -> str:
+    return f"{shared_dir(spark)}/store-{uuid.uuid4()}"
+
+
+def stored(spark, sf_dir) -> manifests.Snapshot:
+    """All captures, committed once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
-        fresh = cut_lineage(store.storable(sanitized_runs(spark, sf_dir)))
-        store.write_store(
-            store.run_headers(fresh, "created_at", LIMITS),
-            lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]),
-            root,
-        )
+        root = new_store(spark)
+        commit.commit(spark, root, runs_to_store(spark, sf_dir), T.BASE_TIME, ROOMY)
         _STORES[key] = root
-    root = _STORES[key]
-    return spark.read.parquet(f"{root}/runs"), spark.read.parquet(f"{root}/lines")
+    return manifests.latest(spark, _STORES[key])
+
+
+def with_tombstones(spark, sf_dir, snapshot: manifests.Snapshot) -> manifests.Snapshot:
+    """The snapshot as if the planted tombstones were its own."""
+    marks = f"{uuid.uuid4()}"
+    T.tombstones(spark, sf_dir).write.parquet(f"{snapshot.root}/tombstones/commit={marks}")
+    return replace(snapshot, tombstones=marks)
 
 
 def line_table(spark, sf_dir) -> DataFrame:
@@ -189,32 +208,32 @@ def header_table(spark, sf_dir) -> DataFrame:
 @job(
     "snk_commit",
     D.sql(
-        "SELECT run_id, command_kind, created_at, expires_at, out_bytes, out_lines, out_checksum, "
-        "err_bytes, err_lines, err_checksum, coalesce(n, 0) AS stored_lines FROM runs "
-        "LEFT JOIN (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id) USING (run_id) WHERE doc_id % 10 <> 7",
-        "runs", "lines",
+        "SELECT r.run_id, r.tenant, command_kind, r.created_at, r.expires_at, out_bytes, out_lines, out_checksum, "
+        "err_bytes, err_lines, err_checksum, coalesce(n, 0) AS stored_lines, "
+        "(out_lines + 4095) // 4096 + (err_lines + 4095) // 4096 AS index_blocks FROM runs r JOIN held USING (run_id) "
+        "LEFT JOIN (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id) USING (run_id)",
+        "runs", "lines", "held",
     ),
 )
 def snk_commit(spark, sf_dir):
-    """Commit all captures but those already stored, a few sent twice, and read back."""
-    rows = sanitized_runs(spark, sf_dir).withColumn("arrival", col("doc_id"))
+    """Two commits, the second of all captures again and a few of them twice; read back."""
+    rows, root = runs_to_store(spark, sf_dir), new_store(spark)
+    commit.commit(spark, root, rows.where(col("doc_id") % 10 == 7), T.BASE_TIME, ROOMY)
     again = rows.where(col("doc_id") % 50 == 3).withColumn("arrival", col("arrival") + 10**12)
-    known = header_table(spark, sf_dir).where(col("doc_id") % 10 == 7)
-    fresh = cut_lineage(store.storable(store.new_runs(rows.unionByName(again), known)))
-    root = f"{shared_dir(spark)}/store-{uuid.uuid4()}"
-    store.write_store(
-        store.run_headers(fresh, "created_at", LIMITS), lines.line_index(cap.streams(fresh, "created_at"), keep=["created_at"]), root
-    )
-    stored = spark.read.parquet(f"{root}/lines").groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return spark.read.parquet(f"{root}/runs").join(stored, "run_id", "left").select(
-        "run_id", "command_kind", "created_at", "expires_at",
+    snapshot, _ = commit.commit(spark, root, rows.unionByName(again), T.BASE_TIME, ROOMY)
+    counted = [
+        snapshot.table(spark, name).groupBy("run_id").agg(F.count(F.lit(1)).alias(f"_{name}"))
+        for name in ("lines", "blocks")
+    ]
+    runs = snapshot.table(spark, "runs").join(counted[0], "run_id", "left").join(counted[1], "run_id", "left")
+    zero = F.lit(0).cast("bigint")
+    return runs.select(
+        "run_id", "tenant", "command_kind", "created_at", "expires_at",
         col("stdout.byte_len").alias("out_bytes"), col("stdout.line_count").alias("out_lines"),
         col("stdout.checksum").alias("out_checksum"),
         col("stderr.byte_len").alias("err_bytes"), col("stderr.line_count").alias("err_lines"),
         col("stderr.checksum").alias("err_checksum"),
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("stored_lines"),
+        F.coalesce("_lines", zero).alias("stored_lines"), F.coalesce("_blocks", zero).alias("index_blocks"),
     )
 
 
@@ -254,26 +273,49 @@ def snk_stats(spark, sf_dir):
     return text.select(F.from_json("stats_json", schema).alias("s")).select("s.*")
 
 
-_DECIDED = (
-    "doc_id % 7 = 0 AS no_store, doc_id % 19 = 4 AS failed, doc_id % 5 <> 2 AS within_quota, "
-    f"CAST({T.CREATED} + {T.TTL} AS BIGINT) AS expires_at"
+#: Limits that bind: 40 runs and 500,000 bytes a tenant, 9,000 bytes a stream.
+_TIGHT = StoragePolicy(
+    ttl_seconds=T.TTL, tombstone_ttl_seconds=T.TTL, max_records=40, max_total_bytes=500_000, max_stream_bytes=9_000
 )
 
 
-@job(
-    "snk_receipts",
-    D.sql(
-        f"WITH d AS (SELECT {T.RUN_ID} AS run_id, {_DECIDED} FROM documents), "
-        "r AS (SELECT *, CASE WHEN no_store THEN 'no_store' WHEN failed THEN 'storage_error' "
-        "WHEN NOT within_quota THEN 'quota_exceeded' ELSE 'stored' END AS reason FROM d) "
-        "SELECT run_id, reason = 'stored' AS stored, reason = 'stored' AS retrievable, reason, "
-        "CASE WHEN reason = 'stored' THEN expires_at END AS expires_at FROM r"
-    ),
-)
+def _receipts_sql() -> str:
+    """Written out as the walk it is: stored runs first, then one row of a tenant after the other."""
+    fits = "w.n < 40 AND w.used + r.bytes <= 500000"
+    return (
+        _SIZES_SQL
+        + f", marked AS (SELECT s.*, s.doc_id % 7 = 0 AS no_store, s.doc_id % 40 = 7 AS known FROM sizes s JOIN open_ids USING (doc_id)), "
+        "had AS (SELECT tenant, count(*) AS n, sum(bytes) AS used FROM marked WHERE known GROUP BY tenant), "
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY doc_id) AS seq FROM marked "
+        "WHERE NOT no_store AND NOT known AND stream_bytes <= 9000), "
+        "walk AS (SELECT t.tenant, CAST(NULL AS VARCHAR) AS run_id, CAST(0 AS BIGINT) AS seq, CAST(coalesce(had.n, 0) AS BIGINT) AS n, "
+        "CAST(coalesce(had.used, 0) AS BIGINT) AS used, false AS fits FROM (SELECT DISTINCT tenant FROM marked) t LEFT JOIN had USING (tenant) "
+        f"UNION ALL SELECT r.tenant, r.run_id, r.seq, w.n + CASE WHEN {fits} THEN 1 ELSE 0 END, "
+        f"w.used + CASE WHEN {fits} THEN r.bytes ELSE 0 END, {fits} FROM walk w JOIN ranked r ON r.tenant = w.tenant AND r.seq = w.seq + 1), "
+        "sent AS (SELECT *, doc_id AS arrival, false AS again FROM marked "
+        "UNION ALL SELECT *, doc_id + 1000000000000, true FROM marked WHERE doc_id % 50 = 3), "
+        "told AS (SELECT s.*, coalesce(w.fits, false) AS fits, CASE WHEN no_store THEN 'no_store' WHEN known THEN 'storage_error' "
+        "WHEN NOT coalesce(w.fits, false) THEN 'quota_exceeded' WHEN again THEN 'storage_error' ELSE 'stored' END AS reason "
+        "FROM sent s LEFT JOIN walk w USING (run_id)) "
+        "SELECT run_id, arrival, reason = 'stored' AS stored, reason = 'stored' AS retrievable, reason, "
+        f"CASE WHEN reason = 'stored' THEN {T.CREATED} + {T.TTL} END AS expires_at, "
+        "CASE WHEN known OR fits THEN 'active' ELSE 'not_found' END AS found FROM told"
+    )
+
+
 def snk_receipts(spark, sf_dir):
-    rows = doc.read_table(spark, sf_dir, "documents")
-    decided = rows.selectExpr(f"{T.RUN_ID} AS run_id", *[p.strip() for p in _DECIDED.split(", ")])
-    return store.receipts(decided)
+    """Runs that are blocked, unwanted, oversize, known, over quota or sent again; and what a lookup then finds."""
+    rows, root = runs_to_store(spark, sf_dir), new_store(spark)
+    known = rows.where(col("doc_id") % 40 == 7)
+    commit.commit(spark, root, known, T.BASE_TIME, ROOMY)
+    rows = rows.withColumn("no_store", col("doc_id") % 7 == 0)
+    again = rows.where(col("doc_id") % 50 == 3).withColumn("arrival", col("arrival") + 10**12)
+    snapshot, receipts = commit.commit(spark, root, rows.unionByName(again), T.BASE_TIME, _TIGHT)
+    found = store.resolve_status(
+        receipts, snapshot.table(spark, "runs").select("run_id", "schema_version", "created_at", col("expires_at").alias("_until"))
+        .withColumnRenamed("_until", "expires_at"), snapshot.tombstone_table(spark), F.lit(T.BASE_TIME),
+    )
+    return found.withColumnRenamed("status", "found")
 
 
 @job(
@@ -793,7 +835,7 @@ def _retrieve_sql(policy: str) -> str:
     )
     return (
         f", st AS (SELECT q.*, {D.status()} AS status0 FROM reqs q LEFT JOIN tombs t ON t.run_id = q.run_id "
-        "LEFT JOIN headers r ON r.run_id = q.run_id), "
+        "LEFT JOIN held r ON r.run_id = q.run_id), "
         "g AS (SELECT q.request_id, "
         "string_agg(l.whole, '' ORDER BY l.line_no) AS ctx, "
         "string_agg(l.whole, '' ORDER BY l.line_no) FILTER (WHERE l.line_no >= q.start_line AND l.line_no < q.start_line + q.lines) AS sel "
@@ -810,20 +852,16 @@ def _retrieve_sql(policy: str) -> str:
     )
 
 
-@job("join_retrieve", D.sql(_retrieve_sql("Warn"), "reqs", "tombs", "headers", "lines"))
+@job("join_retrieve", D.sql(_retrieve_sql("Warn"), "reqs", "tombs", "held", "lines"))
 def join_retrieve(spark, sf_dir):
-    runs, kept = stored(spark, sf_dir)
-    return store.retrieve(
-        T.requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), Policy(prompt_injection_action="Warn"),
-    )
+    snapshot = with_tombstones(spark, sf_dir, stored(spark, sf_dir))
+    return retrieve_store(spark, snapshot, T.requests(spark, sf_dir), F.lit(T.NOW), Policy(prompt_injection_action="Warn"))
 
 
-@job("join_context", D.sql(_retrieve_sql("Block"), "reqs", "tombs", "headers", "lines"))
+@job("join_context", D.sql(_retrieve_sql("Block"), "reqs", "tombs", "held", "lines"))
 def join_context(spark, sf_dir):
-    runs, kept = stored(spark, sf_dir)
-    return store.retrieve(
-        T.requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), Policy(),
-    )
+    snapshot = with_tombstones(spark, sf_dir, stored(spark, sf_dir))
+    return retrieve_store(spark, snapshot, T.requests(spark, sf_dir), F.lit(T.NOW), Policy())
 
 
 _LITERAL = "CASE WHEN doc_id % 5 = 0 THEN 'REDACTED' WHEN doc_id % 41 = 7 THEN '' ELSE 'on' END"
@@ -844,7 +882,7 @@ def _search_sql(matches: int, scan: int, columns: str) -> str:
     return (
         f", sr AS (SELECT {T.select(T.REQUEST)}, {_LITERAL} AS literal FROM documents), "
         f"st AS (SELECT q.*, CASE WHEN literal = '' THEN 'invalid_request' WHEN request_id % 43 = 1 THEN 'invalid_cursor' "
-        f"ELSE {D.status()} END AS status FROM sr q LEFT JOIN tombs t ON t.run_id = q.run_id LEFT JOIN headers r ON r.run_id = q.run_id), "
+        f"ELSE {D.status()} END AS status FROM sr q LEFT JOIN tombs t ON t.run_id = q.run_id LEFT JOIN held r ON r.run_id = q.run_id), "
         "n AS (SELECT run_id, stream, max(line_no) + 1 AS line_count FROM lines GROUP BY ALL), "
         "sc AS (SELECT q.request_id, q.literal, l.line_no, l.text, l.byte_len, n.line_count, "
         "sum(l.byte_len) OVER (PARTITION BY q.request_id ORDER BY l.line_no) AS scanned "
@@ -868,13 +906,13 @@ def _search_sql(matches: int, scan: int, columns: str) -> str:
     "join_search",
     D.sql(
         _search_sql(100, 64 * 1024 * 1024, "request_id, status, line, content, scan_truncated, next_line"),
-        "tombs", "headers", "lines",
+        "tombs", "held", "lines",
     ),
 )
 def join_search(spark, sf_dir):
-    runs, kept = stored(spark, sf_dir)
-    found = store.search(
-        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW),
+    snapshot = with_tombstones(spark, sf_dir, stored(spark, sf_dir))
+    found = search_store(
+        spark, snapshot, _search_requests(spark, sf_dir), F.lit(T.NOW),
     )
     return found.select("request_id", "status", "line", "content", "scan_truncated", "next_line")
 
@@ -883,14 +921,14 @@ def join_search(spark, sf_dir):
     "win_search_caps",
     D.sql(
         _search_sql(3, 600, "request_id, status, line, scan_truncated, next_line, next_cursor"),
-        "tombs", "headers", "lines",
+        "tombs", "held", "lines",
     ),
 )
 def win_search_caps(spark, sf_dir):
     """Small limits, so that both of them cut."""
-    runs, kept = stored(spark, sf_dir)
-    found = store.search(
-        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=3, max_scan_bytes=600,
+    snapshot = with_tombstones(spark, sf_dir, stored(spark, sf_dir))
+    found = search_store(
+        spark, snapshot, _search_requests(spark, sf_dir), F.lit(T.NOW), max_matches=3, max_scan_bytes=600,
     )
     return found.select("request_id", "status", "line", "scan_truncated", "next_line", "next_cursor")
 
@@ -912,11 +950,11 @@ def _render_sql() -> str:
     )
 
 
-@job("search_pages", D.sql(_render_sql(), "tombs", "headers", "lines"))
+@job("search_pages", D.sql(_render_sql(), "tombs", "held", "lines"))
 def search_pages(spark, sf_dir):
-    runs, kept = stored(spark, sf_dir)
-    found = store.search(
-        _search_requests(spark, sf_dir), runs, T.tombstones(spark, sf_dir), kept, F.lit(T.NOW), max_matches=5, max_scan_bytes=4000,
+    snapshot = with_tombstones(spark, sf_dir, stored(spark, sf_dir))
+    found = search_store(
+        spark, snapshot, _search_requests(spark, sf_dir), F.lit(T.NOW), max_matches=5, max_scan_bytes=4000,
     )
     return store.render_search(found, Policy(max_chars=600))
 
@@ -1085,6 +1123,12 @@ _SIZES_SQL = (
 )
 
 
+job(
+    "snk_receipts",
+    "WITH RECURSIVE " + D.sql(_receipts_sql(), "caps", "stored", "held")[len("WITH "):],
+)(snk_receipts)
+
+
 def _sizes(spark, sf_dir) -> DataFrame:
     rows = sanitized_runs(spark, sf_dir)
     return rows.select(
@@ -1097,12 +1141,13 @@ def _sizes(spark, sf_dir) -> DataFrame:
 @job(
     "agg_usage",
     D.sql(
-        _SIZES_SQL + " SELECT tenant, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM sizes GROUP BY tenant",
-        "caps", "stored",
+        _SIZES_SQL + " SELECT tenant, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM sizes JOIN open_ids USING (doc_id) GROUP BY tenant",
+        "caps", "stored", "held",
     ),
 )
 def agg_usage(spark, sf_dir):
-    return store.usage(_sizes(spark, sf_dir).withColumnRenamed("bytes", "record_bytes"), "tenant")
+    """What the store holds, from its headers."""
+    return store.usage(stored(spark, sf_dir).table(spark, "runs"), "tenant")
 
 
 @job(
@@ -1293,32 +1338,57 @@ def set_snapshot_diff(spark, sf_dir):
 _DELETE = "doc_id % 5 = 2"
 
 
+def _full_store(spark, sf_dir, rows: DataFrame) -> manifests.Snapshot:
+    """A store of these runs with the planted tombstones, for jobs that change it."""
+    root = new_store(spark)
+    snapshot, _ = commit.commit(spark, root, rows, T.BASE_TIME, ROOMY)
+    marked = with_tombstones(spark, sf_dir, snapshot)
+    return manifests.publish(spark, snapshot, snapshot.parts, marked.tombstones)
+
+
+def _what_is_left(spark, snapshot: manifests.Snapshot) -> DataFrame:
+    """What lies on the disk: every run with its lines, counted over all files, and every tombstone."""
+    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    runs = spark.read.parquet(f"{snapshot.root}/runs") if snapshot.parts else snapshot.table(spark, "runs")
+    held = any(p.lines for p in snapshot.parts)
+    lines_ = spark.read.parquet(f"{snapshot.root}/lines") if held else snapshot.table(spark, "lines")
+    count = F.count(F.lit(1))
+    return (
+        runs.select(F.lit("left").alias("part"), "run_id", none_s.alias("status"), col("expires_at").alias("n"))
+        .unionByName(lines_.groupBy("run_id").agg(count.alias("n")).select(F.lit("lines").alias("part"), "run_id", none_s.alias("status"), "n"))
+        .unionByName(snapshot.tombstone_table(spark).select(F.lit("tombstone").alias("part"), "run_id", "status", col("expires_at").alias("n")))
+    )
+
+
+_LEFT_SQL = (
+    "SELECT 'left' AS part, run_id, CAST(NULL AS VARCHAR) AS status, expires_at AS n FROM left_runs "
+    "UNION ALL SELECT 'lines', run_id, NULL, count(*) FROM lines WHERE run_id IN (SELECT run_id FROM left_runs) GROUP BY run_id "
+    "UNION ALL SELECT 'tombstone', run_id, status, expires_at FROM marks "
+)
+
+
 @job(
     "set_delete",
     D.sql(
         f", q AS (SELECT DISTINCT {T.REQUEST['run_id']} AS run_id FROM documents WHERE {_DELETE}), "
-        "h AS (SELECT * FROM headers WHERE doc_id % 7 <> 1), "
+        "h AS (SELECT * FROM held WHERE doc_id % 7 <> 1), "
         "s AS (SELECT q.run_id, CASE WHEN h.run_id IS NOT NULL THEN 'deleted' WHEN t.run_id IS NOT NULL THEN 'already_gone' ELSE 'not_found' END AS outcome "
         f"FROM q LEFT JOIN h USING (run_id) LEFT JOIN (SELECT * FROM tombs WHERE expires_at > {T.NOW}) t USING (run_id)), "
-        "left_runs AS (SELECT run_id FROM h WHERE run_id NOT IN (SELECT run_id FROM q)), "
+        "left_runs AS (SELECT run_id, expires_at FROM h WHERE run_id NOT IN (SELECT run_id FROM q)), "
         f"marks AS (SELECT run_id, status, recorded_at, expires_at FROM tombs WHERE run_id NOT IN (SELECT run_id FROM s WHERE outcome = 'deleted') "
         f"UNION ALL SELECT run_id, 'deleted', {T.NOW}, {T.NOW + T.TTL} FROM s WHERE outcome = 'deleted') "
-        "SELECT 'outcome' AS part, run_id, outcome AS status, CAST(NULL AS BIGINT) AS expires_at FROM s "
-        "UNION ALL SELECT 'left', run_id, NULL, NULL FROM left_runs UNION ALL SELECT 'tombstone', run_id, status, expires_at FROM marks",
-        "headers", "tombs",
+        + _LEFT_SQL + "UNION ALL SELECT 'outcome', run_id, outcome, NULL FROM s",
+        "held", "tombs", "lines",
     ),
 )
 def set_delete(spark, sf_dir):
+    """Runs are deleted from a store, whose files are then counted."""
+    snapshot = _full_store(spark, sf_dir, runs_to_store(spark, sf_dir).where(col("doc_id") % 7 != 1))
     ids = T.requests(spark, sf_dir).where(col("request_id") % 5 == 2)
-    runs = header_table(spark, sf_dir).where(col("doc_id") % 7 != 1)
-    tombs = T.tombstones(spark, sf_dir)
-    left, marks = store.delete_runs(ids, runs, tombs, T.NOW, LIMITS)
-    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    outcome = store.deletion_status(ids, runs, tombs, T.NOW)
-    return (
-        outcome.select(F.lit("outcome").alias("part"), "run_id", "status", none_b.alias("expires_at"))
-        .unionByName(left.select(F.lit("left").alias("part"), "run_id", none_s.alias("status"), none_b.alias("expires_at")))
-        .unionByName(marks.select(F.lit("tombstone").alias("part"), "run_id", "status", "expires_at"))
+    snapshot, outcome = removal.delete(spark, snapshot, ids, T.NOW, LIMITS)
+    none = F.lit(None).cast("bigint")
+    return _what_is_left(spark, snapshot).unionByName(
+        outcome.select(F.lit("outcome").alias("part"), "run_id", "status", none.alias("n"))
     )
 
 
@@ -1328,34 +1398,30 @@ _PURGE_NOW = T.NOW + 40_000
 @job(
     "set_purge",
     D.sql(
-        f", over AS (SELECT run_id FROM headers WHERE expires_at <= {_PURGE_NOW}), "
+        f", over AS (SELECT run_id FROM held WHERE expires_at <= {_PURGE_NOW}), "
         "fresh AS (SELECT * FROM tombs WHERE run_id NOT IN (SELECT run_id FROM over)), "
-        f"kept AS (SELECT run_id, status, expires_at FROM fresh WHERE expires_at > {_PURGE_NOW} "
+        f"left_runs AS (SELECT run_id, expires_at FROM held WHERE expires_at > {_PURGE_NOW}), "
+        f"marks AS (SELECT run_id, status, expires_at FROM fresh WHERE expires_at > {_PURGE_NOW} "
         f"UNION ALL SELECT run_id, 'expired', {_PURGE_NOW + T.TTL} FROM over) "
-        f"SELECT 'left' AS part, run_id, CAST(NULL AS VARCHAR) AS status, expires_at AS n FROM headers WHERE expires_at > {_PURGE_NOW} "
-        "UNION ALL SELECT 'tombstone', run_id, status, expires_at FROM kept "
-        f"UNION ALL SELECT 'removed', NULL, NULL, (SELECT count(*) FROM over) + (SELECT count(*) FROM fresh WHERE expires_at <= {_PURGE_NOW}) "
-        "UNION ALL SELECT 'removed_all', NULL, NULL, (SELECT count(*) FROM headers) + (SELECT count(DISTINCT run_id) FROM (SELECT run_id FROM headers UNION ALL SELECT run_id FROM tombs))",
-        "headers", "tombs",
+        + _LEFT_SQL
+        + f"UNION ALL SELECT 'removed', NULL, NULL, (SELECT count(*) FROM over) + (SELECT count(*) FROM fresh WHERE expires_at <= {_PURGE_NOW}) "
+        "UNION ALL SELECT 'removed_all', NULL, NULL, (SELECT count(*) FROM left_runs) "
+        "+ (SELECT count(DISTINCT run_id) FROM (SELECT run_id FROM left_runs UNION ALL SELECT run_id FROM marks)) "
+        "UNION ALL SELECT 'files_left', NULL, NULL, 0",
+        "held", "tombs", "lines",
     ),
 )
 def set_purge(spark, sf_dir):
-    runs, tombs = header_table(spark, sf_dir), T.tombstones(spark, sf_dir)
-    left, kept, removed = store.purge(runs, tombs, _PURGE_NOW, True, LIMITS)
-    _, _, removed_all = store.purge(runs, tombs, _PURGE_NOW, False, LIMITS)
-    none = F.lit(None).cast("string")
-
-    def part(name, df, run_id, status, n):
-        return df.select(
-            F.lit(name).alias("part"), run_id.alias("run_id"), status.alias("status"), n.alias("n")
-        )
-
-    return (
-        part("left", left, col("run_id"), none, col("expires_at"))
-        .unionByName(part("tombstone", kept, col("run_id"), col("status"), col("expires_at")))
-        .unionByName(part("removed", removed, none, none, col("removed")))
-        .unionByName(part("removed_all", removed_all, none, none, col("removed")))
+    """First what is past its time leaves the store, then everything does; the files are counted both times."""
+    snapshot = _full_store(spark, sf_dir, runs_to_store(spark, sf_dir))
+    snapshot, removed = removal.purge(spark, snapshot, _PURGE_NOW, True, LIMITS)
+    left = cut_lineage(_what_is_left(spark, snapshot))
+    snapshot, removed_all = removal.purge(spark, snapshot, _PURGE_NOW, False, LIMITS)
+    files = sum(
+        name.startswith("commit=") for table in manifests.SCHEMAS for name in manifests.names_in(spark, f"{snapshot.root}/{table}")
     )
+    rows = [("removed", None, None, removed), ("removed_all", None, None, removed_all), ("files_left", None, None, files)]
+    return left.unionByName(spark.createDataFrame(rows, left.schema))
 
 
 # ------------------------------------------------------------------ streams
