@@ -27,8 +27,7 @@ MAGIC = b"SIMPLE8B"
 BLOCK = 1 << 16
 #: Texts a file, by words of the encoded ids.
 FILE_WORDS = 1 << 21
-#: Distinct words, and half as many parts of words, that a worker remembers, some 200 bytes each;
-#: beyond that its tables start anew.
+#: Distinct parts, and as many words, that a worker remembers, some 150 bytes each; beyond that a table starts anew.
 TABLE_SIZE = 1_000_000
 END_ID = 1
 
@@ -46,8 +45,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
     choice = np.full(n, ESCAPE, dtype=np.int64)
+    widest = int(ids.max())
     for selector in range(len(LAYOUT) - 1, -1, -1):
         count, bits = LAYOUT[selector]
+        if widest < 1 << bits:
+            choice[:] = selector
+            continue
         narrow = np.flatnonzero(ids < np.uint64(1 << bits))
         if len(narrow):
             # Where each run of neighbours ends; the last one may be filled up.
@@ -103,8 +106,11 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def file_parts(lengths: list[int], ids: np.ndarray) -> Iterator[bytes]:
-    """A file: magic, counts, ids of each document, first word of each block, blocks."""
+def file_parts(lengths: list[int], ids: np.ndarray, keys: list[int | None] = ()) -> Iterator[bytes]:
+    """A file: magic, counts, ids of each document, first word of each block, blocks; then the documents' keys.
+
+    Keys are 64-bit integers, after them a byte each that is 1 where there is none.
+    """
     blocks = [pack(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0, *map(len, blocks)], dtype="<u8")
     yield MAGIC + struct.pack("<QQQ", len(lengths), len(ids), len(blocks))
@@ -112,6 +118,17 @@ def file_parts(lengths: list[int], ids: np.ndarray) -> Iterator[bytes]:
     yield offsets.tobytes()
     for block in blocks:
         yield block.astype("<u8").tobytes()
+    yield np.array([k or 0 for k in keys], dtype="<i8").tobytes()
+    yield bytes(k is None for k in keys)
+
+
+def read_keys(raw: bytes) -> list[int | None]:
+    """The keys of a file's documents, in their order."""
+    docs, _, blocks = struct.unpack_from("<QQQ", raw, 8)
+    words = struct.unpack_from("<Q", raw, 32 + 8 * docs + 8 * blocks)[0]
+    at = 32 + 8 * docs + 8 * (blocks + 1) + 8 * words
+    keys = np.frombuffer(raw, "<i8", docs, at).tolist()
+    return [None if missing else key for key, missing in zip(keys, raw[at + 8 * docs : at + 9 * docs])]
 
 
 def read_documents(raw: bytes) -> Iterator[np.ndarray]:
@@ -133,20 +150,19 @@ def read_documents(raw: bytes) -> Iterator[np.ndarray]:
         held, ready = [joined[length:]], ready - length
 
 
-#: Texts in these characters, and words of them without apostrophe or "<|", split into
-#: letters, digits and other marks as the tokenizer's own pattern would.
+#: Texts in these characters, in lower case and without "<|", split into endings, letters, digits and
+#: other marks as the tokenizer's own pattern would.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_WORD = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
 class WordCoder:
-    """Encodes as the library does, but each distinct word once.
+    """Encodes as the library does, but each distinct piece once.
 
     White space separates words for this tokenizer whatever stands around it, so a text's
-    ids are those of its words in order. Words of plain characters are further split where
-    the tokenizer splits them and their distinct parts go to its model without the
-    normaliser, which would leave them as they are.
+    ids are those of its words in order. Texts of plain characters are split at once into the
+    parts that the tokenizer would make of their words; distinct parts go to its model without the
+    normaliser, which would leave them as they are. Other texts go to the whole tokenizer word by word.
     """
 
     def __init__(self, tokenizer_file: str, table_size: int = TABLE_SIZE):
@@ -156,45 +172,31 @@ class WordCoder:
         self.full = Tokenizer.from_file(tokenizer_file)
         self.parts_only = Tokenizer(self.full.model)
         self.parts_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size, self.words, self.parts = table_size, {"": b""}, {}
-
-    @staticmethod
-    def _fill(table: dict, tokenizer, keys: list[str]) -> None:
-        found = tokenizer.encode(keys, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        owner = np.array(found.word_ids, dtype=np.int64)
-        ends = np.searchsorted(owner, np.arange(len(keys) + 1))
-        for k, key in enumerate(keys):
-            table[key] = ids[ends[k] : ends[k + 1]].tobytes()
-
-    def _learn(self, missing: list[str]) -> None:
-        odd = [w for w in missing if not _WORD.fullmatch(w) or "<|" in w]
-        for at in range(0, len(odd), 10_000):
-            self._fill(self.words, self.full, odd[at : at + 10_000])
-        odd = set(odd)
-        split = {w: _PARTS.findall(w.lower()) for w in missing if w not in odd}
-        parts = [p for p in dict.fromkeys(p for ps in split.values() for p in ps) if p not in self.parts]
-        for at in range(0, len(parts), 10_000):
-            self._fill(self.parts, self.parts_only, parts[at : at + 10_000])
-        for word, ps in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in ps])
+        self.size, self.words, self.parts = table_size, {}, {}
+
+    def _fill(self, table: dict, tokenizer, pieces: list[list[str]]) -> None:
+        """Learn what a table lacks; it starts anew where it would grow too large."""
+        need = set(chain.from_iterable(pieces))
+        missing = list(need.difference(table))
+        if len(table) + len(missing) > self.size:
+            table.clear()
+            missing = list(need)
+        for at in range(0, len(missing), 10_000):
+            keys = missing[at : at + 10_000]
+            found = tokenizer.encode(keys, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            owner = np.array(found.word_ids, dtype=np.int64)
+            ends = (4 * np.searchsorted(owner, np.arange(len(keys) + 1))).tolist()
+            table.update(zip(keys, map(ids.__getitem__, map(slice, ends, ends[1:]))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = []
-        for text in texts:
-            split.append(text.lower().split() if _PLAIN.fullmatch(text) else re.split("[\t-\r ]+", text))
-        need = set(chain.from_iterable(split))
-        missing = list(need.difference(self.words))
-        if len(self.words) + len(missing) > self.size:
-            self.words = {"": b""}
-            missing = list(need.difference(self.words))
-        if len(self.parts) > self.size // 2:
-            self.parts.clear()
-        if missing:
-            self._learn(missing)
-        found = self.words.__getitem__
-        return [b"".join(map(found, ws)) for ws in split]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        pieces = [_PARTS.findall(t.lower()) if p else [w for w in re.split("[\t-\r ]+", t) if w] for t, p in zip(texts, plain)]
+        self._fill(self.parts, self.parts_only, [ps for ps, p in zip(pieces, plain) if p])
+        self._fill(self.words, self.full, [ps for ps, p in zip(pieces, plain) if not p])
+        parts, words = self.parts.__getitem__, self.words.__getitem__
+        return [b"".join(map(parts if p else words, ps)) for ps, p in zip(pieces, plain)]
 
 
 @lru_cache(maxsize=2)
@@ -211,7 +213,8 @@ def write_token_files(
     Documents are dealt out by ranges of doc_id and sorted in each; a task writes files
     of bounded size, each under a name of its own, so that a task that runs twice leaves
     at worst a file that no list names. The list is a written table, and `first`, the
-    number of ids before a file, is a running sum over its one row a file.
+    number of ids before a file, is a running sum over its one row a file; it is then put
+    beside each file, under the file's name with `.base`.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -227,18 +230,16 @@ def write_token_files(
 
         def flush() -> pd.DataFrame:
             path = f"{folder}/{uuid.uuid4()}.s8b"
-            write_file(path, file_parts(lengths, np.frombuffer(b"".join(held), dtype="<u4")))
-            low = pd.array([None if keys[0] is None else int(keys[0])], dtype="Int64")
-            return pd.DataFrame(
-                {"path": [path], "low": low, "part": [order], "n_docs": [len(keys)], "n_ids": [size], "ids": [keys]}
-            )
+            write_file(path, file_parts(lengths, np.frombuffer(b"".join(held), dtype="<u4"), keys))
+            low = pd.array([keys[0]], dtype="Int64")
+            return pd.DataFrame({"path": [path], "low": low, "part": [order], "n_docs": [len(keys)], "n_ids": [size]})
 
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 for key, raw in zip(part["doc_id"], code.encode(part["text"].tolist())):
                     raw += end
-                    keys.append(key)
+                    keys.append(None if key is None else int(key))
                     lengths.append(len(raw) // 4)
                     held.append(raw)
                     size += len(raw) // 4
@@ -248,38 +249,38 @@ def write_token_files(
         if keys:
             yield flush()
 
-    files = cut_lineage(
-        dealt.mapInPandas(run, "path string, low long, part int, n_docs long, n_ids long, ids array<string>")
-    )
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, first in zip(batch["path"], batch["first"]):
+                write_file(f"{path}.base", [struct.pack("<Q", first)])
+            yield batch
+
+    files = cut_lineage(dealt.mapInPandas(run, "path string, low long, part int, n_docs long, n_ids long"))
     before = Window.orderBy(F.col("low").asc_nulls_first(), "part", "path").rowsBetween(Window.unboundedPreceding, -1)
-    order = files.select("path", "low", "part", "n_docs", "n_ids").withColumn(
-        "first", F.coalesce(F.sum("n_ids").over(before), F.lit(0))
-    )
-    return order.join(files.select("path", "ids"), "path")
+    order = files.select("path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    return cut_lineage(order.mapInPandas(place, "path string, n_docs long, n_ids long, first long"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the listed files, from their bytes."""
-    spread = files.select("path", "first", "ids").repartition(
-        max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path"
-    )
+    """doc_id, start, n_tokens, ids_crc32 of every document in the listed files, all of it from the files; files: path."""
+    spread = files.select("path").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, first, keys in zip(batch["path"], batch["first"], batch["ids"]):
-                starts, lengths, sums = [], [], []
-                at = int(first)
-                for ids in read_documents(read_file(path)):
+            for path in batch["path"]:
+                raw = read_file(path)
+                keys, starts, lengths, sums = read_keys(raw), [], [], []
+                (at,) = struct.unpack("<Q", read_file(f"{path}.base"))
+                for ids in read_documents(raw):
                     starts.append(at)
                     lengths.append(len(ids))
                     sums.append(zlib.crc32(ids.tobytes()))
                     at += len(ids)
                 yield pd.DataFrame(
-                    {"doc_id": list(keys), "start": starts, "n_tokens": lengths, "ids_crc32": sums}
+                    {"doc_id": pd.array(keys, dtype="Int64"), "start": starts, "n_tokens": lengths, "ids_crc32": sums}
                 )
 
-    read = spread.mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long")
-    return read.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return spread.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_file: str, **columns: str) -> DataFrame:
