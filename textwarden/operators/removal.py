@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textwarden.operators.store import bury, deletion_status
 from textwarden.policy import StoragePolicy
-from textwarden.sources.checkpoints import cut_lineage
-from textwarden.sources.manifests import SCHEMAS, TOMBSTONES, Part, Snapshot, delete_folder, publish
+from textwarden.sources.checkpoints import cut_lineage, delete_folder
+from textwarden.sources.manifests import SCHEMAS, TOMBSTONES, Part, Snapshot, publish
 
 
 def remove(

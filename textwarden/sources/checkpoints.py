@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,4 +39,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut_lineage` has written and that nothing unwritten is derived from any more.
+
+    Shuffle files behind written tables are garbage as well; Spark deletes them once the driver
+    collects its own, which a driver with little to do may put off for very long. So it is asked to.
+    """
+    for table in tables:
+        delete_folder(table.sparkSession, _PATHS.pop(table))
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system that Spark would use for a path, and the path on it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    files, place = hadoop_path(spark, path)
+    return files.delete(place, True)

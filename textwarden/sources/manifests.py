@@ -14,6 +14,8 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textwarden.sources.checkpoints import delete_folder, hadoop_path
+
 STREAM = "struct<byte_len: bigint, line_count: bigint, checksum: string>"
 SCHEMAS = {
     "runs": (
@@ -73,13 +75,8 @@ class Snapshot:
         return spark.read.schema(TOMBSTONES).parquet(f"{self.root}/tombstones/commit={self.tombstones}")
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def names_in(spark: SparkSession, path: str) -> list[str]:
-    files, place = _files(spark, path)
+    files, place = hadoop_path(spark, path)
     return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
 
 
@@ -88,7 +85,7 @@ def latest(spark: SparkSession, root: str, buckets: int = 16) -> Snapshot:
     names = [n for n in names_in(spark, f"{root}/manifests") if n.endswith(".json")]
     if not names:
         return Snapshot(root, buckets=buckets)
-    files, place = _files(spark, f"{root}/manifests/{names[-1]}")
+    files, place = hadoop_path(spark, f"{root}/manifests/{names[-1]}")
     source = files.open(place)
     try:
         found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
@@ -102,11 +99,11 @@ def publish(spark: SparkSession, before: Snapshot, parts: Sequence[Part], tombst
     after = replace(before, version=before.version + 1, parts=tuple(parts), tombstones=tombstones)
     folder = f"{before.root}/manifests"
     text = json.dumps({k: v for k, v in asdict(after).items() if k != "root"})
-    files, draft = _files(spark, f"{folder}/{uuid.uuid4()}.draft")
+    files, draft = hadoop_path(spark, f"{folder}/{uuid.uuid4()}.draft")
     out = files.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    _, place = _files(spark, f"{folder}/{after.version:012d}.json")
+    _, place = hadoop_path(spark, f"{folder}/{after.version:012d}.json")
     rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.NONE
@@ -143,8 +140,3 @@ def vacuum(spark: SparkSession, root: str) -> int:
         if name != f"{now.version:012d}.json":
             delete_folder(spark, f"{root}/manifests/{name}")
     return gone
-
-
-def delete_folder(spark: SparkSession, path: str) -> bool:
-    files, place = _files(spark, path)
-    return files.delete(place, True)
