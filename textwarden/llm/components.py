@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.sources.checkpoints import cut_lineage
+from textwarden.sources.checkpoints import cut_lineage, let_go
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,14 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
     round. Loops name nodes of their own component; an empty input gives no rows.
     """
     edges = cut_lineage(edges.select("u", "v"))
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    nodes = cut_lineage(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    given, edges = edges, cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    let_go(given)
     before = None
     while (now := _state(edges)) != before:
         before = now
         large = _star(_both_ways(edges)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _star(cut_lineage(large).where("u > v"))
+        large = cut_lineage(large)
+        small = _star(large.where("u > v"))
         tied = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(tied.where("u > v").distinct())
+        old, edges = edges, cut_lineage(tied.where("u > v").distinct())
+        let_go(old, large)
     roots = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -13,14 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm.components import components
-from textwarden.sources.checkpoints import cut_lineage
+from textwarden.sources.checkpoints import cut_lineage, let_go
 
 #: Two documents link when PERCENT of the union of their shingles are in both.
 SHINGLE, PERCENT = 3, 90
-#: Shingles, over all members, of a region that one task joins; larger ones are divided.
-LEAF = 4_000_000
+#: A region that is joined as it is has at most so many shingles, over all members, and at most so many
+#: shingles times members, which is what joining it may cost; larger ones are divided by pivots.
+LEAF, WORK = 4_000_000, 1_000_000
+#: What two blocks of a region that pivots do not divide may cost to join, by the same measure.
+BLOCK_WORK = 64_000_000
 #: Divisions after which what is still large is joined in blocks.
 DEPTH = 4
+#: Cells of a region are gone into if they have at most this share of its pairs, and this many copies of its members.
+USEFUL, WIDEST = 0.5, 16
 #: Pivots keep this distance from each other; members this near to one are at home in its cell.
 APART, NEAR = 0.3, 0.5
 #: Windows of all documents, and the wider ones of those that remain: shingles that partners share in them,
@@ -186,7 +191,8 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         sets = [np.frombuffer(s, dtype=np.int64) for s in part["shingles"]]
         return pd.DataFrame({"u": ids, "v": ids[join_region(sets, percent)]})
 
-    return rows.groupBy(*keys).applyInPandas(run, "u long, v long").where("u <> v")
+    # Said outright: rows that lie together by region alone would do for Spark, all in one task.
+    return rows.repartition(*keys).groupBy(*keys).applyInPandas(run, "u long, v long").where("u <> v")
 
 
 def _net(space: Space) -> list[int]:
@@ -201,10 +207,20 @@ def _net(space: Space) -> list[int]:
     return kept
 
 
-def _divide(rows: DataFrame, large: DataFrame, leaf: int, percent: int, level: int) -> DataFrame:
+def _capacities(members: DataFrame, weight: Column, leaf: int) -> DataFrame:
+    """region, weight, count, cap, block of regions with several members.
+
+    As many shingles of such members as `cap` are joined as they are, and so many as `block` in a pair of blocks.
+    """
+    totals = members.groupBy("region").agg(F.sum(weight).alias("weight"), F.count("*").alias("count")).where("count > 1")
+    most = lambda work: F.least(F.lit(float(leaf)), F.sqrt(F.lit(float(work)) * F.col("weight") / F.col("count")))
+    return totals.withColumns({"cap": most(WORK), "block": most(BLOCK_WORK)})
+
+
+def _divide(rows: DataFrame, large: DataFrame, percent: int, level: int) -> DataFrame:
     """parent, region, doc_id: members of the Voronoi cells of large regions; with region null and pivot, links to pivots.
 
-    Each region's pivots are drawn from its members by a hash, as many as half a leaf
+    Each region's pivots are drawn from its members by a hash, as many as half a task
     holds, and thinned to a net. A member is at home in the cell of its nearest pivot if
     that is NEAR. If x is at home with p, whoever is within r of x is no farther from p
     than NEAR + r, and than 2r more than from its own nearest pivot: members are guests of
@@ -214,10 +230,11 @@ def _divide(rows: DataFrame, large: DataFrame, leaf: int, percent: int, level: i
     that each get the pivots, so a region takes many tasks.
     """
     radius = 1 - percent / 100
-    slices = F.ceil(F.col("weight") / leaf).cast("int")
-    known = rows.join(large, "region").withColumn("h", F.xxhash64("doc_id", F.lit(level)))
-    members = known.withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int")).select("region", "slice", "doc_id", "shingles")
-    drawn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < leaf / 2 / F.col("weight")
+    slices = F.ceil(F.col("weight") / F.col("cap")).cast("int")
+    # By sets, not ids: an id may have very many texts.
+    known = rows.join(large, "region").withColumn("h", F.xxhash64("shingles", F.lit(level)))
+    members = known.withColumn("slice", F.pmod(F.xxhash64("shingles"), slices).cast("int")).select("region", "slice", "doc_id", "shingles")
+    drawn = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("cap") / 2 / F.col("weight")
     pivots = cut_lineage(
         known.where(drawn).select(
             "region", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "h", F.col("doc_id").alias("pivot"), F.col("shingles").alias("set")
@@ -248,10 +265,11 @@ def _divide(rows: DataFrame, large: DataFrame, leaf: int, percent: int, level: i
         return pd.DataFrame({k: pd.array(list(v), dtype="Int64") for k, v in zip(("parent", "region", "doc_id", "pivot"), columns)})
 
     key = ["region", "slice"]
+    members, pivots = members.repartition(*key), pivots.repartition(*key)
     return members.groupBy(key).cogroup(pivots.groupBy(key)).applyInPandas(run, "parent long, region long, doc_id long, pivot long")
 
 
-def _join_blocks(rows: DataFrame, labels: DataFrame, leaf: int, percent: int) -> DataFrame:
+def _join_blocks(rows: DataFrame, labels: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Links across the groups of large regions, in blocks; labels: region, doc_id, label.
 
     Members of a region's largest group need not meet each other. They are dealt into
@@ -264,10 +282,10 @@ def _join_blocks(rows: DataFrame, labels: DataFrame, leaf: int, percent: int) ->
     known = rows.join(labels, ["region", "doc_id"]).join(largest.where("labels > 1"), "region").withColumn("inner", F.col("label") == F.col("largest"))
     known = cut_lineage(known.select("region", "doc_id", "shingles", "inner"))
     weight = F.octet_length("shingles") / 8
-    blocks = lambda inner: F.ceil(F.sum(F.when(F.col("inner") == inner, weight).otherwise(0)) * 2 / leaf).cast("int")
-    sizes = known.groupBy("region").agg(blocks(True).alias("inners"), blocks(False).alias("outers"))
+    blocks = lambda inner: F.ceil(F.sum(F.when(F.col("inner") == inner, weight).otherwise(0)) * 2 / F.max("block")).cast("int")
+    sizes = known.join(large.select("region", "block"), "region").groupBy("region").agg(blocks(True).alias("inners"), blocks(False).alias("outers"))
     dealt = known.join(sizes, "region").withColumn(
-        "own", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("outers"))).cast("int")
+        "own", F.pmod(F.xxhash64("shingles", F.lit(-1)), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("outers"))).cast("int")
     )
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     inner = dealt.where("inner").select("*", each("outers").alias("i")).select("region", F.lit(0).alias("kind"), "i", F.col("own").alias("j"), "doc_id", "shingles")
@@ -282,51 +300,56 @@ def _join_blocks(rows: DataFrame, labels: DataFrame, leaf: int, percent: int) ->
 def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """u, v: links that connect all documents of each region that are linked; exact.
 
-    members: region, doc_id, n; sets: region, doc_id, shingles of the same rows. Regions of
-    up to `leaf` shingles are joined each in one task. Larger ones are divided by pivots
+    members: region, doc_id, n, an id once; sets: region, doc_id, shingles of their texts. Regions that
+    one task can join (see LEAF, WORK) are joined each in one task. Larger ones are divided by pivots
     into Voronoi cells, which are regions of the next level; cells whose members the
-    links to pivots have made one group are done. Where cells hold more than twice the
-    region's members, or one of them nearly all, as among near copies of one text, and
+    links to pivots have made one group are done. Where cells hold nearly as many pairs as
+    their region, as among near copies of one text, and
     after `depth` levels, the region is joined in blocks instead. What is small or large
     is told from members alone, so that whole sets are moved only to be joined.
     """
-    totals = members.groupBy("region").agg(F.sum("n").alias("weight"), F.count("*").alias("count")).where("count > 1")
-    sizes = cut_lineage(totals)
-    large = sizes.where(F.col("weight") > leaf)
-    fits = sizes.where(F.col("weight") <= leaf).select("region")
-    links = cut_lineage(_join_groups(sets.join(fits, "region"), ["region"], percent))
+    sizes = cut_lineage(_capacities(members, F.col("n"), leaf))
+    is_large = F.col("weight") > F.col("cap")
+    large = sizes.where(is_large)
+    known = cut_lineage(sets.join(sizes.select("region", is_large.alias("large")), "region"))
+    links = cut_lineage(_join_groups(known.where("NOT large"), ["region"], percent))
     if large.isEmpty():
+        let_go(known)
         return links
-    rows = cut_lineage(sets.join(large.select("region"), "region"))
+    rows = cut_lineage(known.where("large").drop("large"))
+    let_go(known)
     for level in range(depth):
-        divided = cut_lineage(_divide(rows, large, leaf, percent, level))
+        divided = cut_lineage(_divide(rows, large, percent, level))
         to_pivots = divided.where("region IS NULL").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
-        links = links.unionByName(to_pivots)
         groups = cut_lineage(components(to_pivots).select(F.col("node").alias("doc_id"), "component"))
         label = F.coalesce("component", "doc_id")
-        cells = divided.where("region IS NOT NULL").select("parent", "region", "doc_id")
+        cells = divided.where("region IS NOT NULL").select("parent", "region", "doc_id").distinct()
         held = cells.groupBy("parent", "region").agg(F.count("*").alias("held"))
-        widths = held.groupBy("parent").agg(F.sum("held").alias("held"), F.max("held").alias("most"))
+        pairs = lambda c: c.cast("double") * c
+        widths = held.groupBy("parent").agg(F.sum("held").alias("held"), F.sum(pairs(F.col("held"))).alias("pairs"))
         widths = widths.join(large.withColumnRenamed("region", "parent"), "parent")
-        too_wide = (F.col("held") > 2 * F.col("count")) | (F.col("most") > 0.7 * F.col("count"))
+        too_wide = (F.col("pairs") > USEFUL * pairs(F.col("count"))) | (F.col("held") > WIDEST * F.col("count"))
         widths = cut_lineage(widths.select("parent", (F.lit(True) if level == depth - 1 else too_wide).alias("wide")))
         whole = rows.join(widths.where("wide").select(F.col("parent").alias("region")), "region")
         labels = whole.select("region", "doc_id").join(groups, "doc_id", "left").select("region", "doc_id", label.alias("label")).distinct()
-        links = links.unionByName(_join_blocks(whole, labels, leaf, percent))
+        blocks = cut_lineage(_join_blocks(whole, labels, large, percent))
         narrow = cells.join(widths.where("NOT wide").select("parent"), "parent")
         open_cells = (
             narrow.select("region", "doc_id").join(groups, "doc_id", "left")
             .groupBy("region").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select("region")
         )
         old = rows.select(F.col("region").alias("parent"), "doc_id", "shingles")
-        rows = cut_lineage(narrow.join(open_cells, "region").join(old, ["parent", "doc_id"]).select("region", "doc_id", "shingles"))
-        totals = rows.groupBy("region").agg(F.sum(F.octet_length("shingles") / 8).alias("weight"), F.count("*").alias("count")).where("count > 1")
-        sizes = cut_lineage(totals)
-        links = links.unionByName(_join_groups(rows.join(sizes.where(F.col("weight") <= leaf).select("region"), "region"), ["region"], percent))
-        large = sizes.where(F.col("weight") > leaf)
+        below = cut_lineage(narrow.join(open_cells, "region").join(old, ["parent", "doc_id"]).select("region", "doc_id", "shingles"))
+        sizes = cut_lineage(_capacities(below, F.octet_length("shingles") / 8, leaf))
+        leaves = cut_lineage(_join_groups(below.join(sizes.where(~is_large).select("region"), "region"), ["region"], percent))
+        more = cut_lineage(links.unionByName(to_pivots).unionByName(blocks).unionByName(leaves))
+        let_go(links, divided, groups, widths, blocks, leaves, rows)
+        links, large = more, sizes.where(is_large)
         if large.isEmpty():
+            let_go(below)
             break
-        rows = rows.join(large.select("region"), "region")
+        rows = cut_lineage(below.join(large.select("region"), "region"))
+        let_go(below)
     return links
 
 
@@ -339,13 +362,15 @@ def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataF
     done again. Those with own at least `needed` long may link.
     """
     needed = _fewest(F.col("n"), percent, width)
-    shared = windows.select("doc_id", "n", F.explode("first").alias("s"))
+    shared, kept = windows.select("doc_id", "n", F.explode("first").alias("s")), None
     for k in range(peels + 1):
         counts = shared.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         grouped = shared.join(counts, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
-        kept = cut_lineage(grouped.where(F.size("own") >= needed).withColumn("needed", needed.cast("int")))
-        if k < peels:
-            shared = kept.select("doc_id", "n", F.explode("own.s").alias("s"))
+        before, kept = kept, cut_lineage(grouped.where(F.size("own") >= needed).withColumn("needed", needed.cast("int")))
+        del counts, grouped
+        if before is not None:
+            let_go(before)
+        shared = kept.select("doc_id", "n", F.explode("own.s").alias("s"))
     return kept
 
 
@@ -370,13 +395,19 @@ def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     Of its shared shingles each document needs only so many, the rarest, that one of
     them is in every partner's. Documents that share one are in one region.
     """
-    shared = _shared(_profiles(texts, size, percent, SECOND), percent, SECOND, PEELS)
+    windows = cut_lineage(_profiles(texts, size, percent, SECOND).drop("digest"))
+    shared = _shared(windows, percent, SECOND, PEELS)
+    let_go(windows)
     rare = F.slice("own.s", F.lit(1), F.size("own") - F.col("needed") + 1)
     members = shared.select("doc_id", F.explode(rare).alias("s"))
     centre = members.groupBy("s").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1")
     edges = members.join(centre, "s").select(F.col("doc_id").alias("u"), "v").distinct()
     found = components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id"))
-    return cut_lineage(found.join(shared.select("doc_id", "n"), "doc_id"))
+    # An id with several texts is one member, with all of their shingles.
+    weights = shared.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    out = cut_lineage(found.join(weights, "doc_id"))
+    let_go(shared)
+    return out
 
 
 def near_duplicates(
@@ -392,23 +423,39 @@ def near_duplicates(
     Shingles are compared by 64-bit hashes, classes by 128-bit ones.
 
     Whole sets are only made for members of regions. What the narrow windows of all
-    documents leave over has its texts set aside and is seen again with wider ones.
+    documents leave over has its texts set aside and is seen again with wider ones. Each table is
+    deleted once those made of it are written.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profiles = cut_lineage(_profiles(rows, size, percent, FIRST))
+    wide = cut_lineage(_profiles(rows, size, percent, FIRST))
+    profiles = cut_lineage(wide.drop("first"))
     classes = cut_lineage(
         profiles.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("c")).select("digest", "c.*")
     )
-    windows = profiles.where("n > 0").join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    left = _shared(windows, percent, FIRST, 0).where(F.size("own") >= F.col("needed")).select("doc_id")
+    windows = cut_lineage(
+        wide.where("n > 0").join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "n", "first")
+    )
+    let_go(wide)
+    shared = _shared(windows, percent, FIRST, 0)
+    let_go(windows)
+    # A narrow table of ids, once each: small enough to filter texts by before they move.
+    left = cut_lineage(shared.select("doc_id").distinct())
+    let_go(shared)
     with _runtime_filter(spark):
-        texts = cut_lineage(rows.join(left, "doc_id").select("doc_id", "text"))
+        texts = rows.join(left.where(F.col("doc_id") > -(1 << 63)), "doc_id", "left_semi")
+        # Rows that repeat both id and text; seldom there, so the texts are seldom shuffled for it.
+        if not profiles.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+            texts = texts.dropDuplicates(["doc_id", "text"])
+        texts = cut_lineage(texts)
+    let_go(left)
     regions = _regions(texts, size, percent)
     with _runtime_filter(spark):
         sets = _sets(texts.join(regions, "doc_id"), size)
         links = join_regions(sets, regions, percent, leaf)
+    let_go(texts, regions)
     found = cut_lineage(components(links)).withColumnRenamed("node", "least")
+    let_go(links)
     lonely = profiles.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = (
         profiles.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
