@@ -42,19 +42,29 @@ def test_families_are_divided_by_pivots(spark, monkeypatch, size, percent):
 
 
 def test_a_family_is_dealt_over_many_tasks(spark, monkeypatch):
+    """Whether by cells or by blocks, no task joins more than a part of it, and members are not copied for each pair."""
     monkeypatch.setattr(jaccard_join, "WORK", 200_000)
     monkeypatch.setattr(jaccard_join, "BLOCK_WORK", 400_000)
-    most = []
-    join = jaccard_join._join_groups
+    most, pairs, written = [], [], []
+    join, cut = jaccard_join._join_groups, jaccard_join.cut_lineage
 
     def counted(rows, keys, percent):
         most.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
         return join(rows, keys, percent)
 
+    def watched(df):
+        out = cut(df)
+        if out.columns == ["region", "inner", "i", "j"]:
+            pairs.append(out.count())
+        if "shingles" in out.columns:
+            written.append(out.count())
+        return out
+
     monkeypatch.setattr(jaccard_join, "_join_groups", counted)
+    monkeypatch.setattr(jaccard_join, "cut_lineage", watched)
     rows = _family(random.Random(2), 600, 100, 30)
     near_duplicates(_docs(spark, rows)).collect()
-    assert max(most) <= 150
+    assert max(most) <= 150 and sum(pairs) > 20 and max(written) <= 600
 
 
 def test_an_id_with_many_texts_is_one_node(spark, monkeypatch):
@@ -101,5 +111,8 @@ def test_tables_behind_the_result_are_let_go(spark):
     before = set(os.listdir(folder))
     rows = _family(random.Random(4), 50, 60, 2)
     assert near_duplicates(_docs(spark, rows)).count() == 50
-    # What is left is what the result is read from.
-    assert len({f for f in set(os.listdir(folder)) - before if f.startswith("cut-")}) <= 4
+    # Only narrow tables are left: ids, sizes, digests and links.
+    left = [f for f in set(os.listdir(folder)) - before if f.startswith(("cut-", "blocks-"))]
+    assert left
+    for name in left:
+        assert not {"text", "first", "own", "shingles", "s"} & set(spark.read.parquet(f"{folder}/{name}").columns)

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.llm.common import file_system, new_folder
 from textwarden.llm.components import components
-from textwarden.sources.checkpoints import cut_lineage, let_go
+from textwarden.sources.checkpoints import cut_lineage, delete_folder, let_go
 
 #: Two documents link when PERCENT of the union of their shingles are in both.
 SHINGLE, PERCENT = 3, 90
@@ -269,32 +270,62 @@ def _divide(rows: DataFrame, large: DataFrame, percent: int, level: int) -> Data
     return members.groupBy(key).cogroup(pivots.groupBy(key)).applyInPandas(run, "parent long, region long, doc_id long, pivot long")
 
 
+def _read_block(folder: str, region: int, inner: int, own: int) -> tuple[list[int], list[np.ndarray]]:
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileType
+
+    system, place = file_system(f"{folder}/region={region}/inner={inner}/own={own}")
+    if system.get_file_info(place).type == FileType.NotFound:
+        return [], []
+    found = pq.read_table(place, filesystem=system, columns=["doc_id", "shingles"], partitioning=None)
+    return found["doc_id"].to_pylist(), [np.frombuffer(x.as_py(), dtype=np.int64) for x in found["shingles"]]
+
+
 def _join_blocks(rows: DataFrame, labels: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Links across the groups of large regions, in blocks; labels: region, doc_id, label.
+    """A written table of links across the groups of large regions, in blocks; labels: region, doc_id, label.
 
     Members of a region's largest group need not meet each other. They are dealt into
     blocks, and so are the others; each block of the others meets each block of either
-    kind. Where pivots have linked nearly all members, a member of the largest group
-    is sent to one task, and only the few others to many.
+    kind. Blocks are written once, a file each, in the shared folder; a task is told a pair and
+    reads both. So what is moved and kept grows with the members, not with the pairs.
     """
+    spark = rows.sparkSession
     counted = labels.groupBy("region", "label").agg(F.count("*").alias("c"))
     largest = counted.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels"))
-    known = rows.join(labels, ["region", "doc_id"]).join(largest.where("labels > 1"), "region").withColumn("inner", F.col("label") == F.col("largest"))
-    known = cut_lineage(known.select("region", "doc_id", "shingles", "inner"))
+    known = rows.join(labels, ["region", "doc_id"]).join(largest.where("labels > 1"), "region")
+    known = cut_lineage(known.select("region", "doc_id", "shingles", (F.col("label") == F.col("largest")).cast("int").alias("inner")))
     weight = F.octet_length("shingles") / 8
     blocks = lambda inner: F.ceil(F.sum(F.when(F.col("inner") == inner, weight).otherwise(0)) * 2 / F.max("block")).cast("int")
-    sizes = known.join(large.select("region", "block"), "region").groupBy("region").agg(blocks(True).alias("inners"), blocks(False).alias("outers"))
-    dealt = known.join(sizes, "region").withColumn(
-        "own", F.pmod(F.xxhash64("shingles", F.lit(-1)), F.when(F.col("inner"), F.col("inners")).otherwise(F.col("outers"))).cast("int")
-    )
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    inner = dealt.where("inner").select("*", each("outers").alias("i")).select("region", F.lit(0).alias("kind"), "i", F.col("own").alias("j"), "doc_id", "shingles")
-    outer = dealt.where("NOT inner")
-    across = outer.select("*", each("inners").alias("j")).select("region", F.lit(0).alias("kind"), F.col("own").alias("i"), "j", "doc_id", "shingles")
-    among = outer.select("*", each("outers").alias("j")).select(
-        "region", F.lit(1).alias("kind"), F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "doc_id", "shingles"
-    )
-    return _join_groups(inner.unionByName(across).unionByName(among), ["region", "kind", "i", "j"], percent)
+    sizes = known.join(large.select("region", "block"), "region").groupBy("region").agg(blocks(1).alias("inners"), blocks(0).alias("outers"))
+    sizes = cut_lineage(sizes)
+    own = F.pmod(F.xxhash64("shingles", F.lit(-1)), F.when(F.col("inner") == 1, F.col("inners")).otherwise(F.col("outers"))).cast("int")
+    dealt = known.join(sizes, "region").select("region", "inner", own.alias("own"), "doc_id", "shingles")
+    where, folder = ["region", "inner", "own"], new_folder(spark, "blocks")
+    dealt.repartition(*where).write.partitionBy(*where).parquet(folder)
+    let_go(known)
+    first = sizes.where("outers > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("outers") - 1)).alias("i"))
+    across = first.where("inners > 0").select("region", F.lit(1).alias("inner"), "i", F.explode(F.sequence(F.lit(0), F.col("inners") - 1)).alias("j"))
+    among = first.select("region", F.lit(0).alias("inner"), "i", F.explode(F.sequence(F.col("i"), F.col("outers") - 1)).alias("j"))
+    pairs = cut_lineage(across.unionByName(among))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for region, inner, i, j in batch[["region", "inner", "i", "j"]].itertuples(index=False):
+                ids, sets = _read_block(folder, region, 0, i)
+                if inner or i != j:
+                    more = _read_block(folder, region, inner, j)
+                    ids, sets = ids + more[0], sets + more[1]
+                ids = np.array(ids, dtype=np.int64)
+                group = join_region(sets, percent)
+                linked = pd.DataFrame({"u": ids, "v": ids[group]})
+                yield linked[linked["u"] != linked["v"]]
+
+    # Two pairs a task, about; Spark would put all of these short rows into one.
+    tasks = max(1, min(pairs.count() // 2, 10_000))
+    links = cut_lineage(pairs.repartition(tasks, "region", "inner", "i", "j").mapInPandas(run, "u long, v long"))
+    let_go(sizes, pairs)
+    delete_folder(spark, folder)
+    return links
 
 
 def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -332,7 +363,7 @@ def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, le
         widths = cut_lineage(widths.select("parent", (F.lit(True) if level == depth - 1 else too_wide).alias("wide")))
         whole = rows.join(widths.where("wide").select(F.col("parent").alias("region")), "region")
         labels = whole.select("region", "doc_id").join(groups, "doc_id", "left").select("region", "doc_id", label.alias("label")).distinct()
-        blocks = cut_lineage(_join_blocks(whole, labels, large, percent))
+        blocks = _join_blocks(whole, labels, large, percent)
         narrow = cells.join(widths.where("NOT wide").select("parent"), "parent")
         open_cells = (
             narrow.select("region", "doc_id").join(groups, "doc_id", "left")
