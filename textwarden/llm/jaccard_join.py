@@ -384,6 +384,14 @@ def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, le
     return links
 
 
+def _may_link(windows: DataFrame, percent: int, width: float) -> DataFrame:
+    """doc_id, once, of those that _shared() would keep without peeling; only counts are moved for it."""
+    shared = windows.select("doc_id", "n", F.explode("first").alias("s"))
+    counts = shared.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
+    found = shared.join(counts, "s").groupBy("doc_id", "n").agg(F.count("*").alias("c"))
+    return found.where(F.col("c") >= _fewest(F.col("n"), percent, width)).select("doc_id").distinct()
+
+
 def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataFrame:
     """doc_id, n, own (df and shingle, rarest first), needed; windows: doc_id, n, first.
 
@@ -468,11 +476,9 @@ def near_duplicates(
         wide.where("n > 0").join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("doc_id", "n", "first")
     )
     let_go(wide)
-    shared = _shared(windows, percent, FIRST, 0)
-    let_go(windows)
     # A narrow table of ids, once each: small enough to filter texts by before they move.
-    left = cut_lineage(shared.select("doc_id").distinct())
-    let_go(shared)
+    left = cut_lineage(_may_link(windows, percent, FIRST))
+    let_go(windows)
     with _runtime_filter(spark):
         texts = rows.join(left.where(F.col("doc_id") > -(1 << 63)), "doc_id", "left_semi")
         # Rows that repeat both id and text; seldom there, so the texts are seldom shuffled for it.
