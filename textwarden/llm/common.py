@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterable
 
@@ -36,6 +37,20 @@ def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: Functions that keep a model and its table in a Python worker from task to task.
+_KEPT = {
+    "textwarden.llm.toxicity": "_decoder", "textwarden.llm.tokenize_pieces": "coder",
+    "textwarden.llm.token_files": "coder", "textwarden.llm.byte_bpe": "coder",
+}
+
+
+def forget_tables() -> None:
+    """Drop what operators before this one keep in the worker, which Spark reuses: it would only take room."""
+    for module, name in _KEPT.items():
+        if module in sys.modules:
+            getattr(sys.modules[module], name).cache_clear()
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A folder of its own below the shared one, for files that tasks write."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4()}"

@@ -8,11 +8,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import file_system, new_folder
+from textwarden.llm.common import file_system, forget_tables, new_folder
 from textwarden.llm.components import components
 from textwarden.sources.checkpoints import cut_lineage, delete_folder, let_go
 
@@ -82,6 +83,7 @@ def _fewest(n: Column, percent: int, width: float) -> Column:
 
 def _profiles(docs: DataFrame, size: int, percent: int, width: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
@@ -277,7 +279,7 @@ def _read_block(folder: str, region: int, inner: int, own: int) -> tuple[list[in
     system, place = file_system(f"{folder}/region={region}/inner={inner}/own={own}")
     if system.get_file_info(place).type == FileType.NotFound:
         return [], []
-    found = pq.read_table(place, filesystem=system, columns=["doc_id", "shingles"], partitioning=None)
+    found = pq.read_table(place, filesystem=system, columns=["doc_id", "shingles"], partitioning=None, use_threads=False)
     return found["doc_id"].to_pylist(), [np.frombuffer(x.as_py(), dtype=np.int64) for x in found["shingles"]]
 
 
@@ -319,6 +321,7 @@ def _join_blocks(rows: DataFrame, labels: DataFrame, large: DataFrame, percent:
                 group = join_region(sets, percent)
                 linked = pd.DataFrame({"u": ids, "v": ids[group]})
                 yield linked[linked["u"] != linked["v"]]
+        pa.default_memory_pool().release_unused()
 
     # Two pairs a task, about; Spark would put all of these short rows into one.
     tasks = max(1, min(pairs.count() // 2, 10_000))
