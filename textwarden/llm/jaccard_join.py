@@ -396,7 +396,7 @@ def _may_link(windows: DataFrame, percent: int, width: float) -> DataFrame:
 
 
 def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataFrame:
-    """doc_id, n, own (df and shingle, rarest first), needed; windows: doc_id, n, first.
+    """doc_id, n, own (df and shingle, rarest first), needed; windows, which are let go: doc_id, n, first.
 
     Windows are joined shingle by shingle, as counts first: a shingle of one window only
     cannot link anything. A document of whose window fewer than `needed` shingles are
@@ -409,9 +409,7 @@ def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataF
         counts = shared.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         grouped = shared.join(counts, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
         before, kept = kept, cut_lineage(grouped.where(F.size("own") >= needed).withColumn("needed", needed.cast("int")))
-        del counts, grouped
-        if before is not None:
-            let_go(before)
+        let_go(windows if before is None else before)
         shared = kept.select("doc_id", "n", F.explode("own.s").alias("s"))
     return kept
 
@@ -439,7 +437,6 @@ def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """
     windows = cut_lineage(_profiles(texts, size, percent, SECOND).drop("digest"))
     shared = _shared(windows, percent, SECOND, PEELS)
-    let_go(windows)
     rare = F.slice("own.s", F.lit(1), F.size("own") - F.col("needed") + 1)
     members = shared.select("doc_id", F.explode(rare).alias("s"))
     centre = members.groupBy("s").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1")
