@@ -120,13 +120,13 @@ def test_quality_removes_frequent_lines(spark):
     body = lambda k: " ".join("abcdefghij"[k] * (i + 1) for i in range(60))
     shared = " ".join("z" * (i + 1) for i in range(70))
     rows = [(f"{body(k)}\n  {shared.upper()}", "a") for k in range(4)] + [(f"{body(9)}\nother", "a"), (f"{body(8)}\n{shared}", "b")]
-    got = [r["kept"] for r in quality.quality_rules(_texts(spark, rows), max_docs=3, max_share=0.5).orderBy("doc_id").collect()]
+    got = [r["kept"] for r in quality.quality_rules(_texts(spark, rows), max_docs=3).orderBy("doc_id").collect()]
     assert got == [False] * 4 + [True, True]
 
 
 def test_quality_returns_texts_without_frequent_lines(spark):
     rows = [(f"own {'abcdef'[k]}\n MENU  {k}\n\nend {'abcdef'[k]}", "a") for k in range(5)] + [("menu 7", "a"), ("menu 7\nx", "b"), (None, "a"), ("", "a")]
-    out = quality.quality_rules(_texts(spark, rows), max_docs=3, max_share=0.5).orderBy("doc_id")
+    out = quality.quality_rules(_texts(spark, rows), max_docs=3).orderBy("doc_id")
     assert out.columns[:3] == ["doc_id", "text", "source"]
     got = [(r["text"], r["n_words"], r["words_left"]) for r in out.collect()]
     assert got == [(f"own {'abcdef'[k]}\n\nend {'abcdef'[k]}", 6, 4) for k in range(5)] + [("", 2, 0), ("menu 7\nx", 3, 3), (None, 0, 0), ("", 0, 0)]
@@ -139,6 +139,35 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_boilerplate(_texts(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Line frequencies count documents: sixty copies of a row make none of its lines frequent."""
+    words = " ".join(f"{chr(97 + i % 26)}{'x' * i}" for i in range(60))
+    df = spark.createDataFrame([(7, words, "a")] * 60 + [(8, "other", "a"), (None, words, "a"), (None, words, "a")], "doc_id long, text string, source string")
+    judged = quality.quality_rules(df, max_docs=2).where("doc_id = 7").distinct().collect()
+    assert [(r["text"], r["words_left"], r["kept"]) for r in judged] == [(words, 60, True)]
+    assert quality.quality_rules(df, max_docs=1).where("kept").count() == 0
+    assert line_dedup.drop_boilerplate(df, min_pages=3).where("n_dropped > 0").count() == 0
+    assert line_dedup.drop_boilerplate(df, min_pages=2).where("n_dropped > 0").count() == 62
+
+
+def test_frequent_lines_do_not_depend_on_the_size_of_the_host(spark):
+    rows = [(f"menu\nown {chr(97 + i % 26) * (1 + i // 26)}", "a") for i in range(6)] + [(f"page {'z' * (i + 1)}", "a") for i in range(900)]
+    assert quality.quality_rules(_texts(spark, rows), max_docs=5).where("words_left < n_words").count() == 6
+
+
+def test_added_columns_take_the_place_of_clashing_ones(spark):
+    """Names of added columns, in any case, and names that operators use inside."""
+    rows = [(i, "menu\nown", "s", f"k{i}", "h", "g", "w", "x", "r") for i in range(12)]
+    schema = "doc_id long, text string, source string, Kept string, host string, gone string, n_words string, N_LINES string, rest string"
+    df = spark.createDataFrame(rows, schema)
+    judged = quality.quality_rules(df, max_docs=3)
+    assert judged.columns == ["doc_id", "text", "source", "host", "gone", "N_LINES", "rest", *quality.ADDED]
+    assert [tuple(r)[1:7] for r in judged.collect()] == [("", "s", "h", "g", "x", "r")] * 12
+    cleaned = line_dedup.drop_boilerplate(df)
+    assert cleaned.columns == ["doc_id", "text", "source", "Kept", "host", "gone", "n_words", "rest", "n_lines", "n_dropped"]
+    assert {tuple(r)[1:3] + tuple(r)[4:] for r in cleaned.collect()} == {("", "s", "h", "g", "w", "r", 2, 2)}
+
+
 def test_raking_reaches_marginals():
     cells = np.random.default_rng(1).integers(1, 1000, size=(3, 4, 2)).astype(float)
     targets = [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,22 @@ def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under the names c0, c1, …, which an operator's own columns cannot clash with; and these names by column."""
+    names = {column: f"c{i}" for i, column in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def handed_back(out: DataFrame, names: dict[str, str], added: Sequence[str], changed: dict[str, str] | None = None) -> DataFrame:
+    """The input's columns under their names, then the added ones, which take the place of input columns of their name.
+
+    `changed` gives, for a column of the input, the column that holds its new value.
+    """
+    taken = {name.lower() for name in added}
+    places = names | (changed or {})
+    return out.select(*[F.col(at).alias(c) for c, at in places.items() if c.lower() not in taken], *added)
+
+
 #: Functions that keep a model and its table in a Python worker from task to task.
 _KEPT = {
     "textwarden.llm.toxicity": "_decoder", "textwarden.llm.tokenize_pieces": "coder",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.common import handed_back, numbered
 from textwarden.sources.checkpoints import cut_lineage
 
 #: Of a host's pages, the share above which a line is boilerplate, and the pages that must hold it at least.
@@ -15,21 +16,17 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(
-    docs: DataFrame, text: str, host: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
-) -> DataFrame:
-    """host, lines: the keys of the lines on more than max_ratio of the host's pages.
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, lines: the keys of the lines on more than max_ratio of the host's pages, of (page, host, text).
 
-    Counts are taken over all rows. Within a host more than max_ratio * pages pages
+    Distinct pages are counted, over all rows. Within a host more than max_ratio * pages pages
     hold each such line, so a host has at most (lines a page) / max_ratio of them.
     """
-    pages = docs.select(
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text")
-    )
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = pages.select("page", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda line: F.trim(line) != "")
     seen = (
-        pages.select("host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("line"))
+        pages.select("page", "host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("line"))
+        .distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("held"))
         .where(F.col("held") >= min_pages)
@@ -45,6 +42,7 @@ def boilerplate(
 def drop_boilerplate(
     docs: DataFrame,
     *,
+    doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
     max_ratio: float = MAX_RATIO,
@@ -55,36 +53,31 @@ def drop_boilerplate(
     A line is what stands between line feeds, compared without outer spaces by its
     64-bit hash; blank lines neither count nor go. A line is boilerplate on a host when
     at least min_pages of the host's pages, and more than max_ratio of them, hold it
-    (a page that repeats it counts once; repeated rows are pages of their own).
+    (rows that share an id are one page, as are rows without one).
     Null hosts form one host, together with the empty name. A null text stays null
     with 0 lines, an empty one stays empty; a text whose lines all go becomes empty.
-    The input must not have columns n_lines or n_dropped; others are kept as they are.
+    Input columns named n_lines or n_dropped are replaced by these.
 
     The texts are not shuffled while the table of boilerplate is small enough for
     Spark to broadcast it; beyond that AQE splits hot hosts of the join.
     """
-    hot = cut_lineage(boilerplate(docs, text, host, max_ratio, min_pages)).select(
-        F.col("host").alias("__host"), F.col("lines").alias("__hot")
-    )
-    joined = docs.withColumn("__key", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(
-        hot, F.col("__key") == F.col("__host"), "left"
-    )
-    split = F.split(F.col(text), "\n")
-    kept = F.filter(
-        split, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__hot"), _key(line))
-    )
+    rows, names = numbered(docs)
+    body = F.col(names[text])
+    rows = rows.withColumn("host", F.coalesce(F.col(names[host]).cast("string"), F.lit("")))
+    pages = rows.select(F.col(names[doc_id]).alias("page"), "host", body.alias("text"))
+    hot = cut_lineage(boilerplate(pages, max_ratio, min_pages)).withColumnRenamed("lines", "hot")
+    joined = rows.join(hot, "host", "left")
+    split = F.split(body, "\n")
+    kept = F.filter(split, lambda line: (F.trim(line) == "") | ~F.array_contains("hot", _key(line)))
     count = lambda lines: F.coalesce(
         F.size(F.filter(lines, lambda line: F.trim(line) != "")).cast("long"), F.lit(0)
     )
-    number = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(count(split))
-    touched = F.col("__hot").isNotNull() & F.col(text).isNotNull()
-    after = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text))
+    number = F.when(body.isNull(), F.lit(0).cast("long")).otherwise(count(split))
+    touched = F.col("hot").isNotNull() & body.isNotNull()
+    after = F.when(touched, F.array_join(kept, "\n")).otherwise(body)
     dropped = F.when(touched, count(split) - count(kept)).otherwise(F.lit(0).cast("long"))
-    return joined.select(
-        *[after.alias(c) if c == text else F.col(c) for c in docs.columns],
-        number.alias("n_lines"),
-        dropped.alias("n_dropped"),
-    )
+    out = joined.select(*names.values(), after.alias("after"), number.alias("n_lines"), dropped.alias("n_dropped"))
+    return handed_back(out, names, ("n_lines", "n_dropped"), {text: "after"})
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -99,7 +92,7 @@ lines AS (
   FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM pages)
 ),
-totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+totals AS (SELECT host, count(DISTINCT doc_id) AS pages FROM pages GROUP BY host),
 held AS (
   SELECT host, trim(line, ' ') AS key, count(DISTINCT doc_id) AS held
   FROM lines WHERE trim(line, ' ') <> '' GROUP BY ALL

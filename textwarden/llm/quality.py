@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import staged, without_space, words
+from textwarden.llm.common import handed_back, numbered, staged, without_space, words
 from textwarden.sources.checkpoints import cut_lineage
 
 #: Words below which, and the percentage of repeated words above which, a text fails by itself.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A line goes when more documents of its host hold it than both of these: a count, and a share of the host's documents.
-MAX_DOCS, MAX_SHARE = 50, 0.01
+#: A line goes when more documents of its host than these hold it.
+MAX_DOCS = 50
 #: The percentage of its words that a document must keep.
 MIN_LEFT = 50
 #: Characters that count as symbols (fixed values).
@@ -72,35 +72,27 @@ def base_measures(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int, max_share: float) -> DataFrame:
-    """host, lines: keys of the lines that more documents of the host hold than the limits allow.
+def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """host, line: the lines that more than max_docs documents of the host hold, of (doc, host, lines).
 
-    All documents count. As each such line is in more than max_share of the host's documents,
-    a host has at most (lines a document) / max_share of them.
+    Distinct documents are counted: a document that is there many times counts once. The
+    first shuffle is by host, line and document, so that no host and no line is one task's.
     """
-    rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    held = (
-        rows.select("host", F.explode(F.array_distinct(_line_keys(F.col("text")))).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("held"))
-        .where(F.col("held") > max_docs)
-    )
-    return (
-        held.join(totals, "host")
-        .where(F.col("held") > F.lit(max_share) * F.col("docs"))
-        .groupBy("host")
-        .agg(F.collect_list("line").alias("lines"))
-    )
+    held = lines.select("doc", "host", F.explode("lines").alias("line")).distinct()
+    return held.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") > max_docs).select("host", "line")
+
+
+#: What quality_rules adds to the rows.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
 
 
 def quality_rules(
     docs: DataFrame,
     *,
+    doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
     max_docs: int = MAX_DOCS,
-    max_share: float = MAX_SHARE,
     min_left: int = MIN_LEFT,
 ) -> DataFrame:
     """The rows, their texts without frequent lines, with the base measures, words_left and kept.
@@ -108,27 +100,36 @@ def quality_rules(
     Base measures are those of the whole text; words_left counts what remains in the text
     that is returned. Texts without a frequent line, null ones included, stay as they are.
 
-    A document is depleted when less than min_left percent of its words remain once the
-    frequent lines of its host are out. Kept are documents that neither fail by
+    A line is frequent when more than max_docs distinct documents of the host hold it, however
+    large the host. A document is depleted when less than min_left percent of its words remain
+    once the frequent lines of its host are out. Kept are documents that neither fail by
     themselves nor are depleted. Null and empty texts have no words and fail; null hosts
-    form one host, together with the empty name; rows that repeat count as documents of
-    their own. The input must not have the added columns.
+    form one host, together with the empty name. Rows that share an id are one document in
+    the counts, as are rows without one; each is judged by its own text. Input
+    columns of the names of the added ones are replaced by these.
+
+    The texts' lines are hashed once, into a narrow table. Frequent lines meet it by host and line, in a
+    join that Spark broadcasts while they are few and whose hot lines AQE splits beyond that; a text
+    then gets only those that it holds itself, as one row for each host and hash of a text (texts that
+    share a hash share that list, which is right for both, as it holds frequent lines of the host only).
     """
-    hot = cut_lineage(frequent_lines(docs, text, host, max_docs, max_share)).select(
-        F.col("host").alias("__host"), F.col("lines").alias("__hot")
-    )
-    keyed = docs.withColumn("__key", F.coalesce(F.col(host).cast("string"), F.lit("")))
-    joined = keyed.join(hot, F.col("__key") == F.col("__host"), "left")
-    out = base_measures(joined, text)
-    frequent = lambda line: (without_space(line) != "") & F.array_contains("__hot", F.xxhash64(_normal(line)))
-    rest = F.filter(F.split(F.col(text), "\n"), lambda line: ~frequent(line))
-    out = staged(out, "__rest", F.when(F.col("__hot").isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text)))
+    rows, names = numbered(docs)
+    body = F.col(names[text])
+    keyed = rows.withColumns({"host": F.coalesce(F.col(names[host]).cast("string"), F.lit("")), "node": F.xxhash64(body)})
+    keys = keyed.select(F.col(names[doc_id]).alias("doc"), "host", "node", F.array_distinct(_line_keys(body)).alias("lines"))
+    lines = cut_lineage(keys.where(F.size("lines") > 0))
+    hot = cut_lineage(frequent_lines(lines, max_docs))
+    hits = lines.select("host", "node", F.explode("lines").alias("line")).join(hot, ["host", "line"])
+    gone = cut_lineage(hits.groupBy("host", "node").agg(F.collect_set("line").alias("gone")))
+    out = base_measures(keyed.join(gone, ["host", "node"], "left"), names[text])
+    frequent = lambda line: (without_space(line) != "") & F.array_contains("gone", F.xxhash64(_normal(line)))
+    rest = F.filter(F.split(body, "\n"), lambda line: ~frequent(line))
+    out = staged(out, "rest", F.when(F.col("gone").isNotNull(), F.array_join(rest, "\n")).otherwise(body))
     # Only texts that lost a line are split into words again.
-    whole = F.col("__hot").isNull() | F.col(text).isNull() | (F.length("__rest") == F.length(text))
-    out = out.withColumn("words_left", F.when(whole, F.col("n_words")).otherwise(F.size(words(F.col("__rest")))).cast("long"))
+    left = F.when(F.col("gone").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("rest"))))
+    out = out.withColumn("words_left", left.cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("words_left") >= min_left * F.col("n_words"))
-    out = out.withColumns({"kept": kept, text: F.col("__rest")})
-    return out.drop("__key", "__host", "__hot", "__rest")
+    return handed_back(out.withColumn("kept", kept), names, ADDED, {text: "rest"})
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -158,12 +159,7 @@ normal AS (
          trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key
   FROM lines
 ),
-totals AS (SELECT host, count(*) AS docs FROM docs GROUP BY host),
-held AS (SELECT host, key, count(DISTINCT doc_id) AS held FROM normal GROUP BY ALL),
-hot AS (
-  SELECT host, key FROM held JOIN totals USING (host)
-  WHERE held > {MAX_DOCS} AND held > CAST({MAX_SHARE} AS DOUBLE) * docs
-),
+hot AS (SELECT host, key FROM normal GROUP BY ALL HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 gone AS (SELECT doc_id, sum(n) AS gone FROM normal JOIN hot USING (host, key) GROUP BY doc_id),
 windows AS (
   SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
