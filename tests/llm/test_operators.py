@@ -168,6 +168,37 @@ def test_added_columns_take_the_place_of_clashing_ones(spark):
     assert {tuple(r)[1:3] + tuple(r)[4:] for r in cleaned.collect()} == {("", "s", "h", "g", "w", "r", 2, 2)}
 
 
+def test_clashing_columns_of_filters_and_mixture(spark):
+    df = spark.createDataFrame([(i, "http://a.org/x", "a b", "src0", "en", "h", "t", 9, "j") for i in range(6)] * 2,
+                               "doc_id long, url string, text string, source string, lang string, host string, topic string, Score int, judged string")
+    judged = url_filter.filter_urls(df, url_filter.RULES)
+    assert judged.columns == ["doc_id", "url", "text", "source", "lang", "topic", "Score", "judged", "host", "path", "rule", "verdict"]
+    assert {tuple(r)[5:] for r in judged.collect()} == {("t", 9, "j", "a.org", "/x", "org/", "allow")}
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "url", "text", "source", "lang", "host", "Score", "judged", "n_tokens", "topic", "probability", "sampled"]
+    assert {(r["host"], r["n_tokens"], r["topic"]) for r in mixed.collect()} == {("h", 2, "note")}
+    scored = toxicity.score_toxicity(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert scored.columns == ["doc_id", "url", "text", "source", "lang", "host", "topic", "judged", "held_out", "score", "predicted", "restored_hits"]
+    assert scored.count() == 12 and len({r["score"] for r in scored.collect()}) == 1
+    assert url_filter.filter_urls(df.limit(0), url_filter.RULES).count() == 0
+    long = spark.createDataFrame([("http://a.org/" + "x" * 100_000,)], "url string")
+    assert url_filter.filter_urls(long, url_filter.RULES).first()["rule"] == "org/"
+
+
+def test_mixing_matches_sql_with_unnamed_languages(spark, tmp_path):
+    import duckdb
+
+    langs = ["en", "de", "fr", "es", None, "xx", "it"]
+    rows = [(i, "w " * (5 + i % 90) + ("|" if i % 7 == 0 else ""), f"src{i % 3}", langs[i * i % 11 % 7]) for i in range(500)] + [(600, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    mine = mixing.op9(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.execute(f"SELECT {', '.join(mine.columns)} FROM ({mixing.SQL})").fetchall()
+    assert {r[0]: r for r in map(tuple, mine.collect())} == {r[0]: r for r in theirs}
+    assert all(p > 0 for (*_, p, _) in theirs)
+
+
 def test_raking_reaches_marginals():
     cells = np.random.default_rng(1).integers(1, 1000, size=(3, 4, 2)).astype(float)
     targets = [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]

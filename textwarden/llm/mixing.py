@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import words
+from textwarden.llm.common import handed_back, numbered, words
 
 #: A category for values that a marginal does not name.
 OTHER = "*"
@@ -85,13 +85,13 @@ def mix(
 
     The table of cells has at most one row for each combination of named categories:
     its size is fixed by the targets, not by the data, so the driver may hold it.
-    The input must not have the four added columns.
+    Input columns of the names of the four added ones are replaced by these.
     """
-    axes = {"source": F.col(source), "lang": F.col(lang), "topic": topic(F.col(text))}
+    rows, places = numbered(docs)
+    body = F.col(places[text])
+    axes = {"source": F.col(places[source]), "lang": F.col(places[lang]), "topic": topic(body)}
     names = {axis: list(targets[axis]) for axis in axes}
-    counted = docs.withColumns(
-        {"n_tokens": F.size(words(F.col(text))).cast("long"), "topic": axes["topic"]}
-    )
+    counted = rows.withColumns({"n_tokens": F.size(words(body)).cast("long"), "topic": axes["topic"]})
 
     def category(axis: str, value: Column) -> Column:
         found = F.when(value.isin([n for n in names[axis] if n != OTHER]), value)
@@ -123,20 +123,22 @@ def mix(
         here = [F.col(f"__{axis}") == shape[axis][i] for axis, i in zip(axes, place)]
         probability = F.when(here[0] & here[1] & here[2], float(rates[place])).otherwise(probability)
     out = counted.withColumns(keys).withColumn("probability", probability)
-    return out.withColumn("sampled", chance(F.col(doc_id)) < F.col("probability")).drop(*keys)
+    out = out.withColumn("sampled", chance(F.col(places[doc_id])) < F.col("probability"))
+    return handed_back(out, places, ("n_tokens", "topic", "probability", "sampled"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mix(docs).select(
+    return mix(docs, ALL_LANGUAGES).select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled"
     )
 
 
 def _sql() -> str:
     """The raking as nested window sums, one for each scaling."""
-    listed = lambda axis: ", ".join(f"('{n}', {w!r})" for n, w in TARGETS[axis].items())
-    named = lambda axis: ", ".join(f"'{n}'" for n in TARGETS[axis] if n != OTHER)
+    targets = ALL_LANGUAGES
+    listed = lambda axis: ", ".join(f"('{n}', {'NULL' if w is HELD else repr(w)})" for n, w in targets[axis].items())
+    named = lambda axis: ", ".join(f"'{n}'" for n in targets[axis] if n != OTHER)
     other = {axis: f"'{OTHER}'" for axis in TARGETS}
     steps, last = [], "c0"
     for k in range(ROUNDS * len(TARGETS)):
@@ -147,8 +149,9 @@ def _sql() -> str:
         last = f"c{k + 1}"
     category = lambda axis: f"CASE WHEN {axis} IN ({named(axis)}) THEN {axis} ELSE {other[axis]} END AS c_{axis}"
     shares = ", ".join(
-        f"s_{axis} AS (SELECT v AS c_{axis}, t / sum(t) OVER () AS t_{axis} FROM (VALUES {listed(axis)}) x(v, t)"
-        f" WHERE v IN (SELECT c_{axis} FROM cells WHERE n > 0))"
+        f"h_{axis} AS (SELECT c_{axis} AS v, sum(n) / sum(sum(n)) OVER () AS held FROM cells GROUP BY c_{axis}), "
+        f"s_{axis} AS (SELECT v AS c_{axis}, coalesce(t / sum(t) OVER () * (1 - coalesce(sum(held) FILTER (t IS NULL) OVER (), 0)), held) AS t_{axis}"
+        f" FROM (VALUES {listed(axis)}) x(v, t) JOIN h_{axis} USING (v) WHERE held > 0)"
         for axis in TARGETS
     )
     return f"""

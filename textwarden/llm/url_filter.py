@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import new_folder, write_file
+from textwarden.llm.common import handed_back, new_folder, numbered, write_file
 
 #: The rules of the registered query: host and path, and what they decide.
 RULES = (
@@ -147,7 +147,8 @@ def filter_urls(
     path, which no rule fits. The index is written to the shared folder, sent to every
     executor once and mapped into memory there, so workers of a machine share its pages;
     an index above MAX_INDEX is refused. URLs are judged where they are: no shuffle.
-    The input must not have the four added columns; others are kept.
+    Input columns of the names of the four added ones are replaced by these; others are kept.
+    Rows that repeat are judged alike, an empty table gives none.
     """
     spark = pages.sparkSession
     index = build_index(rules)
@@ -164,15 +165,11 @@ def filter_urls(
         for hosts, paths in batches:
             yield pd.DataFrame(array.judge(hosts.tolist(), paths.tolist()), columns=["rule", "verdict"])
 
-    out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumn("__judged", judged("host", "path"))
-    return out.select(
-        *pages.columns,
-        "host",
-        "path",
-        F.col("__judged.rule").alias("rule"),
-        F.coalesce("__judged.verdict", F.lit(default)).alias("verdict"),
-    )
+    rows, names = numbered(pages)
+    out = rows.withColumns({"host": host_of(F.col(names[url])), "path": path_of(F.col(names[url]))})
+    out = out.withColumn("judged", judged("host", "path"))
+    verdict = F.coalesce("judged.verdict", F.lit(default))
+    return handed_back(out.withColumns({"rule": F.col("judged.rule"), "verdict": verdict}), names, ("host", "path", "rule", "verdict"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
