@@ -18,14 +18,14 @@ MIN_LEFT = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def _normal(line: Column) -> Column:
-    """Lower case, digits as 0, white space as single spaces, none outside."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
-
-
 def _line_keys(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda line: without_space(line) != "")
-    return F.transform(lines, lambda line: F.xxhash64(_normal(line)))
+    """The hash of every line without regard to case, digits and white space; all blank lines have that of the empty one.
+
+    The text is brought to its normal form as a whole; only trimming is done line by line.
+    """
+    normal = F.translate(F.lower(text), "123456789", "000000000")
+    lines = F.split(F.regexp_replace(normal, r"[\x20\x09\x0B-\x0D]+", " "), "\n")
+    return F.transform(lines, lambda line: F.xxhash64(F.trim(line)))
 
 
 def base_measures(docs: DataFrame, text: str) -> DataFrame:
@@ -112,18 +112,20 @@ def quality_rules(
     join that Spark broadcasts while they are few and whose hot lines AQE splits beyond that; a text
     then gets only those that it holds itself, as one row for each host and hash of a text (texts that
     share a hash share that list, which is right for both, as it holds frequent lines of the host only).
+    These rows grow with the corpus, so the join that brings them to the texts is a shuffle at every size.
     """
     rows, names = numbered(docs)
     body = F.col(names[text])
     keyed = rows.withColumns({"host": F.coalesce(F.col(names[host]).cast("string"), F.lit("")), "node": F.xxhash64(body)})
-    keys = keyed.select(F.col(names[doc_id]).alias("doc"), "host", "node", F.array_distinct(_line_keys(body)).alias("lines"))
+    keys = F.array_remove(F.array_distinct(_line_keys(body)), F.xxhash64(F.lit("")))
+    keys = keyed.select(F.col(names[doc_id]).alias("doc"), "host", "node", keys.alias("lines"))
     lines = cut_lineage(keys.where(F.size("lines") > 0))
     hot = cut_lineage(frequent_lines(lines, max_docs))
     hits = lines.select("host", "node", F.explode("lines").alias("line")).join(hot, ["host", "line"])
     gone = cut_lineage(hits.groupBy("host", "node").agg(F.collect_set("line").alias("gone")))
-    out = base_measures(keyed.join(gone, ["host", "node"], "left"), names[text])
-    frequent = lambda line: (without_space(line) != "") & F.array_contains("gone", F.xxhash64(_normal(line)))
-    rest = F.filter(F.split(body, "\n"), lambda line: ~frequent(line))
+    out = base_measures(keyed.join(gone.hint("merge"), ["host", "node"], "left"), names[text])
+    out = staged(out, "keys", F.when(F.col("gone").isNotNull(), _line_keys(body)))
+    rest = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains("gone", F.get("keys", i)))
     out = staged(out, "rest", F.when(F.col("gone").isNotNull(), F.array_join(rest, "\n")).otherwise(body))
     # Only texts that lost a line are split into words again.
     left = F.when(F.col("gone").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("rest"))))
