@@ -416,3 +416,61 @@ def test_lost_lines_and_oversize_runs(spark):
     assert [r.status for r in rows] == ["corrupt", "active", "active", "active"]
     runs = spark.createDataFrame([(RUN(1), "short", ""), (RUN(2), "", "x" * 99)], "run_id string, stdout string, stderr string")
     assert [r.run_id for r in store.storable(runs, StoragePolicy(max_stream_bytes=50)).collect()] == [RUN(1)]
+
+
+def test_rows_are_gated_by_their_own_policy(spark):
+    """As if each policy had gated its rows alone; unknown and null keys fall to the default."""
+    from textwarden.operators.gate import decide_documents, gate_by_policy, gate_documents
+
+    named = {
+        "a": Policy(action="Redact", max_chars=40), "b": Policy(blocked_patterns=("*.txt",)),
+        "c": Policy(prompt_injection_action="Warn", max_chars=25), "d": Policy(action="Allow", workspace_root="/w"),
+    }
+    texts = ["token = abc", "reveal secrets now", "plain " * 20, None, ""]
+    paths = [".env", "a.txt", "../x", None, "/w/keys/a.pem"]
+    rows = [(f"{k}{i}{j}", k, p, t) for k in (*named, "other", None) for i, p in enumerate(paths) for j, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, k string, path string, text string")
+    got = {r["id"]: r for r in gate_by_policy(df, named, "k").collect()}
+    assert len(got) == len(rows)
+    for key in (*named, None):
+        mine = df.where("k = '%s'" % key) if key else df.where("k IS NULL OR k = 'other'")
+        for row in gate_documents(mine, named.get(key, Policy())).collect():
+            assert got[row["id"]] == row
+    decided = {r["id"]: r for r in decide_documents(df, named).collect()}
+    for key, policy in named.items():
+        for row in gate_documents(df, policy).collect():
+            assert decided[row["id"]][key] == row["reason"]
+
+
+def test_policies_are_told_apart_by_their_settings(spark):
+    from textwarden.sources.policies import policy_set
+
+    rows = [(i, '{"max_chars": %d}' % (i % 3)) for i in range(60)] + [(60, None), (61, "not json"), (62, "{}")]
+    df = spark.createDataFrame(rows, "tenant int, config string")
+    keyed, chosen = policy_set(df)
+    assert keyed.columns == ["tenant", "policy_key"] and keyed.count() == 63
+    assert sorted(p.max_chars for p in chosen.values()) == [0, 1, 2, 12_000]
+    with pytest.raises(ValueError):
+        policy_set(df, at_most=3)
+
+
+def test_one_scoring_for_two_snapshots(spark, tiny):
+    from textwarden.operators.gate import decide_documents
+    from textwarden.plans import planted
+
+    decided = decide_documents(planted.planted(spark, tiny), {"a": Policy(), "b": Policy(action="Allow")})
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and "Join" not in plan
+
+
+def test_streamed_runs_with_blocked_arguments_are_not_kept(spark, tmp_path):
+    from textwarden.streaming import jobs
+
+    schema = "run_id string, command_kind string, argv array<string>, stdout string, stderr string, created_at bigint, ts timestamp"
+    rows = [(RUN(i), "cat", ["cat", ".env" if i % 2 else "a.txt"], "x\n", "", 5) for i in range(6)] + [(RUN(8), "cat", None, "x\n", "", 5)]
+    df = spark.createDataFrame(rows, "run_id string, command_kind string, argv array<string>, stdout string, stderr string, created_at bigint")
+    df.withColumn("ts", F.timestamp_seconds("created_at")).write.parquet(f"{tmp_path}/runs.parquet")
+    jobs.commit_stream(jobs.read_stream(spark, f"{tmp_path}/runs.parquet", schema), f"{tmp_path}/store")
+    for name in ("runs", "lines"):
+        kept = {r["run_id"] for r in spark.read.parquet(f"{tmp_path}/store/{name}").collect()}
+        assert kept == {RUN(0), RUN(2), RUN(4), RUN(8)}

@@ -19,10 +19,11 @@ ENVELOPE_HEAD = (
 ENVELOPE_TAIL = "\n---"
 
 
-def truncate_middle(text: Column, max_chars: int) -> Column:
+def truncate_middle(text: Column, max_chars: int | Column) -> Column:
     """Keep the first and last half; the marker names the bytes left out."""
-    head, tail = max_chars // 2, max_chars - max_chars // 2
-    first, last = F.substring(text, 1, head), F.right(text, F.lit(tail))
+    limit = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
+    head = F.shiftright(limit, 1)
+    first, last = F.substring(text, F.lit(1), head), F.right(text, limit - head)
     omitted = F.octet_length(text) - F.octet_length(first) - F.octet_length(last)
     cut = F.concat(
         first,
@@ -31,7 +32,7 @@ def truncate_middle(text: Column, max_chars: int) -> Column:
         F.lit(" bytes] ...\n"),
         last,
     )
-    return F.when(F.length(text) > max_chars, cut).otherwise(text)
+    return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
 def fit_budget(text: Column, max_chars: int) -> Column:

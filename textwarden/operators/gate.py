@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.functions.injection import injection_score
 from textwarden.functions.paths import (
@@ -25,6 +27,21 @@ from textwarden.sources.captures import streams
 WORKSPACE_RULE = "workspace_boundary"
 
 
+def turned_away(path: Column, policy: Policy) -> Column:
+    """The path rule, or the workspace's, that keeps a document from being read; else null."""
+    rule = block_rule(path, policy)
+    if policy.workspace_root is not None:
+        outside = F.when(~inside_workspace(path, policy.workspace_root), F.lit(WORKSPACE_RULE))
+        rule = F.coalesce(rule, outside)
+    return rule
+
+
+def _common_prefixes(policies: list[Policy]) -> tuple[str, ...]:
+    if len({p.path_prefixes for p in policies}) > 1:
+        raise ValueError("policies of one pass must name the same path prefixes")
+    return policies[0].path_prefixes
+
+
 def gate_documents(
     df: DataFrame, policy: Policy = Policy(), path: str = "path", text: str = "text"
 ) -> DataFrame:
@@ -34,36 +51,90 @@ def gate_documents(
     on, so nothing is scanned for them.  ``content`` is what may be passed on: the
     bounded and wrapped text, or the wrapped block record.
     """
+    return _gate(df, [policy], lambda value: value(policy), path, text)
+
+
+def gate_by_policy(
+    df: DataFrame,
+    policies: Mapping[str, Policy],
+    key: str,
+    default: Policy = Policy(),
+    path: str = "path",
+    text: str = "text",
+) -> DataFrame:
+    """As :func:`gate_documents`, each row under the policy that its ``key`` column names.
+
+    Keys that are null or name no policy fall to ``default``.  All rows share one scan
+    for secrets and phrases; only paths, actions and limits are told apart by key, so
+    the plan grows with the policies that differ, not with those who hold them.
+    """
+
+    def choose(value: Callable[[Policy], Column]) -> Column:
+        chosen = value(default)
+        for name, policy in policies.items():
+            chosen = F.when(F.col(key) == name, value(policy)).otherwise(chosen)
+        return chosen
+
+    return _gate(df, [default, *policies.values()], choose, path, text)
+
+
+def decide_documents(
+    df: DataFrame, policies: Mapping[str, Policy], path: str = "path", text: str = "text"
+) -> DataFrame:
+    """The rows with the reason that each policy gives, under the policy's name: one scoring, several decisions.
+
+    A text is scanned unless every policy turns its path away.
+    """
+    prefixes = _common_prefixes(list(policies.values()))
+    rules = {f"_rule_{i}": turned_away(F.col(path), p) for i, p in enumerate(policies.values())}
+    staged = df.withColumns(rules)
+    unread = F.lit(True)
+    for name in rules:
+        unread = unread & F.col(name).isNotNull()
+    staged = staged.withColumn("_open", F.when(~unread, F.col(text)))
+    staged = with_redaction(staged, "_open", "_red", "_secret", prefixes)
+    staged = staged.withColumn("_score", injection_score(F.col("_red")))
+    reasons = []
+    for name, rule, policy in zip(policies, rules, policies.values()):
+        reason = F.when(F.col(rule).isNotNull(), F.lit("path_blocked")).when(F.col("_secret"), F.lit("secret_detected"))
+        if policy.prompt_injection_action == "Block":
+            reason = reason.when(F.col("_score") > 0, F.lit("prompt_injection_detected"))
+        reasons.append(reason.otherwise(F.lit("")).alias(name))
+    return staged.select(*df.columns, *reasons)
+
+
+def _gate(
+    df: DataFrame, policies: list[Policy], choose: Callable[[Callable[[Policy], Column]], Column], path: str, text: str
+) -> DataFrame:
+    """The gate; ``choose`` gives a row's value of what differs between policies."""
     kept = list(df.columns)
-    rule = block_rule(F.col(path), policy)
-    if policy.workspace_root is not None:
-        outside = F.when(
-            ~inside_workspace(F.col(path), policy.workspace_root), F.lit(WORKSPACE_RULE)
-        )
-        rule = F.coalesce(rule, outside)
-    staged = df.withColumn("_rule", rule)
+    prefixes = _common_prefixes(policies)
+    limit = choose(lambda p: F.lit(p.max_chars))
+    staged = df.withColumn("_rule", choose(lambda p: turned_away(F.col(path), p)))
     staged = staged.withColumn("_open", F.when(F.col("_rule").isNull(), F.col(text)))
-    staged = with_redaction(staged, "_open", "_red", "_secret", policy.path_prefixes)
+    staged = with_redaction(staged, "_open", "_red", "_secret", prefixes)
     staged = staged.withColumn("_score", injection_score(F.col("_red")))
     reason = F.when(F.col("_rule").isNotNull(), F.lit("path_blocked")).when(
         F.col("_secret"), F.lit("secret_detected")
     )
-    if policy.prompt_injection_action == "Block":
-        reason = reason.when(F.col("_score") > 0, F.lit("prompt_injection_detected"))
+    strict = choose(lambda p: F.lit(p.prompt_injection_action == "Block"))
+    reason = reason.when(strict & (F.col("_score") > 0), F.lit("prompt_injection_detected"))
     staged = staged.withColumn("reason", reason.otherwise(F.lit("")))
 
     # Allowed texts that are cut, or redacted before the cut, are filtered again.
     source = F.col("_open")
-    again = F.length(source) > policy.max_chars
-    if policy.action == "Redact":
-        listed = path_rule(F.col(path), policy.blocked_patterns).isNotNull()
+    again = F.length(source) > limit
+    if any(p.action == "Redact" for p in policies):
+        listed = choose(
+            lambda p: path_rule(F.col(path), p.blocked_patterns).isNotNull() if p.action == "Redact" else F.lit(False)
+        )
         staged = staged.withColumn("_listed", listed)
         source = F.when(F.col("_listed"), F.col("_red")).otherwise(source)
         again = again | F.col("_listed")
     allowed = F.col("reason") == ""
     staged = staged.withColumn("_shape", F.when(allowed & again, source))
-    staged = staged.withColumn("_cut", truncate_middle(F.col("_shape"), policy.max_chars))
-    staged = with_redaction(staged, "_cut", "_cut_red", prefixes=policy.path_prefixes)
+    staged = staged.withColumn("_cut", truncate_middle(F.col("_shape"), limit))
+    staged = with_redaction(staged, "_cut", "_cut_red", prefixes=prefixes)
     reshaped = F.col("_cut").isNotNull()
     redactions = F.when(reshaped, count_redactions(F.col("_cut"), F.col("_cut_red"))).otherwise(
         F.coalesce(count_redactions(F.col("_open"), F.col("_red")), F.lit(0).cast("bigint"))
@@ -78,7 +149,7 @@ def gate_documents(
             "redactions": redactions,
             "warnings": warnings,
             "exit_code": F.when(allowed, F.lit(0)).otherwise(F.lit(1)),
-            "truncated": allowed & F.coalesce(F.length("_shape") > policy.max_chars, F.lit(False)),
+            "truncated": allowed & F.coalesce(F.length("_shape") > limit, F.lit(False)),
         }
     )
     record = redact(block_record(F.col("reason"), F.col("path_rule"), F.col("redactions")))

@@ -81,8 +81,8 @@ def score(text: str) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-def truncate_middle(text: str, limit: int) -> str:
-    h, t = limit // 2, limit - limit // 2
+def truncate_middle(text: str, limit: int | str) -> str:
+    h, t = f"({limit} // 2)", f"({limit} - {limit} // 2)"
     omitted = f"strlen({text}) - strlen(left({text}, {h})) - strlen(right({text}, {t}))"
     return (
         f"CASE WHEN length({text}) <= {limit} THEN {text} ELSE left({text}, {h}) || chr(10) || "
@@ -211,26 +211,29 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _gate(source: str, name: str, limit: int = 12_000) -> str:
-    rule = path_rule("path")
-    cut = truncate_middle("text", limit)
+def gate(
+    source: str, name: str, limit: int | str = 12_000, rule: str | None = None, listed: str = "false", strict: str = "true"
+) -> str:
+    """The gate as CTEs; what differs between policies may be given as expressions over ``source``."""
+    rule = rule or path_rule("path")
+    cut = truncate_middle("CASE WHEN _listed THEN _red ELSE text END", limit)
     record = (
         "'blocked: true' || chr(10) || 'reason: ' || reason || chr(10) || 'path_rule: ' || path_rule || chr(10) "
         "|| 'redactions: ' || redactions || chr(10) || 'exit_code: 1'"
     )
     return (
-        f"{name}_a AS (SELECT *, {rule} AS _rule, {has_secret('text')} AS _secret, {cut} AS _cut FROM {source}), "
+        f"{name}_a AS (SELECT *, {rule} AS _rule, {has_secret('text')} AS _secret, {listed} AS _listed FROM {source}), "
         + redacted(f"{name}_a", "text", "_red", f"{name}_b")
-        + ", "
-        + redacted(f"{name}_b", "_cut", "_cut_red", f"{name}_d")
+        + f", {name}_c AS (SELECT *, {cut} AS _cut FROM {name}_b), "
+        + redacted(f"{name}_c", "_cut", "_cut_red", f"{name}_d")
         + f", {name}_e AS (SELECT *, {score('_red')} AS _score, CASE WHEN _rule IS NOT NULL THEN 'path_blocked' "
-        f"WHEN _secret THEN 'secret_detected' WHEN {score('_red')} > 0 THEN 'prompt_injection_detected' ELSE '' END AS reason FROM {name}_d), "
+        f"WHEN _secret THEN 'secret_detected' WHEN {strict} AND {score('_red')} > 0 THEN 'prompt_injection_detected' ELSE '' END AS reason FROM {name}_d), "
         f"{name}_f AS (SELECT *, reason <> '' AS blocked, coalesce(_rule, '') AS path_rule, "
         f"CASE WHEN reason = 'path_blocked' THEN 0 WHEN reason <> '' THEN {new_markers('text', '_red')} "
         f"ELSE {new_markers('_cut', '_cut_red')} END AS redactions, "
         f"CASE WHEN reason = 'path_blocked' THEN 0 WHEN reason <> '' THEN _score ELSE {score('_cut_red')} END AS warnings, "
         f"CASE WHEN reason <> '' THEN 1 ELSE 0 END AS exit_code, "
-        f"reason = '' AND length(text) > {limit} AS truncated FROM {name}_e), "
+        f"reason = '' AND length(CASE WHEN _listed THEN _red ELSE text END) > {limit} AS truncated FROM {name}_e), "
         f"{name} AS (SELECT *, strlen(text) AS raw_bytes, "
         f"{wrap(f'CASE WHEN blocked THEN {record} ELSE _cut_red END')} AS content FROM {name}_f)"
     )
@@ -251,8 +254,8 @@ def _stream_gate(limit: int = 12_000) -> str:
     )
 
 
-CTES["gate"] = (("docs",), _gate("docs", "gate"))
-CTES["gate_plain"] = (("plain",), _gate("plain", "gate_plain"))
+CTES["gate"] = (("docs",), gate("docs", "gate"))
+CTES["gate_plain"] = (("plain",), gate("plain", "gate_plain"))
 CTES["sgate"] = (("streams",), _stream_gate())
 
 

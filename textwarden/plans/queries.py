@@ -1313,6 +1313,40 @@ def sweep_batch(spark, sf_dir):
     return store.sweep_batch(header_table(spark, sf_dir), T.NOW)
 
 
+_KIND = "ascii(substr(source, length(source), 1)) % 5"
+_TENANT_CONFIG = (
+    f"CASE {_KIND} WHEN 0 THEN '{{\"action\": \"Redact\", \"max_chars\": 4001}}' "
+    "WHEN 1 THEN '{\"max_chars\": 300, \"blocked_patterns\": [\"*1.txt\", \".env\"]}' "
+    "WHEN 2 THEN '{\"prompt_injection_action\": \"Warn\"}' "
+    "WHEN 3 THEN '{\"action\": \"Allow\", \"max_chars\": 2001}' ELSE 'not json' END"
+)
+
+
+@job(
+    "gate_by_policy",
+    D.sql(
+        f", p AS (SELECT *, {_KIND} AS k, CASE {_KIND} WHEN 0 THEN 4001 WHEN 1 THEN 300 WHEN 3 THEN 2001 ELSE 12000 END AS _limit FROM docs), "
+        + D.gate(
+            "p", "g", "_limit",
+            f"CASE WHEN k IN (0, 3) THEN NULL WHEN k = 1 THEN {D.path_rule('path', ('*1.txt', '.env'))} ELSE {D.path_rule('path')} END",
+            f"(k = 0 AND {D.path_rule('path')} IS NOT NULL)", "k <> 2",
+        )
+        + " SELECT doc_id, source, blocked, reason, path_rule, redactions, warnings, exit_code, truncated, content, raw_bytes FROM g",
+        "docs",
+    ),
+)
+def gate_by_policy(spark, sf_dir):
+    """Each source is a tenant with settings of its own; equal settings are one policy."""
+    docs = T.planted(spark, sf_dir)
+    tenants = doc.read_table(spark, sf_dir, "documents").select("source").distinct()
+    keyed, chosen = policies.policy_set(tenants.withColumn("config", F.expr(_TENANT_CONFIG)))
+    gated = gate.gate_by_policy(docs.join(keyed, "source", "left"), chosen, "policy_key")
+    return gated.select(
+        "doc_id", "source", "blocked", "reason", "path_rule", "redactions", "warnings", "exit_code",
+        "truncated", "content", "raw_bytes",
+    )
+
+
 # ------------------------------------------------------------------ set operations
 
 
@@ -1328,11 +1362,12 @@ def sweep_batch(spark, sf_dir):
 )
 def set_snapshot_diff(spark, sf_dir):
     """Decisions before and after the path policy changes from Block to Allow."""
-    docs = T.planted(spark, sf_dir)
-    return audit.snapshot_diff(
-        gate.gate_documents(docs), gate.gate_documents(docs, Policy(action="Allow")),
-        ["doc_id", "reason"],
-    )
+    policies = {"before": Policy(), "after": Policy(action="Allow")}
+    decided = gate.decide_documents(T.planted(spark, sf_dir), policies).select("doc_id", *policies)
+    # Rows that both snapshots share cancel; only the others are compared.
+    changed = cut_lineage(decided.where("before <> after"))
+    sides = [changed.select("doc_id", col(name).alias("reason")) for name in policies]
+    return audit.snapshot_diff(*sides, ["doc_id", "reason"])
 
 
 _DELETE = "doc_id % 5 = 2"
@@ -1465,18 +1500,20 @@ def st_stats(spark, sf_dir):
     "st_commit_once",
     D.sql(
         "SELECT run_id, created_at, expires_at, out_bytes, out_lines, out_checksum, err_bytes, err_lines, err_checksum, "
-        "coalesce(n, 0) AS stored_lines FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id) USING (run_id)",
-        "runs", "lines",
+        "coalesce(n, 0) AS stored_lines FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM lines GROUP BY run_id) USING (run_id) "
+        "WHERE run_id IN (SELECT run_id FROM held)",
+        "runs", "lines", "held",
     ),
 )
 def st_commit_once(spark, sf_dir):
-    """Every tenth run arrives twice."""
+    """Every tenth run arrives twice; runs with a blocked argument are turned away."""
     rows = _stream(spark, sf_dir)
     copies = F.when(col("doc_id") % 10 == 3, 2).otherwise(1)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     fields = ("run_id", "command_kind", "stdout", "stderr")
     rows = rows.select(
-        "ts", "created_at", *[F.expr(T.spark_sql(T.CAPTURE[n])).alias(n) for n in fields]
+        "ts", "created_at", F.array(F.lit("cat"), col("path")).alias("argv"),
+        *[F.expr(T.spark_sql(T.CAPTURE[n])).alias(n) for n in fields],
     )
     out = streams.fresh_dir(spark, "committed")
     streams.commit_stream(rows, out, LIMITS)

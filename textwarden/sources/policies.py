@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden.policy import DAY, MAX_TTL, Policy, StoragePolicy
+from textwarden.sources.checkpoints import cut_lineage
 
 CONFIG_SCHEMA = (
     "blocked_patterns array<string>, action string, prompt_injection_action string, "
@@ -42,6 +43,33 @@ def resolve_policies(df: DataFrame, config: str = "config") -> DataFrame:
     )
 
 
+#: Policies that differ, of one table, that one plan may tell apart.
+MAX_POLICIES = 500
+
+
+def policy_set(df: DataFrame, config: str = "config", at_most: int = MAX_POLICIES) -> tuple[DataFrame, dict[str, Policy]]:
+    """The rows with ``policy_key`` instead of their JSON, and the policy of each key.
+
+    Rows whose settings come out alike share a key, so there are as many policies as differ,
+    however many rows.  The rows are written once, so that their size is known to joins on them.
+    More than ``at_most`` policies are an error; none is left out.
+    """
+    fields = ("blocked_patterns", "action", "prompt_injection_action", "timeout_seconds", "max_chars")
+    resolved = resolve_policies(df, config).withColumn("policy_key", F.sha2(F.to_json(F.struct(*fields)), 256))
+    keyed = cut_lineage(resolved.drop(config))
+    rows = keyed.select("policy_key", *fields).distinct().limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} policies that differ")
+    policies = {
+        r["policy_key"]: Policy(
+            tuple(r["blocked_patterns"]), r["action"], r["prompt_injection_action"], r["timeout_seconds"],
+            min(r["max_chars"], 2**31 - 1),
+        )
+        for r in rows
+    }
+    return keyed.drop(*fields), policies
+
+
 def bounded_ttl(setting: Column) -> Column:
     """Whole seconds between one second and seven days, else the default of a day."""
     seconds = F.when(setting.rlike(r"^[+-]?[0-9]{1,18}$"), setting.try_cast("bigint"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textwarden.functions.paths import first_blocked_argument
 from textwarden.functions.shaping import reduction
 from textwarden.operators import gate, lines, store
 from textwarden.policy import Policy, StoragePolicy
@@ -123,10 +124,13 @@ def commit_stream(
     Every batch is compared with the ids stored by earlier ones, so no time limit decides
     what is a repeat and no run is lost for being late. A batch that runs again replaces
     its own folders. Lines are written before headers: a run with a header has its lines.
+    Runs with an argument (column ``argv``, where there is one) that the policy blocks are not retained.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        if "argv" in batch.columns:
+            batch = batch.where(first_blocked_argument(F.col("argv"), policy).isNull()).drop("argv")
         once = batch.dropDuplicates(["run_id"])
         earlier = f"{out}/runs"
         if batch_id > 0 and has_files(session, earlier):
