@@ -17,7 +17,7 @@ def injection_score(text: Column, rules: Sequence[R.Rule] = R.INJECTION_RULES) -
     """How many distinct rules match, with a cheap test in front for the default list."""
     score = F.lit(0)
     for rule in rules:
-        score = score + text.rlike(R.spark_pattern(rule)).cast("int")
+        score = score + text.rlike(R.spark_test(rule)).cast("int")
     if tuple(rules) != R.INJECTION_RULES:
         return score
     lowered = F.lower(text)

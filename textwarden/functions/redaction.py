@@ -21,6 +21,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textwarden import rules as R
+from textwarden.functions.encoded import GUARD
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,10 +82,24 @@ def trigger(lowered: Column, group: str) -> Column:
     return _all(sets) | F.contains(lowered, F.lit(LONG_S))
 
 
+def in_reach(text: Column, rule: R.Rule) -> Column:
+    """The part of a text that the rule can match in: up to the last of what its matches end with."""
+    return F.regexp_extract(text, R.spark_reach(rule), 0) if rule.last else text
+
+
+def apply_rule(text: Column, rule: R.Rule) -> Column:
+    def replaced(part: Column) -> Column:
+        return F.regexp_replace(part, R.spark_pattern(rule), R.spark_replacement(rule))
+
+    if not rule.last:
+        return replaced(text)
+    parts = let(text, lambda t: F.struct(t.alias("all"), in_reach(t, rule).alias("reach")))
+    return let(parts, lambda p: F.concat(replaced(p["reach"]), F.substr(p["all"], F.length(p["reach"]) + 1)))
+
+
 def apply_rules(text: Column, names: Sequence[str]) -> Column:
     for name in names:
-        rule = R.rule_named(R.REPLACE_RULES, name)
-        text = F.regexp_replace(text, R.spark_pattern(rule), R.spark_replacement(rule))
+        text = apply_rule(text, R.rule_named(R.REPLACE_RULES, name))
     return text
 
 
@@ -118,13 +133,23 @@ def blob_is_secret(blob: Column) -> Column:
     )
 
 
+def may_hold_encoded(text: Column) -> Column:
+    """Whether any blob of the text can hold a secret, told without cutting it up."""
+    return text.rlike(GUARD)
+
+
 def has_encoded_secret(text: Column) -> Column:
     blobs = F.regexp_extract_all(text, F.lit(BASE64), F.lit(0))
-    return F.exists(blobs, blob_is_secret)
+    none = F.when(text.isNotNull(), F.lit(False))
+    return F.when(may_hold_encoded(text), F.exists(blobs, blob_is_secret)).otherwise(none)
 
 
 def redact_encoded(text: Column) -> Column:
     """Replace, in place, the Base64 blobs that hold a secret."""
+    return F.when(may_hold_encoded(text), splice_encoded(text)).otherwise(text)
+
+
+def splice_encoded(text: Column) -> Column:
     between = F.split(text, BASE64, -1)
     blobs = F.regexp_extract_all(text, F.lit(BASE64), F.lit(0))
     kept = F.transform(
@@ -144,7 +169,7 @@ def has_plain_secret(text: Column) -> Column:
         [
             F.when(
                 trigger(lowered, group),
-                text.rlike(R.spark_pattern(R.rule_named(R.DETECT_RULES, name))),
+                text.rlike(R.spark_test(R.rule_named(R.DETECT_RULES, name))),
             ).otherwise(F.when(text.isNotNull(), F.lit(False)))
             for group, name in DETECTED_BY.items()
         ]
@@ -238,7 +263,7 @@ def _stages(
             [
                 F.when(
                     F.col(f"_t_{group}"),
-                    source.rlike(R.spark_pattern(R.rule_named(R.DETECT_RULES, name))),
+                    source.rlike(R.spark_test(R.rule_named(R.DETECT_RULES, name))),
                 ).otherwise(F.lit(False))
                 for group, name in DETECTED_BY.items()
             ]

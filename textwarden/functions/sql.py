@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from textwarden import rules as R
+from textwarden.functions.encoded import GUARD
 from textwarden.functions.redaction import BASE64, LOWER, UPPER
 from textwarden.functions.shaping import ENVELOPE_HEAD, ENVELOPE_TAIL
 
@@ -37,17 +38,24 @@ def register_functions(spark: SparkSession) -> None:
     blobs = f"regexp_extract_all(x, {lit(BASE64)}, 0)"
     define(
         "has_secret", "x STRING", "BOOLEAN",
-        f"CASE WHEN rlike(x, {detect}) THEN true ELSE exists({blobs}, b -> {blob}) END",
+        f"CASE WHEN rlike(x, {detect}) THEN true WHEN rlike(x, {lit(GUARD)}) THEN exists({blobs}, b -> {blob}) "
+        "WHEN x IS NOT NULL THEN false END",
     )
     chain = "t"
     for rule in R.REPLACE_RULES:
-        chain = f"regexp_replace({chain}, {lit(R.spark_pattern(rule))}, {lit(R.spark_replacement(rule))})"
+        old, new = lit(R.spark_pattern(rule)), lit(R.spark_replacement(rule))
+        if not rule.last:
+            chain = f"regexp_replace({chain}, {old}, {new})"
+            continue
+        parts = f"transform(array({chain}), w -> struct(w, regexp_extract(w, {lit(R.spark_reach(rule))}, 0) AS r))"
+        rest = "substr(p.w, length(p.r) + 1)"
+        chain = f"transform({parts}, p -> concat(regexp_replace(p.r, {old}, {new}), {rest}))[0]"
     kept = f"transform({blobs}, b -> CASE WHEN {blob} THEN {lit(R.SECRET_MARKER)} ELSE b END)"
     splice = (
         f"array_join(zip_with(split(x, {lit(BASE64)}, -1), {kept}, (s, k) -> concat(s, coalesce(k, ''))), '')"
     )
-    define("redact", "t STRING", "STRING", f"transform(array({chain}), x -> {splice})[0]")
-    score = " + ".join(f"CAST(rlike(t, {lit(R.spark_pattern(r))}) AS INT)" for r in R.INJECTION_RULES)
+    define("redact", "t STRING", "STRING", f"transform(array({chain}), x -> CASE WHEN rlike(x, {lit(GUARD)}) THEN {splice} ELSE x END)[0]")
+    score = " + ".join(f"CAST(rlike(t, {lit(R.spark_test(r))}) AS INT)" for r in R.INJECTION_RULES)
     define("injection_score", "t STRING", "INT", score)
     first, last = "substring(t, 1, n DIV 2)", "right(t, n - n DIV 2)"
     cut = (

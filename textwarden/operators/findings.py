@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from textwarden import rules as R
-from textwarden.functions.redaction import TRIGGERS, trigger, with_redaction
+from textwarden.functions.redaction import TRIGGERS, in_reach, trigger, with_redaction
 
 
 def secret_findings(df: DataFrame, text: str = "text") -> DataFrame:
@@ -27,9 +27,9 @@ def secret_findings(df: DataFrame, text: str = "text") -> DataFrame:
     counted = []
     for group, (_, names) in TRIGGERS.items():
         for name in names:
-            pattern = R.spark_pattern(R.rule_named(R.REPLACE_RULES, name))
+            rule = R.rule_named(R.REPLACE_RULES, name)
             hits = F.when(
-                F.col(f"_t_{group}"), F.regexp_count(source, F.lit(pattern))
+                F.col(f"_t_{group}"), F.regexp_count(in_reach(source, rule), F.lit(R.spark_pattern(rule)))
             ).otherwise(F.lit(0))
             counted.append(F.struct(F.lit(name).alias("rule"), hits.cast("bigint").alias("hits")))
     rows = staged.select(*kept, F.inline(F.array(*counted)))

@@ -15,12 +15,18 @@ Spark runs patterns on java.util.regex, which backtracks.  Every repeat in the
 table is therefore possessive wherever giving characters back could not lead to
 a match; DuckDB (RE2) has no possessive form and needs none, so its rendering
 drops the extra ``+``.
+
+Four patterns look far ahead from each start, and many starts without an end would
+take quadratic time.  ``linear`` is for those that are only looked for: it begins
+at the front of a unit (a word, or what lies between line ends and bars), takes one start of
+the unit that matches if any does, and never tries another.  ``last`` is for the one that is replaced:
+what follows the last end is set aside.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # --------------------------------------------------------------------------
 # Fixed values
@@ -39,7 +45,7 @@ KEYS = r"(password|secret(?:_key)?|token|api[_-]?key)"
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern; ``keep`` lists the groups copied around the marker."""
+    """One pattern; ``before`` and ``after`` list the groups copied around the marker."""
 
     name: str
     flags: str
@@ -47,6 +53,10 @@ class Rule:
     marker: str = ""
     before: tuple[int, ...] = ()
     after: tuple[int, ...] = ()
+    # Every match ends with this, so nothing behind its last occurrence can match.
+    last: str = ""
+    # Matches in the same texts, in linear time where the pattern backtracks.
+    linear: str = ""
 
 
 # Applied in this order.
@@ -86,7 +96,7 @@ REPLACE_RULES: tuple[Rule, ...] = (
     Rule(
         "pem_block", "",
         r"-----BEGIN [A-Z0-9_ ]+PRIVATE KEY-----(?s:.*?)-----END [A-Z0-9_ ]+PRIVATE KEY-----",
-        SECRET_MARKER,
+        SECRET_MARKER, last=r"-----END [A-Z0-9_ ]+PRIVATE KEY-----",
     ),
     Rule("pem_header", "i", r"-----BEGIN [A-Za-z0-9_ ]+PRIVATE KEY-----", SECRET_MARKER),
     Rule("unix_home", "", r"/(?:Users|home)/[a-zA-Z0-9_-]++", PATH_MARKER),
@@ -101,6 +111,8 @@ DETECT_RULES: tuple[Rule, ...] = (
         "url_credentials", "i",
         r"(postgres|mysql|mongodb|redis|sqlite|mssql|sftp|http|https)"
         r"://[^:{W}]++:[^@{W}]++@",
+        linear=r"(?<![^{W}])(?>[^{W}]*?(?:postgres|mysql|mongodb|redis|sqlite|mssql|sftp|http|https)"
+        r"://[^:{W}]++:(?=[^@{W}]))[^@{W}]*+@",
     ),
     Rule("aws_key", "i", r"AKIA[A-Za-z0-9]{16}"),
     Rule("pem", "", r"-----BEGIN [A-Z0-9_ ]+PRIVATE KEY-----"),
@@ -112,8 +124,14 @@ INJECTION_RULES: tuple[Rule, ...] = (
     Rule("reveal_secrets", "i", r"reveal secrets"),
     Rule("print_private_key", "i", r"print private key"),
     Rule("exfiltrate", "i", r"exfiltrate"),
-    Rule("curl_pipe", "i", r"curl{S}++[^\n|]*+\|"),
-    Rule("wget_pipe", "i", r"wget{S}++[^\n|]*+\|"),
+    Rule(
+        "curl_pipe", "i", r"curl{S}++[^\n|]*+\|",
+        linear=r"(?<![^\n|])(?>[^\n|]*curl{S}++)[^\n|]*+\|",
+    ),
+    Rule(
+        "wget_pipe", "i", r"wget{S}++[^\n|]*+\|",
+        linear=r"(?<![^\n|])(?>[^\n|]*wget{S}++)[^\n|]*+\|",
+    ),
 )
 
 BASE64_CANDIDATE = r"[A-Za-z0-9+/]{12,}={0,2}"
@@ -183,9 +201,19 @@ def spark_pattern(rule: Rule) -> str:
     return f"(?{flags}:{body})"
 
 
+def spark_test(rule: Rule) -> str:
+    """Java form that finds something in the same texts, but not the same places."""
+    return spark_pattern(replace(rule, pattern=rule.linear or rule.pattern))
+
+
 def spark_any(rules: tuple[Rule, ...]) -> str:
     """One Java alternation that matches when any of ``rules`` does."""
-    return "|".join(spark_pattern(rule) for rule in rules)
+    return "|".join(spark_test(rule) for rule in rules)
+
+
+def spark_reach(rule: Rule) -> str:
+    """Java form of all that comes before the end of the last possible match."""
+    return rf"(?s:\A.*)(?{rule.flags}d:{_expand(rule.last)})"
 
 
 def duckdb_pattern(rule: Rule) -> str:
