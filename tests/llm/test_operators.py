@@ -362,3 +362,37 @@ def test_toxicity_edges(spark):
     odd = spark.createDataFrame([(None, 1), (1, None), (2, 0), (2, 0)], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, odd).collect()} == {0}
     assert toxicity.score_toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_toxicity_learns_from_every_label(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'word' AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 9 = 0 AS int) AS toxic")
+    learned = docs.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert learned > 12_500
+    assert toxicity.labelled(docs, labels, "doc_id", "text").count() == learned
+    assert toxicity.labelled(docs, labels, "doc_id", "text", 100).count() == 100
+
+
+@pytest.mark.parametrize("pairs", [5, 1_000_000])
+def test_toxicity_companions_and_hits_by_hand(spark, monkeypatch, pairs):
+    monkeypatch.setattr(toxicity, "PAIRS", pairs)
+    draw = np.random.default_rng(2)
+    names = [f"w:{c}{i}word" for i, c in enumerate("aaabbbccddefgh")] + ["s:rare"]
+    # The first four come together; some rows of an id hold a feature twice.
+    held = [(int(i % 4 > 0), sorted({int(x) for x in draw.integers(0, 15, 6)} | ({0, 3, 6, 8} if i % 3 == 0 else set()))) for i in range(60)]
+    times = [[1 + (i + k) % 2 for k in range(len(h))] for i, (_, h) in enumerate(held)]
+    toxic = [[(n, t) for n, t in zip(h, often)] for (label, h), often in zip(held, times) if label == 1]
+    total = {i: sum(t for doc in toxic for n, t in doc if n == i) for i in range(15)}
+    best = [(f, total[i], 100 if i == 5 else 0) for i, f in enumerate(names)]
+    crowds = {}
+    for i in range(15):
+        with_i = [(dict(doc)[i], doc) for doc in toxic if i in dict(doc)]
+        n = sum(sum(m * dict(doc).get(j, 0) for m, doc in with_i) >= toxicity.MOST * total[i] for j in range(15) if names[j][2:6] != names[i][2:6])
+        if n and i != 5:
+            crowds[i] = n
+    df = spark.createDataFrame([(label, h, t) for (label, h), t in zip(held, times)], "toxic int, name array<int>, times array<bigint>")
+    assert toxicity.companions(df, best) == crowds
+    model, chosen = toxicity.Model(names[:5], []), names[:5]
+    hits = [(min(3, len(set(h) & set(range(5)))), label == 1) for label, h in held]
+    assert sorted(toxicity.by_hits(df, best, chosen)) == sorted((*k, hits.count(k)) for k in set(hits) if k[0])
+    assert model.words == {n[2:] for n in names[:5]}

@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import handed_back, numbered
+from textwarden.llm.common import forget_tables, handed_back, numbered
 from textwarden.sources.checkpoints import cut_lineage
 
-#: Bounds of what is fitted: labelled rows in the sample, features that may enter, features kept.
-TRAIN_ROWS, CANDIDATES, KEPT = 12_000, 4_000, 500
+#: Size of the lexicon, whatever the number of labels: features that may enter, features kept.
+CANDIDATES, KEPT = 4_000, 500
+#: Pairs of features that one task counts at a time.
+PAIRS = 1_000_000
 #: A feature must be in so many toxic documents, and be that much likelier in them (log odds).
 SUPPORT, LOG_ODDS = 8, 3.0
 #: A feature is a mark of copies, not of toxicity, if more others than this are in most of its documents.
@@ -61,6 +63,7 @@ def count_grams(docs: DataFrame, text: str) -> np.ndarray:
     """How often each three classes follow each other, over all texts; the table has a fixed size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_tables()
         total = np.zeros(_CLASSES**3, dtype=np.int64)
         for batch in batches:
             for value in batch["text"]:
@@ -229,7 +232,8 @@ def features(text: str) -> set[str]:
 
 @lru_cache(maxsize=1)
 def _decoder(raw: bytes, words: tuple[tuple[str, int], ...] = ()) -> Decoder:
-    """One for each worker."""
+    """One for each worker, in place of the tables of other operators."""
+    forget_tables()
     return Decoder(np.frombuffer(raw, dtype=np.float64).reshape(_CLASSES, _CLASSES, _CLASSES), dict(words))
 
 
@@ -260,12 +264,14 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most `limit` labelled rows outside the held-out fold, drawn by a hash of the id."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: int | None = None) -> DataFrame:
+    """doc_id, text, toxic of every labelled row outside the held-out fold; with a limit, of so many ids by a hash of them."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    drawn = known.where(~held_out(F.col("doc_id")))
+    if limit is not None:
+        drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return cut_lineage(texts.join(F.broadcast(drawn), "doc_id"))  # at most `limit` narrow rows
+    return cut_lineage(texts.join(cut_lineage(drawn), "doc_id"))
 
 
 def count_words(sample: DataFrame) -> tuple[tuple[str, int], ...]:
@@ -284,9 +290,9 @@ def count_words(sample: DataFrame) -> tuple[tuple[str, int], ...]:
 def fit(sample: DataFrame, grams: np.ndarray, words: tuple[tuple[str, int], ...]) -> Model:
     """Learn the lexicon from labelled rows.
 
-    Counts of features in toxic and other documents are made by Spark. At most CANDIDATES
-    of them, by log odds, come to the driver with the documents that hold them. Words
-    that only the copies of one document share come in crowds, and are left out by that.
+    Everything that is counted over rows is counted by Spark: features in toxic and other documents, pairs
+    of features in toxic ones, documents by number of hits. To the driver come at most CANDIDATES features, by log
+    odds, with these numbers. Words that only the copies of one document share come in crowds, and are left out by that.
     """
     raw = grams.astype(np.float64).tobytes()
 
@@ -295,20 +301,15 @@ def fit(sample: DataFrame, grams: np.ndarray, words: tuple[tuple[str, int], ...]
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.iloc[at : at + 128]
-                owned = [list(features(decoder.both(t))) for t in part["text"]]
-                sizes = [len(o) for o in owned]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "toxic": np.repeat(part["toxic"].to_numpy(), sizes),
-                        "feature": [f for o in owned for f in o],
-                    }
-                )
-
-    owned = sample.mapInPandas(run, "doc_id long, toxic int, feature string")
+                yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "features": [list(features(decoder.both(t))) for t in part["text"]]})
+
     total = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = total.get(1, 0), total.get(0, 0)
     if not toxic:
         return Model([], [0.0 if other else 0.5])
+    # Texts are decoded once, features read twice.
+    owned = cut_lineage(sample.mapInPandas(run, "doc_id long, toxic int, features array<string>"))
+    owned = owned.select("doc_id", "toxic", F.explode("features").alias("feature"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (other + 1))
     counts = (
         owned.groupBy("feature")
@@ -317,50 +318,99 @@ def fit(sample: DataFrame, grams: np.ndarray, words: tuple[tuple[str, int], ...]
         .withColumn("odds", odds)
         .where(F.col("odds") >= LOG_ODDS)
     )
-    best = cut_lineage(counts.orderBy((F.col("odds") * F.sqrt("a")).desc(), "feature").limit(CANDIDATES))
+    best = [(r["feature"], r["a"], r["b"]) for r in counts.orderBy((F.col("odds") * F.sqrt("a")).desc(), "feature").limit(CANDIDATES).collect()]
+    if not best:
+        return Model([], rates([], toxic, other))
+    named = sample.sparkSession.createDataFrame([(f, i) for i, (f, _, _) in enumerate(best)], "feature string, name int")
     held = (
-        owned.join(F.broadcast(best.select("feature")), "feature")  # at most CANDIDATES rows
-        .groupBy("doc_id", "toxic").agg(F.collect_list("feature").alias("features")).collect()
+        owned.join(F.broadcast(named), "feature")  # at most CANDIDATES rows
+        .groupBy("doc_id", "toxic", "name").agg(F.count("*").alias("times"))
+        .groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("name", "times")).alias("held"))
     )
-    return choose([(r["doc_id"], r["toxic"], r["features"]) for r in held], toxic, other)
-
-
-def choose(held: list[tuple[int, int, list[str]]], toxic: int, other: int) -> Model:
-    """Features without a crowd of companions, then the share of toxic documents by number of hits."""
-    docs: dict[str, list[list[str]]] = {}
-    against: dict[str, int] = {}
-    for _, label, names in sorted(held):
-        for name in names:
-            if label == 1:
-                docs.setdefault(name, []).append(names)
-            else:
-                against[name] = against.get(name, 0) + 1
-    chosen: list[str] = []
-    for name in sorted(docs, key=lambda f: (20 * against.get(f, 0) - len(docs[f]), f)):
-        together = Counter(n for names in docs[name] for n in names)
-        crowd = sum(c >= MOST * len(docs[name]) and n[2:6] != name[2:6] for n, c in together.items())
-        if crowd <= COMPANIONS and 20 * against.get(name, 0) < len(docs[name]) and len(chosen) < KEPT:
-            chosen.append(name)
-    model = Model(chosen, [])
-    found = {0: [toxic, other]}
-    for _, label, names in held:
-        k = min(3, model.count({n[2:] for n in names if n[0] == "w"}, {n[2:] for n in names if n[0] == "s"}))
-        if k:
-            found[0][label != 1] -= 1
-            found.setdefault(k, [0, 0])[label != 1] += 1
-    rates, last = [], 0.0
+    held = cut_lineage(held.select("toxic", "held.name", "held.times"))
+    chosen = choose(best, companions(held, best))
+    return Model(chosen, rates(by_hits(held, best, chosen), toxic, other))
+
+
+def companions(held: DataFrame, best: list[tuple[str, int, int]]) -> dict[int, int]:
+    """How many others are in most of the toxic documents of a feature, by its place; only of features that may be chosen."""
+    size = len(best)
+    may = np.array([20 * b < a for _, a, b in best])
+    begins = np.unique([f[2:6] for f, _, _ in best], return_inverse=True)[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, times, n = [], [], 0
+
+        def counted() -> pd.DataFrame:
+            pair, at = np.unique(np.concatenate(codes), return_inverse=True)
+            found = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+            return pd.DataFrame({"name": (pair // size).astype(np.int32), "other": (pair % size).astype(np.int32), "n": found})
+
+        for batch in batches:
+            for names, often in zip(batch["name"], batch["times"]):
+                names, often = np.asarray(names, dtype=np.int64), np.asarray(often, dtype=np.int64)
+                own = np.flatnonzero(may[names])
+                step = max(1, PAIRS // len(names))
+                for start in range(0, len(own), step):
+                    part = own[start : start + step]
+                    apart = begins[names[part]][:, None] != begins[names][None, :]
+                    codes.append((names[part][:, None] * size + names[None, :])[apart])
+                    times.append((often[part][:, None] * often[None, :])[apart])
+                    n += len(codes[-1])
+                    if n >= PAIRS:
+                        yield counted()
+                        codes, times, n = [], [], 0
+        if n:
+            yield counted()
+
+    pairs = held.where("toxic = 1").mapInPandas(run, "name int, other int, n long").groupBy("name", "other").agg(F.sum("n").alias("n"))
+    most = held.sparkSession.createDataFrame([(i, MOST * a) for i, (_, a, _) in enumerate(best)], "name int, most double")
+    crowds = pairs.join(F.broadcast(most), "name").where(F.col("n") >= F.col("most")).groupBy("name").agg(F.count("*").alias("n"))
+    return {r["name"]: r["n"] for r in crowds.collect()}
+
+
+def choose(best: list[tuple[str, int, int]], crowds: Mapping[int, int]) -> list[str]:
+    """Features ``(feature, toxic documents, others)`` without a crowd of companions, those of most documents first."""
+    order = sorted(range(len(best)), key=lambda i: (20 * best[i][2] - best[i][1], best[i][0]))
+    return [best[i][0] for i in order if crowds.get(i, 0) <= COMPANIONS and 20 * best[i][2] < best[i][1]][:KEPT]
+
+
+def by_hits(held: DataFrame, best: list[tuple[str, int, int]], chosen: list[str]) -> list[tuple[int, bool, int]]:
+    """``(hits, toxic, documents)``, from one hit on; three stand for more."""
+    model, names = Model(chosen, []), [f for f, _, _ in best]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for batch in batches:
+            for label, places in zip(batch["toxic"], batch["name"]):
+                found = [names[i] for i in places]
+                total[min(3, model.count({f[2:] for f in found if f[0] == "w"}, {f[2:] for f in found if f[0] == "s"})), label == 1] += 1
+        yield pd.DataFrame({"hits": [k for k, _ in total], "toxic": [t for _, t in total], "n": list(total.values())})
+
+    sums = held.mapInPandas(run, "hits int, toxic boolean, n long").where("hits > 0").groupBy("hits", "toxic").agg(F.sum("n").alias("n"))
+    return [(r["hits"], r["toxic"], r["n"]) for r in sums.collect()]
+
+
+def rates(found: list[tuple[int, bool, int]], toxic: int, other: int) -> list[float]:
+    """The share of toxic documents by number of hits, which never falls."""
+    table = {0: [toxic, other]}
+    for k, is_toxic, n in found:
+        table[0][not is_toxic] -= n
+        table.setdefault(k, [0, 0])[not is_toxic] += n
+    shares, last = [], 0.0
     for k in range(4):
-        a, b = found.get(k, [0, 0])
+        a, b = table.get(k, [0, 0])
         last = max(last, (a + 0.5) / (a + b + 1)) if a + b else last
-        rates.append(round(last, 6))
-    return Model(chosen, rates)
+        shares.append(round(last, 6))
+    return shares
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
     """The rows with held_out, score (0 to 1), predicted and restored_hits, the lexicon words found.
 
     The language model counts the characters of all texts; labels, and the words that joined
-    letters are parted into, are learned from at most `limit` rows outside the held-out fold; scores use the text alone. Null texts
+    letters are parted into, are learned from every labelled row outside the held-out fold (with a `limit`, from the
+    rows of so many ids); scores use the text alone. Null texts
     count as empty ones and have the score of texts without a hit. With no labels at all
     every score is 0.5, with no toxic one 0. Rows that repeat are scored alike. A
     label that is given twice for an id is toxic if one of them is. Input columns
