@@ -474,3 +474,19 @@ def test_streamed_runs_with_blocked_arguments_are_not_kept(spark, tmp_path):
     for name in ("runs", "lines"):
         kept = {r["run_id"] for r in spark.read.parquet(f"{tmp_path}/store/{name}").collect()}
         assert kept == {RUN(0), RUN(2), RUN(4), RUN(8)}
+
+
+def test_env_is_redacted_once_a_pair_and_counted_once_a_run(spark):
+    rows = spark.sql("SELECT map('token', 'x1', 'LANG', 'C', 'DATABASE', 'redis://u:p1@h/0') AS env UNION ALL SELECT map() UNION ALL SELECT NULL")
+    counted = rows.select(report.map_redactions(F.col("env")).alias("n"))
+    assert sorted((r["n"] for r in counted.collect()), key=repr) == [0, 2, None]
+    spelled = lambda df: df._jdf.queryExecution().analyzed().toString().count("regexp_replace(")
+    # As often as in the form that returns the redacted map.
+    assert spelled(counted) <= spelled(rows.select(report.redact_map(F.col("env"))))
+    gated = spark.sql(
+        "SELECT 'a' AS run_id, s AS stream, map('token', 'x1') AS env, false AS blocked, 5L AS raw_bytes, 4L AS returned_bytes, "
+        "1L AS redactions, 0 AS warnings, false AS truncated FROM VALUES ('stdout'), ('stderr') AS t(s)"
+    )
+    whole = report.run_stats(gated, env="env")
+    before = report.run_stats(gated.withColumn("env", report.map_redactions(F.col("env"))), env="env")
+    assert whole.collect() == before.collect() and whole.first()["redactions"] == 3
