@@ -288,3 +288,37 @@ def test_line_index_by_folders_is_the_same_index(spark):
     plain, placed = line_index(texts), line_index(texts, keep=["bucket"], cluster=["bucket"]).drop("bucket")
     assert plain.exceptAll(placed).isEmpty() and placed.exceptAll(plain).isEmpty()
     assert plan_of(line_index(texts, keep=["bucket"], cluster=["bucket"])).count("Exchange") == 1
+
+
+def test_block_filters_leave_a_task_in_small_batches(spark):
+    import pyarrow as pa
+
+    from textwarden.operators import block_search
+
+    class Frame:
+        schema = spark.createDataFrame([], "run_id string, stream string, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 3 * block_search.EMIT + 7
+    batch = pa.RecordBatch.from_pydict({"run_id": [str(i) for i in range(n)], "stream": ["stdout"] * n, "text": ["one\ntwo\nthree"] * n})
+    out = list(block_search.block_index(Frame(), [], 2)(iter([batch])))
+    assert max(b.num_rows for b in out) <= block_search.EMIT and sum(b.num_rows for b in out) == 2 * n
+    assert [r for b in out for r in b.column("run_id").to_pylist()] == [str(i // 2) for i in range(2 * n)]
+
+
+def test_one_call_scans_many_blocks():
+    import pandas as pd
+
+    from textwarden.operators import block_search
+
+    place = ["run_id", "stream", "block", "part", "call"]
+    wanted = pd.DataFrame([("a", "stdout", 0, 0, 0, 1, "x", 0, 0, 0, 2), ("b", "stdout", 0, 0, 0, 2, "x", 1, 0, 0, 3)], columns=[*place, *block_search._SEARCH])
+    rows = [("b", 0, "x"), ("a", 1, "ax"), ("b", 1, "bx"), ("a", 0, "-")]
+    lines = pd.DataFrame([(r, "stdout", 0, 0, 0, n, t, 3 * n, 3, False) for r, n, t in rows], columns=[*place, *block_search._LINE])
+    events = block_search._scan(10, 1000)((0,), wanted, lines)
+    assert sorted(map(tuple, events.astype(object).where(events.notna(), None).values)) == [(1, 1, "ax", "hit"), (2, 1, "bx", "hit"), (2, 2, None, "damage")]
