@@ -322,3 +322,15 @@ def test_one_call_scans_many_blocks():
     lines = pd.DataFrame([(r, "stdout", 0, 0, 0, n, t, 3 * n, 3, False) for r, n, t in rows], columns=[*place, *block_search._LINE])
     events = block_search._scan(10, 1000)((0,), wanted, lines)
     assert sorted(map(tuple, events.astype(object).where(events.notna(), None).values)) == [(1, 1, "ax", "hit"), (2, 1, "bx", "hit"), (2, 2, None, "damage")]
+
+
+def test_few_refused_rows_do_not_move_the_texts(spark):
+    from textwarden.operators.commit import kept_rows
+
+    staged = spark.range(100).selectExpr("id AS _row", "'text' AS stdout")
+    for stored in (97, 3, 0, 100):
+        decided = staged.selectExpr("_row", f"CASE WHEN _row < {stored} THEN 'stored' ELSE 'no_store' END AS reason")
+        kept = kept_rows(staged, decided)
+        assert sorted(r["_row"] for r in kept.collect()) == list(range(stored))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftAnti" if stored > 50 else "LeftSemi") in plan or stored in (0, 100)
