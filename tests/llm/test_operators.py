@@ -396,3 +396,19 @@ def test_toxicity_companions_and_hits_by_hand(spark, monkeypatch, pairs):
     hits = [(min(3, len(set(h) & set(range(5)))), label == 1) for label, h in held]
     assert sorted(toxicity.by_hits(df, best, chosen)) == sorted((*k, hits.count(k)) for k in set(hits) if k[0])
     assert model.words == {n[2:] for n in names[:5]}
+
+
+def test_toxicity_moves_labelled_texts_only(spark, monkeypatch, tmp_path):
+    """Texts are filtered by the ids before they are shuffled, also where the ids could be broadcast."""
+    plans, cut = [], toxicity.cut_lineage
+    monkeypatch.setattr(toxicity, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)], "doc_id long, toxic int")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    names = [k for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")]
+    before = [spark.conf.get(k) for k in names]
+    rows = toxicity.labelled(docs, labels, "doc_id", "text").collect()
+    wanted = docs.join(labels, "doc_id").where(~toxicity.held_out(F.col("doc_id"))).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, wanted))
+    assert "might_contain" in plans[-1] and "BroadcastHashJoin" not in plans[-1]
+    assert [spark.conf.get(k) for k in names] == before

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import file_system, forget_tables, new_folder
+from textwarden.llm.common import file_system, forget_tables, new_folder, runtime_filter
 from textwarden.llm.components import components
 from textwarden.sources.checkpoints import cut_lineage, delete_folder, let_go
 
@@ -414,21 +413,6 @@ def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataF
     return kept
 
 
-@contextmanager
-def _runtime_filter(spark: SparkSession):
-    """Let joins filter their larger side by a Bloom filter of the smaller one before it is shuffled.
-
-    Spark does so by itself for scans above 10 GB; its filters have a bounded size.
-    """
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """region, doc_id, n of the documents that may link; texts: doc_id, text.
 
@@ -479,7 +463,7 @@ def near_duplicates(
     # A narrow table of ids, once each: small enough to filter texts by before they move.
     left = cut_lineage(_may_link(windows, percent, FIRST))
     let_go(windows)
-    with _runtime_filter(spark):
+    with runtime_filter(spark):
         texts = rows.join(left.where(F.col("doc_id") > -(1 << 63)), "doc_id", "left_semi")
         # Rows that repeat both id and text; seldom there, so the texts are seldom shuffled for it.
         if not profiles.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
@@ -487,7 +471,7 @@ def near_duplicates(
         texts = cut_lineage(texts)
     let_go(left)
     regions = _regions(texts, size, percent)
-    with _runtime_filter(spark):
+    with runtime_filter(spark):
         sets = _sets(texts.join(regions, "doc_id"), size)
         links = join_regions(sets, regions, percent, leaf)
     let_go(texts, regions)

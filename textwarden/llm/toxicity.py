@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import forget_tables, handed_back, numbered
+from textwarden.llm.common import forget_tables, handed_back, numbered, runtime_filter
 from textwarden.sources.checkpoints import cut_lineage
 
 #: Size of the lexicon, whatever the number of labels: features that may enter, features kept.
@@ -271,7 +271,10 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit:
     if limit is not None:
         drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return cut_lineage(texts.join(cut_lineage(drawn), "doc_id"))
+    drawn = cut_lineage(drawn)
+    # Only texts that a filter of the ids lets through are moved, whatever the sizes.
+    with runtime_filter(docs.sparkSession, always=True):
+        return cut_lineage(texts.join(drawn.where(F.col("doc_id") >= -(1 << 63)), "doc_id"))
 
 
 def count_words(sample: DataFrame) -> tuple[tuple[str, int], ...]:
