@@ -160,54 +160,62 @@ def commit_stream(
 # ------------------------------------------------------------------ expiry
 
 TOMBSTONES = "run_id string, status string, recorded_at bigint, expires_at bigint"
-_STATE = "expires_at bigint, buried boolean"
+_STATE = "run_id array<string>, expires_at array<bigint>, timer array<bigint>, buried array<boolean>"
+#: Groups that runs are dealt into by a hash. A call serves all runs of a group, so calls do not grow with the runs.
+GROUPS = 1024
 
 
 def expire_stream(
-    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy(), lateness: str = "0 seconds"
+    runs: DataFrame, out: str, limits: StoragePolicy = StoragePolicy(), lateness: str = "0 seconds", groups: int = GROUPS
 ) -> int:
     """Emit a tombstone when a run's time is over; forget it when the tombstone's is.
 
     Time is the stream's own: its newest row less ``lateness``, so a replay gives the same
-    rows. State is two numbers per run. Rows that come later than that are returned as
+    rows. State is two numbers and a flag per run, kept by groups of runs: a call for each run would cost
+    far more than the run. Rows that come later than that are returned as
     a number; :func:`sweep_late` finds what they leave undone in the tables.
     """
     keep = limits.tombstone_ttl_seconds
 
     def step(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
+        key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
-        if state.exists:
-            expires_at, buried = state.get
-        else:
-            expires_at, buried = None, False
-        if state.hasTimedOut and buried:
-            state.remove()
-            return
+        # By run: when it expires, the watermark past which it is looked at without a row, whether it is buried.
+        held = {run: rest for run, *rest in zip(*state.get)} if state.exists else {}
+        seen: dict[str | None, int] = {}
         # On a timeout there is one batch, of nulls.
         for batch in () if state.hasTimedOut else batches:
-            first = int(batch["expires_at"].min())
-            expires_at = first if expires_at is None else min(expires_at, first)
-        if not buried and expires_at * 1000 <= mark:
-            buried = True
-            yield pd.DataFrame(
-                {
-                    "run_id": [key[0]],
-                    "status": ["expired"],
-                    "recorded_at": [expires_at],
-                    "expires_at": [expires_at + keep],
-                }
-            )
-        state.update((expires_at, buried))
-        due = (expires_at + keep if buried else expires_at) * 1000
-        # A timer fires once the watermark is past it.
-        state.setTimeoutTimestamp(max(due - 1, mark + 1))
+            for run, first in batch.groupby("run_id", dropna=False)["expires_at"].min().items():
+                run, first = None if pd.isna(run) else run, int(first)
+                seen[run] = min(seen.get(run, first), first)
+        due = [run for run, (_, timer, _) in held.items() if timer < mark and run not in seen]
+        over = []
+        for run in [*seen, *due]:
+            expires_at, _, buried = held.get(run, (seen.get(run), None, False))
+            if buried and run not in seen:
+                del held[run]
+                continue
+            expires_at = min(expires_at, seen.get(run, expires_at))
+            if not buried and expires_at * 1000 <= mark:
+                buried = True
+                over.append((run, "expired", expires_at, expires_at + keep))
+            end = (expires_at + keep if buried else expires_at) * 1000
+            # A timer fires once the watermark is past it.
+            held[run] = (expires_at, max(end - 1, mark + 1), buried)
+        if over:
+            yield pd.DataFrame(over, columns=["run_id", "status", "recorded_at", "expires_at"])
+        if not held:
+            state.remove()
+            return
+        state.update((list(held), *map(list, zip(*held.values()))))
+        state.setTimeoutTimestamp(max(min(timer for _, timer, _ in held.values()), mark))
 
+    group = F.pmod(F.xxhash64("run_id"), F.lit(groups)).alias("group")
     expired = (
-        runs.select("run_id", "expires_at", "ts")
+        runs.select(group, "run_id", "expires_at", "ts")
         .withWatermark("ts", lateness)
-        .groupBy("run_id")
+        .groupBy("group")
         .applyInPandasWithState(
             step, TOMBSTONES, _STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
