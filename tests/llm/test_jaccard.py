@@ -116,3 +116,21 @@ def test_tables_behind_the_result_are_let_go(spark):
     assert left
     for name in left:
         assert not {"text", "first", "own", "shingles", "s"} & set(spark.read.parquet(f"{folder}/{name}").columns)
+
+
+def test_texts_are_filtered_also_by_large_tables_of_ids(spark, monkeypatch, tmp_path):
+    """Spark leaves filters out where the ids are above a limit; 1 byte stands for that here."""
+    limit, small = "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "spark.sql.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k) for k in (limit, small)}
+    plans, cut = [], jaccard_join.cut_lineage
+    monkeypatch.setattr(jaccard_join, "cut_lineage", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df))
+    _docs(spark, _family(random.Random(3), 12, 60, 1)).write.parquet(f"{tmp_path}/docs")
+    try:
+        spark.conf.set(limit, "1b")
+        spark.conf.set(small, "-1")
+        near_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+        assert spark.conf.get(limit) == "1b"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert any("might_contain" in plan for columns, plan in plans if columns == ["doc_id", "text"])
