@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import best_products
-from textwarden.llm import line_dedup, mixing, quality, token_files, tokenize_pieces, toxicity, url_filter, vector_search, warc
+from textwarden.llm import common, line_dedup, mixing, quality, token_files, tokenize_pieces, toxicity, url_filter, vector_search, warc
 from textwarden.llm.components import components
 
 VECTORS = "vec_id long, embedding array<float>, score string, rank int"
@@ -412,3 +412,41 @@ def test_toxicity_moves_labelled_texts_only(spark, monkeypatch, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, wanted))
     assert "might_contain" in plans[-1] and "BroadcastHashJoin" not in plans[-1]
     assert [spark.conf.get(k) for k in names] == before
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Arrow batches of 10,000 texts took an executor of the pipeline over its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(3000).coalesce(1)
+    sizes = lambda: [r["n"] for r in rows.mapInPandas(lambda batches: (b[:1].assign(n=len(b))[["n"]] for b in batches), "n long").collect()]
+    with pytest.raises(KeyError), common.small_batches(spark):
+        found = sizes()
+        raise KeyError
+    assert max(found) <= common.BATCH and sum(found) == 3000
+    assert spark.conf.get(name) == before
+    docs = spark.createDataFrame([(1, "so it is"), (2, "not so")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for out in (
+        tokenize_pieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True),
+        toxicity.score_toxicity(docs, labels).select("doc_id", "score", "restored_hits"),
+    ):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchEvalPython") == 1 and "Arrow" not in plan and "InPandas" not in plan
+    assert spark.conf.get(name) == before
+
+
+def test_sentencepiece_table_is_small():
+    """Markers and spaces share entries, whose keys take a byte a character; tables of other operators go, its own stay."""
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["so it  is", "▁so▁▁it is", "▁", " ", "a\n▁b\n c ▁ d▁", "▁ so  it▁\n\n▁"]
+    toxicity._decoder(np.zeros((29, 29, 29)).tobytes())
+    code = tokenize_pieces.coder(model)
+    assert toxicity._decoder.cache_info().currsize == 0 and tokenize_pieces.coder(model) is code
+    assert code.chunked
+    got = [np.frombuffer(raw, dtype="<u4").tolist() for raw in code.encode(texts)]
+    assert got == [library.encode(t) for t in texts]
+    assert code.table and all(chunk.isascii() for chunk in code.table)

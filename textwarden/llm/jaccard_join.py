@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import file_system, forget_tables, new_folder, runtime_filter
+from textwarden.llm.common import file_system, forget_tables, new_folder, runtime_filter, small_batches
 from textwarden.llm.components import components
 from textwarden.sources.checkpoints import cut_lineage, delete_folder, let_go
 
@@ -419,7 +419,8 @@ def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     Of its shared shingles each document needs only so many, the rarest, that one of
     them is in every partner's. Documents that share one are in one region.
     """
-    windows = cut_lineage(_profiles(texts, size, percent, SECOND).drop("digest"))
+    with small_batches(texts.sparkSession):
+        windows = cut_lineage(_profiles(texts, size, percent, SECOND).drop("digest"))
     shared = _shared(windows, percent, SECOND, PEELS)
     rare = F.slice("own.s", F.lit(1), F.size("own") - F.col("needed") + 1)
     members = shared.select("doc_id", F.explode(rare).alias("s"))
@@ -451,7 +452,8 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wide = cut_lineage(_profiles(rows, size, percent, FIRST))
+    with small_batches(spark):
+        wide = cut_lineage(_profiles(rows, size, percent, FIRST))
     profiles = cut_lineage(wide.drop("first"))
     classes = cut_lineage(
         profiles.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("c")).select("digest", "c.*")
@@ -471,7 +473,7 @@ def near_duplicates(
         texts = cut_lineage(texts)
     let_go(left)
     regions = _regions(texts, size, percent)
-    with runtime_filter(spark):
+    with runtime_filter(spark), small_batches(spark):
         sets = _sets(texts.join(regions, "doc_id"), size)
         links = join_regions(sets, regions, percent, leaf)
     let_go(texts, regions)

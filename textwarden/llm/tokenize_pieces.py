@@ -8,16 +8,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.common import forget_tables
+
 MARK = "▁"
 #: Distinct chunks that a worker remembers; beyond that its table starts anew.
 TABLE_SIZE = 400_000
-#: A run of markers with what follows up to the next one; or a line feed with what follows.
-_CHUNK = re.compile("[ ▁]+[^ ▁\n]*|\n[^ ▁\n]*")
-_LEADING = re.compile("^[^ ▁\n]+")
+#: A run of markers, written as spaces, with what follows up to the next one; or a line feed with what follows.
+_CHUNK = re.compile(" +[^ \n]*|\n[^ \n]*")
 
 
 class ChunkCoder:
@@ -61,9 +61,8 @@ class ChunkCoder:
             if not self.chunked or not text:
                 yield np.array(self.library.encode(text), dtype="<u4").tobytes()
                 continue
-            chunks = _CHUNK.findall(MARK + text)
-            if " " in text:
-                chunks = [c.replace(" ", MARK) if c[0] == " " else c for c in chunks]
+            # The library takes both for the same; a marker would make Python hold every character of a key in two bytes.
+            chunks = _CHUNK.findall(" " + text.replace(MARK, " "))
             missing = [c for c in dict.fromkeys(chunks) if c not in self.table]
             if missing:
                 before = len(self.table)
@@ -75,7 +74,8 @@ class ChunkCoder:
 
 @lru_cache(maxsize=2)
 def coder(model_file: str) -> ChunkCoder:
-    """One for each worker and model; workers serve many tasks."""
+    """One for each worker and model, in place of the tables of other operators; workers serve many tasks."""
+    forget_tables(keep=__name__)
     return ChunkCoder(model_file)
 
 
@@ -87,40 +87,27 @@ def encode_and_decode(
     Ids begin with the model's begin id and close with its end id. Null texts count as
     empty ones: two ids, decoded to the empty text. Repeated rows give repeated rows; other
     columns of the input do not come along. Rows stay where they are: no shuffle; memory
-    is bounded by the chunk table and one batch. The model file lies at the same path on
+    is bounded by the chunk table and a hundred rows. The model file lies at the same path on
     every machine.
     """
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         fields += ", ids array<long>, decoded string"
-    kind = docs.schema[doc_id].dataType
-    # As text, ids keep all digits in pandas where some of them are null.
-    rows = docs.select(
-        F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Spark pickles a hundred rows at a time; an Arrow batch would be 10,000 texts, held several times in the
+    # executor and in each worker, whose memory is not the heap's.
+    @F.udf(f"struct<{fields.replace(' ', ':').replace(',:', ',')}>", useArrow=False)
+    def coded(value: str) -> tuple:
         code = coder(model_file)
         library = code.library
-        begin = np.array([library.bos_id()], dtype="<u4").tobytes()
-        end = np.array([library.eos_id()], dtype="<u4").tobytes()
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                out = []
-                for raw in code.encode(part["text"].tolist()):
-                    raw = begin + raw + end
-                    ids = np.frombuffer(raw, dtype="<u4").tolist()
-                    decoded = library.decode(ids)
-                    row = [len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    out.append(row + [ids, decoded] * keep_ids)
-                names = [f.split()[0] for f in fields.split(", ")]
-                frame = pd.DataFrame(out, columns=names)
-                frame.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield frame
-
-    out = rows.mapInPandas(run, f"doc_id string, {fields}")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+        (inner,) = code.encode([value])
+        ids = [library.bos_id(), *np.frombuffer(inner, dtype="<u4").tolist(), library.eos_id()]
+        raw, decoded = np.array(ids, dtype="<u4").tobytes(), library.decode(ids)
+        row = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        return row + (ids, decoded) * keep_ids
+
+    return rows.select("doc_id", coded("text").alias("coded")).select("doc_id", "coded.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

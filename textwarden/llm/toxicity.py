@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import forget_tables, handed_back, numbered, runtime_filter
+from textwarden.llm.common import forget_tables, handed_back, numbered, runtime_filter, small_batches
 from textwarden.sources.checkpoints import cut_lineage
 
 #: Size of the lexicon, whatever the number of labels: features that may enter, features kept.
@@ -419,18 +419,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     label that is given twice for an id is toxic if one of them is. Input columns
     of the names of the added ones are replaced by these; others are kept.
     """
-    grams = count_grams(docs, text)
-    sample = labelled(docs, labels, doc_id, text, limit)
-    words = count_words(sample)
-    model = fit(sample, grams, words)
+    with small_batches(docs.sparkSession):
+        grams = count_grams(docs, text)
+        sample = labelled(docs, labels, doc_id, text, limit)
+        words = count_words(sample)
+        model = fit(sample, grams, words)
     raw = grams.astype(np.float64).tobytes()
 
-    @F.pandas_udf("score double, hits int")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        decoder = _decoder(raw, words)
-        for batch in batches:
-            hits = [model.hits(decoder.both(t)) for t in batch]
-            yield pd.DataFrame({"score": [model.rates[min(h, len(model.rates) - 1)] for h in hits], "hits": hits})
+    kept: list[Decoder] = []
+
+    # Spark pickles a hundred rows at a time, whatever the session's Arrow batches are when the result is read.
+    @F.udf("struct<score:double,hits:int>", useArrow=False)
+    def scored(value: str) -> tuple[float, int]:
+        if not kept:
+            kept.append(_decoder(raw, words))
+        hits = model.hits(kept[0].both(value))
+        return model.rates[min(hits, len(model.rates) - 1)], hits
 
     rows, names = numbered(docs)
     out = rows.withColumn("scored", scored(F.coalesce(F.col(names[text]), F.lit(""))))
