@@ -67,6 +67,33 @@ def test_a_family_is_dealt_over_many_tasks(spark, monkeypatch):
     assert max(most) <= 150 and sum(pairs) > 20 and max(written) <= 600
 
 
+def test_a_passage_that_many_documents_hold_makes_no_large_region(spark, monkeypatch):
+    """Half of each text is common to all: windows connect them, whole sets do not, and near copies are found all the same."""
+    draw = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(str(draw.randrange(10**6)) for _ in range(40))} {passage}") for i in range(120)]
+    rows += [(1000 + i, f"{t} end") for i, t in rows[:30]] + [(2000 + i, f"start {t}") for i, t in rows[20:40]]
+    monkeypatch.setattr(jaccard_join, "WORK", 4_000)
+    large, looser = [], []
+    divide, tighter = jaccard_join._divide, jaccard_join._tighter
+    monkeypatch.setattr(jaccard_join, "_divide", lambda *a: large.append(a[1].count()) or divide(*a))
+    monkeypatch.setattr(jaccard_join, "_tighter", lambda *a: looser.append(a[0].count()) or tighter(*a))
+    got = {r["doc_id"]: tuple(r) for r in near_duplicates(_docs(spark, rows)).collect()}
+    assert got == linked_groups(rows)
+    assert looser and max(looser) > 100 and large == []
+
+
+def test_sizes_far_apart_connect_nothing(spark):
+    """The shingles that short and long sets need are the same; their sizes alone rule links out. An id may have two sets."""
+    import numpy as np
+
+    short, long, other = range(1, 21), range(1, 41), range(21, 41)
+    rows = [(1, short), (2, short), (3, long), (4, long), (5, other), (6, other), (7, range(100, 130)), (7, range(200, 260)), (8, range(200, 260)), (9, range(100, 130)), (10, range(300, 310))]
+    frame = spark.createDataFrame([(i, bytearray(np.array(s, dtype=np.int64).tobytes())) for i, s in rows], "doc_id long, shingles binary")
+    got = {r["doc_id"]: r["region"] for r in jaccard_join._tighter(frame, 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, 9: 7}
+
+
 def test_an_id_with_many_texts_is_one_node(spark, monkeypatch):
     """Rows do not multiply: as many sets are made as there are texts."""
     draw = random.Random(7)

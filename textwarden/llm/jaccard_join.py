@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import file_system, forget_tables, new_folder, runtime_filter, small_batches
@@ -23,6 +23,9 @@ SHINGLE, PERCENT = 3, 90
 LEAF, WORK = 4_000_000, 1_000_000
 #: What two blocks of a region that pivots do not divide may cost to join, by the same measure.
 BLOCK_WORK = 64_000_000
+#: Regions of more than so many times the shingles that are joined as they are get formed anew by whole sets before they are
+#: divided. This takes some twenty short jobs; smaller regions cost less than that in blocks, in proportion to their number.
+LOOSE = 16
 #: Divisions after which what is still large is joined in blocks.
 DEPTH = 4
 #: Cells of a region are gone into if they have at most this share of its pairs, and this many copies of its members.
@@ -330,27 +333,70 @@ def _join_blocks(rows: DataFrame, labels: DataFrame, large: DataFrame, percent:
     return links
 
 
+def _tighter(rows: DataFrame, percent: int) -> DataFrame:
+    """region, doc_id of those members of large regions that may link, by whole sets; rows: doc_id, shingles.
+
+    Regions are formed by windows, whose rarest shared shingles may be those of a passage that very many
+    documents hold. Of a whole set nearly all shingles are in any partner, so a document with fewer shared
+    ones leaves, and the rarest that it needs are seldom common. Documents that hold the same one are connected
+    only along sizes that come near enough to each other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(s, dtype=np.int64) for s in batch["shingles"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": [len(s) for s in sets], "first": sets})
+
+    whole = cut_lineage(rows.select("doc_id", "shingles").mapInPandas(run, "doc_id long, n long, first array<long>"))
+    shared = _shared(whole, F.ceil(percent * F.col("n") / 100), 0)
+    by_size = Window.partitionBy("s").orderBy("n")
+    gap = (100 * F.lag("n").over(by_size) < percent * F.col("n")).cast("int")
+    held = shared.select("doc_id", "n", F.explode("rare").alias("s")).withColumn("gap", F.coalesce(gap, F.lit(0)))
+    held = held.withColumn("run", F.sum("gap").over(by_size)).withColumn("v", F.min("doc_id").over(Window.partitionBy("s", "run")))
+    found = components(held.select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct())
+    out = cut_lineage(found.select(F.col("component").alias("region"), F.col("node").alias("doc_id")))
+    let_go(shared)
+    return out
+
+
 def join_regions(sets: DataFrame, members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """u, v: links that connect all documents of each region that are linked; exact.
 
     members: region, doc_id, n, an id once; sets: region, doc_id, shingles of their texts. Regions that
-    one task can join (see LEAF, WORK) are joined each in one task. Larger ones are divided by pivots
-    into Voronoi cells, which are regions of the next level; cells whose members the
-    links to pivots have made one group are done. Where cells hold nearly as many pairs as
-    their region, as among near copies of one text, and
+    one task can join (see LEAF, WORK) are joined each in one task. Very large ones (see LOOSE) are formed
+    anew by whole sets. What is still large is divided by pivots into Voronoi cells, which are
+    regions of the next level; cells whose members the links to pivots have made one group are
+    done. Where cells hold nearly as many pairs as their region, as among near copies of one text, and
     after `depth` levels, the region is joined in blocks instead. What is small or large
     is told from members alone, so that whole sets are moved only to be joined.
     """
     sizes = cut_lineage(_capacities(members, F.col("n"), leaf))
     is_large = F.col("weight") > F.col("cap")
     large = sizes.where(is_large)
-    known = cut_lineage(sets.join(sizes.select("region", is_large.alias("large")), "region"))
+    is_loose = F.col("weight") > LOOSE * F.col("cap")
+    known = cut_lineage(sets.join(sizes.select("region", is_large.alias("large"), is_loose.alias("loose")), "region"))
     links = cut_lineage(_join_groups(known.where("NOT large"), ["region"], percent))
     if large.isEmpty():
         let_go(known)
         return links
-    rows = cut_lineage(known.where("large").drop("large"))
+    columns = ["region", "doc_id", "shingles"]
+    rows = cut_lineage(known.where("large AND NOT loose").select(columns))
+    loose = cut_lineage(known.where("loose").select(columns))
     let_go(known)
+    if not sizes.where(is_loose).isEmpty():
+        tight = _tighter(loose, percent)
+        below = cut_lineage(loose.drop("region").join(tight, "doc_id").select(columns))
+        let_go(tight)
+        formed = cut_lineage(_capacities(below, F.octet_length("shingles") / 8, leaf))
+        leaves = cut_lineage(_join_groups(below.join(formed.where(~is_large).select("region"), "region"), ["region"], percent))
+        more = cut_lineage(links.unionByName(leaves))
+        old, rows = rows, cut_lineage(rows.unionByName(below.join(formed.where(is_large).select("region"), "region").select(columns)))
+        let_go(links, leaves, below, old)
+        links, large = more, large.where(~is_loose).unionByName(formed.where(is_large))
+    let_go(loose)
+    if large.isEmpty():
+        let_go(rows)
+        return links
     for level in range(depth):
         divided = cut_lineage(_divide(rows, large, percent, level))
         to_pivots = divided.where("region IS NULL").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
@@ -394,36 +440,36 @@ def _may_link(windows: DataFrame, percent: int, width: float) -> DataFrame:
     return found.where(F.col("c") >= _fewest(F.col("n"), percent, width)).select("doc_id").distinct()
 
 
-def _shared(windows: DataFrame, percent: int, width: float, peels: int) -> DataFrame:
-    """doc_id, n, own (df and shingle, rarest first), needed; windows, which are let go: doc_id, n, first.
+def _shared(windows: DataFrame, needed: Column, peels: int) -> DataFrame:
+    """doc_id, n, rare of those that may link; windows, which are let go: doc_id, n, first.
 
     Windows are joined shingle by shingle, as counts first: a shingle of one window only
     cannot link anything. A document of whose window fewer than `needed` shingles are
     shared is farther than r from all others; where it leaves, counts fall, so this is
-    done again. Those with own at least `needed` long may link.
+    done again. Of its shared shingles each document that stays needs only so many, the rarest,
+    that one of them is in every partner's.
     """
-    needed = _fewest(F.col("n"), percent, width)
+    needed = needed.cast("int")
     shared, kept = windows.select("doc_id", "n", F.explode("first").alias("s")), None
     for k in range(peels + 1):
         counts = shared.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         grouped = shared.join(counts, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("own"))
-        before, kept = kept, cut_lineage(grouped.where(F.size("own") >= needed).withColumn("needed", needed.cast("int")))
+        some = F.size("own") if k < peels else F.size("own") - needed + 1
+        before, kept = kept, cut_lineage(grouped.where(F.size("own") >= needed).select("doc_id", "n", F.slice("own.s", F.lit(1), some).alias("rare")))
         let_go(windows if before is None else before)
-        shared = kept.select("doc_id", "n", F.explode("own.s").alias("s"))
+        shared = kept.select("doc_id", "n", F.explode("rare").alias("s"))
     return kept
 
 
 def _regions(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """region, doc_id, n of the documents that may link; texts: doc_id, text.
 
-    Of its shared shingles each document needs only so many, the rarest, that one of
-    them is in every partner's. Documents that share one are in one region.
+    Documents that share one of the shingles that they need are in one region.
     """
     with small_batches(texts.sparkSession):
         windows = cut_lineage(_profiles(texts, size, percent, SECOND).drop("digest"))
-    shared = _shared(windows, percent, SECOND, PEELS)
-    rare = F.slice("own.s", F.lit(1), F.size("own") - F.col("needed") + 1)
-    members = shared.select("doc_id", F.explode(rare).alias("s"))
+    shared = _shared(windows, _fewest(F.col("n"), percent, SECOND), PEELS)
+    members = shared.select("doc_id", F.explode("rare").alias("s"))
     centre = members.groupBy("s").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1")
     edges = members.join(centre, "s").select(F.col("doc_id").alias("u"), "v").distinct()
     found = components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id"))
